@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Everything a Unicode-aware trim removes; Spark's own trim() only drops blanks.
@@ -14,6 +15,8 @@ WHITESPACE = (
     " \t\n\x0b\x0c\r\u00a0\u1680"
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
+# One whitespace character in that sense, as a regex class.
+BLANK = "[" + r"\s\x0b" + WHITESPACE[6:] + "]"
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
@@ -28,7 +31,7 @@ def or_default(c: Column, default: str) -> Column:
 
 def squash(c: Column) -> Column:
     """Trim and turn every whitespace run into one blank."""
-    return F.regexp_replace(strip(c), r"\s+", " ")
+    return F.regexp_replace(strip(c), BLANK + "+", " ")
 
 
 def snippet(c: Column, n: int) -> Column:
@@ -111,7 +114,7 @@ def mined_drawer_id(wing: Column, room: Column, path: Column, index: Column) ->
     return F.concat(F.lit("drawer_"), wing, F.lit("_"), room, F.lit("_"), key)
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """NFKD with the combining marks U+0300-U+036F dropped."""
     return s.str.normalize("NFKD").str.replace("[\u0300-\u036f]", "", regex=True)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loci.functions import fixed
 from loci.functions import text as tx
 from loci.operators.filters import active_at, valid_at
-from loci.operators.skew import neighbour, running_count
+from loci.operators.skew import neighbours, running_count, segment_bounds
 from loci.schemas import ENTITIES, TRIPLES, conform
 
 KEY = ["namespace", "subject_id", "predicate", "object_id"]
@@ -261,9 +261,10 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
         F.min(F.when(F.col("valid_to").isNull(), F.col("valid_from"))).alias("open_from"),
         F.max("valid_to").alias("last_end"),
     )
-    before = neighbour(facts, KEY, "seq", F.col("_ends"), "_prev", step=-1, width=1 << 16)
+    bounds = segment_bounds(facts, "seq")
+    before = neighbours(facts, KEY, "seq", preceding={"_prev": F.col("_ends")}, bounds=bounds)
     flips = F.col("_prev").isNull() | (F.col("_prev") != F.col("_ends"))
-    runs = running_count(before, KEY, "seq", flips, "run", width=1 << 16).drop("_prev")
+    runs = running_count(before, KEY, "seq", flips, "run", bounds).drop("_prev")
     steps = runs.groupBy(*KEY, "run", F.col("_ends").alias("ended_run"), F.col("_day").alias("day")).agg(
         F.min("seq").alias("first_seq")
     )
@@ -295,12 +296,13 @@ def apply_reconciled(triples: DataFrame, decided: DataFrame, now: str) -> tuple[
     closed by the next end of its key.
     """
     steps = with_ids(decided.where(F.col("action").isin("add", "invalidate"))).withColumn("_end", F.col("action") == "invalidate")
-    previous = neighbour(steps, KEY, "seq", F.col("_end"), "_prev", step=-1, width=1 << 16)
+    bounds = segment_bounds(steps, "seq")
+    previous = neighbours(steps, KEY, "seq", preceding={"_prev": F.col("_end")}, bounds=bounds)
     was_open = triples.where(F.col("valid_to").isNull()).select(*KEY).distinct().withColumn("_open", F.lit(True))
     marked = previous.join(was_open, KEY, "left")
     opening = (~F.col("_end")) & F.coalesce(F.col("_prev"), F.coalesce("_open", F.lit(False)) == F.lit(False))
     turning = marked.where(opening | F.col("_end"))
-    closed = neighbour(turning, KEY, "seq", F.when(F.col("_end"), F.col("ended")), "_closed", step=1, width=1 << 16)
+    closed = neighbours(turning, KEY, "seq", {"_closed": F.when(F.col("_end"), F.col("ended"))}, bounds=bounds)
     adds = closed.where(~F.col("_end")).withColumn("valid_to", F.col("_closed"))
     adds = adds.withColumn("id", triple_id(F.concat(F.lit(now), F.lit("#"), F.col("seq").cast("string")))).withColumn(
         "confidence", F.lit(1.0)

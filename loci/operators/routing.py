@@ -18,7 +18,8 @@ REGISTRY_BYTES = 4 * 1024 * 1024
 _FIELD_WEIGHTS = (("name", 0.08), ("description", 0.12), ("scope", 0.16), ("l0_body", 0.12))
 _PACKED = (
     "array<struct<name:string,usage_count:bigint,usage_boost:double,"
-    "fields:array<struct<text:string,weight:double>>,keywords:array<string>>>"
+    "fields:array<struct<text:string,tokens:array<string>,weight:double>>,"
+    "keywords:array<struct<text:string,tokens:array<string>>>>>"
 )
 
 
@@ -31,10 +32,9 @@ def usage_boost(count: Column) -> Column:
 
 
 def token_overlap(query: Column, field: Column) -> Column:
-    """Share of the distinct query tokens that the field has."""
-    q = F.array_distinct(query)
-    some = (F.size(q) > 0) & (F.size(field) > 0)
-    return F.when(some, F.size(F.array_intersect(q, field)) / F.size(q)).otherwise(F.lit(0.0))
+    """Share of the (distinct) query tokens that the field has."""
+    some = (F.size(query) > 0) & (F.size(field) > 0)
+    return F.when(some, F.size(F.array_intersect(query, field)) / F.size(query)).otherwise(F.lit(0.0))
 
 
 def phrase_match(phrases: Column, field_text: Column) -> Column:
@@ -44,38 +44,39 @@ def phrase_match(phrases: Column, field_text: Column) -> Column:
     return F.when(some, hits / F.size(phrases)).otherwise(F.lit(0.0))
 
 
-def weighted_field(tokens: Column, phrases: Column, field_text: Column, weight: Column) -> Column:
+def weighted_field(tokens: Column, phrases: Column, field: Column) -> Column:
+    """Score of one struct<text, tokens, weight> field, at most its weight."""
+    weight = field["weight"]
     score = (
-        token_overlap(tokens, tx.words(field_text)) * weight * 0.6
-        + phrase_match(phrases, field_text) * weight * 0.4
+        token_overlap(tokens, field["tokens"]) * weight * 0.6
+        + phrase_match(phrases, field["text"]) * weight * 0.4
     )
-    return F.when(F.length(field_text) > 0, F.least(weight, score)).otherwise(F.lit(0.0))
+    return F.when(F.length(field["text"]) > 0, F.least(weight, score)).otherwise(F.lit(0.0))
 
 
 def keyword_boost(tokens: Column, phrases: Column, keywords: Column) -> Column:
-    """0.14 for a keyword that is a phrase of the query, else 0.08 x overlap."""
+    """0.14 for a keyword that is a phrase of the query, else 0.08 x overlap.
+
+    ``keywords`` is array<struct<text, tokens>>.
+    """
 
     def one(k: Column) -> Column:
-        return F.when(F.array_contains(phrases, k), F.lit(0.14)).otherwise(
-            token_overlap(tokens, tx.words(k)) * 0.08
+        return F.when(F.array_contains(phrases, k["text"]), F.lit(0.14)).otherwise(
+            token_overlap(tokens, k["tokens"]) * 0.08
         )
 
     return F.least(F.lit(0.18), F.aggregate(keywords, F.lit(0.0), lambda acc, k: acc + one(k)))
 
 
-def field_boost(normalized: Column, fields: Column, keywords: Column) -> Column:
-    """Text agreement of a normalised context with a palace, at most 0.25.
+def field_boost(tokens: Column, phrases: Column, fields: Column, keywords: Column) -> Column:
+    """Text agreement of a context with a palace, at most 0.25.
 
-    ``fields`` is array<struct<text, weight>> and ``keywords`` array<string>,
-    both normalised already.
+    ``tokens`` (distinct) and ``phrases`` are columns of the context's row, so
+    they are worked out once and not for every palace.
     """
-    tokens = tx.words(normalized)
-    phr = tx.phrases(tokens)
-    total = F.aggregate(
-        fields, F.lit(0.0), lambda acc, f: acc + weighted_field(tokens, phr, f["text"], f["weight"])
-    )
-    capped = F.least(F.lit(0.25), total + keyword_boost(tokens, phr, keywords))
-    return F.when(F.length(normalized) > 0, capped).otherwise(F.lit(0.0))
+    total = F.aggregate(fields, F.lit(0.0), lambda acc, f: acc + weighted_field(tokens, phrases, f))
+    capped = F.least(F.lit(0.25), total + keyword_boost(tokens, phrases, keywords))
+    return F.when(F.size(tokens) > 0, capped).otherwise(F.lit(0.0))
 
 
 # --- ranking ----------------------------------------------------------------------
@@ -122,7 +123,11 @@ def _registry_slices(palaces: DataFrame):
         packed = [
             {
                 "name": r["name"], "usage_count": r["usage_count"], "usage_boost": r["usage_boost"],
-                "fields": [f.asDict() for f in r["fields"]], "keywords": list(r["keywords"]),
+                "fields": [
+                    {"text": f["text"], "tokens": sorted(set(f["text"].split())), "weight": f["weight"]}
+                    for f in r["fields"] if f["text"]
+                ],
+                "keywords": [{"text": k, "tokens": sorted(set(k.split()))} for k in r["keywords"]],
             }
             for r in rows
         ]
@@ -146,22 +151,30 @@ def rank_palaces(
     df = contexts
     if text is not None:
         df = df.withColumn("_norm", tx.normalize_text(F.col(text)))
+        df = df.withColumn("_words", tx.words(F.col("_norm")))
+        df = df.withColumns({"_tokens": F.array_distinct("_words"), "_phrases": tx.phrases(F.col("_words"))})
     arrays = []
     for i, (packed, matrix) in enumerate(_registry_slices(palaces)):
         df = df.withColumn(f"_sem{i}", vec.candidate_scores(F.col(vector), matrix, spark))
 
-        def scored(p, s):
-            boost = F.lit(0.0) if text is None else field_boost(F.col("_norm"), p["fields"], p["keywords"])
-            score = s + boost + p["usage_boost"]
+        def boosted(p, s):
+            boost = F.lit(0.0) if text is None else field_boost(
+                F.col("_tokens"), F.col("_phrases"), p["fields"], p["keywords"]
+            )
+            return F.struct(p["name"].alias("n"), p["usage_boost"].alias("u"), p["usage_count"].alias("c"), s.alias("s"), boost.alias("f"))
+
+        def scored(x):
+            score = x["s"] + x["f"] + x["u"]
+            worst = F.lit(float("inf"))
             return F.struct(
-                F.coalesce(-score, F.lit(float("inf"))).alias("order_score"),
-                F.coalesce(-s, F.lit(float("inf"))).alias("order_semantic"),
-                p["name"].alias("name"),
-                score.alias("score"), s.alias("semantic_score"), boost.alias("field_boost"),
-                p["usage_boost"].alias("usage_boost"), p["usage_count"].alias("usage_count"),
+                F.coalesce(-score, worst).alias("order_score"), F.coalesce(-x["s"], worst).alias("order_semantic"),
+                x["n"].alias("name"), score.alias("score"), x["s"].alias("semantic_score"), x["f"].alias("field_boost"),
+                x["u"].alias("usage_boost"), x["c"].alias("usage_count"),
             )
 
-        arrays.append(F.zip_with(packed, F.col(f"_sem{i}"), scored))
+        # Two steps, so that the text work is done once per palace: inside a
+        # lambda a repeated expression is evaluated every time.
+        arrays.append(F.transform(F.zip_with(packed, F.col(f"_sem{i}"), boosted), scored))
     if not arrays:
         empty = (
             "array<struct<order_score:double,order_semantic:double,name:string,score:double,"
@@ -180,7 +193,7 @@ def rank_palaces(
     if current is not None:
         own = F.filter(F.col("candidates"), lambda c: c["name"] == F.col(current))
         df = df.withColumn("current_score", F.get(own, F.lit(0))["score"])
-    return df.drop("_norm", *[f"_sem{i}" for i in range(len(arrays))])
+    return df.drop("_norm", "_words", "_tokens", "_phrases", *[f"_sem{i}" for i in range(len(arrays))])
 
 
 def best_palace(contexts: DataFrame, palaces: DataFrame, default: str = fixed.DEFAULT_PALACE, **kw) -> DataFrame:
@@ -241,15 +254,16 @@ def result_quality(hits: DataFrame, queries: DataFrame, *, key: str = "query_id"
             F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda h: h["text"]), " "
         ).alias("_corpus"),
     )
-    joined = queries.join(top, key, "left")
-    aspects = query_aspects(tx.normalize_text(F.col(query)))
+    joined = queries.join(top, key, "left").withColumns({
+        "_query": tx.normalize_text(F.col(query)), "_corpus": tx.normalize_text(F.col("_corpus")),
+    }).withColumn("_aspects", query_aspects(F.col("_query")))
     covered = F.when(F.col("best_similarity").isNull(), F.lit(0.0)).otherwise(
-        coverage(aspects, tx.normalize_text(F.col("_corpus")))
+        coverage(F.col("_aspects"), F.col("_corpus"))
     )
     return joined.withColumn("answer_coverage", covered).withColumn(
         "quality_score",
         F.col("best_similarity") * 0.55 + F.col("avg_top_3_similarity") * 0.25 + F.col("answer_coverage") * 0.2,
-    ).drop("_corpus")
+    ).drop("_corpus", "_query", "_aspects")
 
 
 def weak(score: Column, covered: Column) -> Column:

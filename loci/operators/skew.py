@@ -34,22 +34,42 @@ def join_unique(big: DataFrame, unique: DataFrame, on: list[str], weight: str, h
     return found.select(*big.columns, *[F.col("_value")[c].alias(c) for c in values])
 
 
-def running_count(df: DataFrame, group: list[str], order: str, flag: Column, out: str, width: int = 4096) -> DataFrame:
+SEGMENTS = 256
+
+
+def segment_bounds(df: DataFrame, order: str) -> list:
+    """Values that cut a table into about equal parts along an ordering column."""
+    shares = [i / SEGMENTS for i in range(1, SEGMENTS)]
+    found = df.agg(F.percentile_approx(order, shares, 10_000)).first()[0]
+    return sorted(set(found or []))
+
+
+def segment_of(value: Column, bounds: list) -> Column:
+    """Number of bounds at or below a value, by binary search in generated code."""
+
+    def pick(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(bounds[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+
+    return pick(0, len(bounds))
+
+
+def running_count(
+    df: DataFrame, group: list[str], order: str, flag: Column, out: str, bounds: list | None = None,
+) -> DataFrame:
     """Number of flagged rows up to and including each one, per group in order.
 
-    ``order`` is an integer unique in its group.  Rows are counted in segments
-    of ``width`` order values, and segments are added up from their totals, so
-    a group of any length is never one task's sort.
+    ``order`` is unique in its group.  Rows are counted within segments of the
+    ordering column, each about 1/256 of the table, and segments are added up
+    from their totals; so a group of any size is sorted by many tasks.
     """
-    cut = df.withColumn("_seg", F.floor(F.col(order) / width)).withColumn("_flag", flag.cast("int"))
+    bounds = segment_bounds(df, order) if bounds is None else bounds
+    cut = df.withColumn("_seg", segment_of(F.col(order), bounds)).withColumn("_flag", flag.cast("int"))
     totals = cut.groupBy(*group, "_seg").agg(F.sum("_flag").alias("_sum"))
-    before = totals.withColumn(
-        "_before",
-        F.coalesce(
-            F.sum("_sum").over(Window.partitionBy(*group).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).drop("_sum")
+    earlier = Window.partitionBy(*group).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
     inside = Window.partitionBy(*group, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.withColumn("_in", F.sum("_flag").over(inside))
@@ -59,23 +79,30 @@ def running_count(df: DataFrame, group: list[str], order: str, flag: Column, out
     )
 
 
-def neighbour(df: DataFrame, group: list[str], order: str, value: Column, out: str, step: int = 1, width: int = 4096) -> DataFrame:
-    """Value of the next (step=1) or previous (step=-1) row per group in order.
+def neighbours(
+    df: DataFrame, group: list[str], order: str, following: dict[str, Column] | None = None,
+    preceding: dict[str, Column] | None = None, bounds: list | None = None,
+) -> DataFrame:
+    """Values of the next and of the previous row per group, as new columns.
 
-    Segmented like ``running_count``: the last row of a segment takes its
-    neighbour from the edge of the nearest non-empty segment.
+    Segmented like ``running_count``: the first and last row of a segment take
+    their neighbour from the edge of the nearest segment that has rows.
     """
-    cut = df.withColumn("_seg", F.floor(F.col(order) / width)).withColumn("_val", F.struct(value.alias("v")))
+    bounds = segment_bounds(df, order) if bounds is None else bounds
+    cut = df.withColumn("_seg", segment_of(F.col(order), bounds))
     inside = Window.partitionBy(*group, "_seg").orderBy(order)
-    edge = F.min_by("_val", order) if step > 0 else F.max_by("_val", order)
-    edges = cut.groupBy(*group, "_seg").agg(edge.alias("_edge"))
     across = Window.partitionBy(*group).orderBy("_seg")
-    shift = F.lead("_edge") if step > 0 else F.lag("_edge")
-    edges = edges.withColumn("_next", shift.over(across)).drop("_edge")
-    local = (F.lead("_val") if step > 0 else F.lag("_val")).over(inside)
-    return (
-        cut.withColumn("_local", local)
-        .join(edges, [*group, "_seg"])
-        .withColumn(out, F.coalesce("_local", "_next")["v"])
-        .drop("_seg", "_val", "_local", "_next")
-    )
+    edges, local, outs = [], {}, []
+    shifts = []
+    for tag, wanted, pick, shift in (("n", following, F.min_by, F.lead), ("p", preceding, F.max_by, F.lag)):
+        if not wanted:
+            continue
+        row = F.struct(*[c.alias(n) for n, c in wanted.items()])
+        edges.append(pick(row, order).alias(f"_edge_{tag}"))
+        shifts.append((f"_far_{tag}", shift(f"_edge_{tag}").over(across)))
+        local[f"_near_{tag}"] = shift(row).over(inside)
+        outs += [(n, F.coalesce(f"_near_{tag}", f"_far_{tag}")[n]) for n in wanted]
+    far = cut.groupBy(*group, "_seg").agg(*edges)
+    far = far.select(*group, "_seg", *[c.alias(n) for n, c in shifts])
+    joined = cut.withColumns(local).join(far, [*group, "_seg"])
+    return joined.select(*df.columns, *[c.alias(n) for n, c in outs])

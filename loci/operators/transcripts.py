@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loci.functions import fixed
 from loci.functions import text as tx
-from loci.operators.skew import neighbour, running_count
+from loci.operators.skew import neighbours, running_count
 
 
 # --- message rows -------------------------------------------------------------------------
@@ -18,11 +18,12 @@ def pair_messages(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
 
     ``messages`` has (conv, turn, role, content); other roles are dropped
     first.  An assistant message not answering a user one is a block of its
-    own.  Works in turn segments, so one endless conversation is no obstacle.
+    own.  Works in segments, so one endless conversation is no obstacle.
     """
     kept = messages.where(F.col("role").isin("user", "assistant"))
-    said = F.struct("role", "content")
-    seen = neighbour(neighbour(kept, [conv], turn, said, "_next"), [conv], turn, F.col("role"), "_prev", step=-1)
+    seen = neighbours(
+        kept, [conv], turn, {"_next": F.struct("role", "content")}, {"_prev": F.col("role")}
+    )
     answered = (F.col("role") == "user") & (F.col("_next.role") == "assistant")
     taken = (F.col("role") == "assistant") & F.coalesce(F.col("_prev") == "user", F.lit(False))
     return seen.where(~taken).select(

@@ -219,7 +219,7 @@ def count_user_lines(files: DataFrame, content: str = "content", path: str = "pa
     lines = _json_lines(F.col(content))
 
     def counts(v):
-        said = content_text(_get(v, "$.message.content", "variant"))
+        said = F.coalesce(_text(v, "$.message.content"), F.lit(""))
         return F.coalesce(_text(v, "$.message.role") == "user", F.lit(False)) & ~F.contains(said, F.lit("<command-message>"))
 
     return files.select(path, F.size(F.filter(lines, counts)).alias("user_messages"))
