@@ -6,8 +6,10 @@ of the original tools; a null end means the fact is still open.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loci.functions import fixed
@@ -208,40 +210,45 @@ def relationship_types(triples: DataFrame) -> DataFrame:
 
 # --- reconciling extracted facts -----------------------------------------------------------
 
-_ACTIONS = "action string, reason string"
 _FOLD_SCHEMA = (
     "namespace string, subject_id string, predicate string, object_id string, run bigint, ended_run boolean, "
     "first_seq bigint, day string, action string, reason string, active_valid_from string, previous_valid_to string"
 )
 
 
-def _fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Outcome of each distinct step of one fact, in order."""
-    rows = pdf.sort_values("first_seq")
-    active = bool(rows["open_now"].iloc[0])
-    start = rows["open_from"].iloc[0]
-    last_end = rows["last_end"].iloc[0]
-    out = []
-    for is_end, day in zip(rows["ended_run"], rows["day"]):
-        since, previous = None, None
-        if is_end:
-            if not active:
-                verdict = ("skip", "no_active_fact_to_invalidate")
-            elif start is not None and day < start:
-                verdict, since = ("skip", "temporal_conflict_end_before_start"), start
+def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcome of each distinct step, for steps sorted by fact and order.
+
+    Only the state of the fact at hand is kept, across batch borders too, so
+    the number of steps of one fact does not matter.
+    """
+    at, active, start, last_end = None, False, None, None
+    for pdf in batches:
+        out = []
+        keys = zip(*[pdf[c] for c in KEY])
+        stored = zip(pdf["open_now"], pdf["open_from"], pdf["last_end"])
+        for key, state, is_end, day in zip(keys, stored, pdf["ended_run"], pdf["day"]):
+            if key != at:
+                at, (active, start, last_end) = key, state
+            since, previous = None, None
+            if is_end:
+                if not active:
+                    verdict = ("skip", "no_active_fact_to_invalidate")
+                elif start is not None and day < start:
+                    verdict, since = ("skip", "temporal_conflict_end_before_start"), start
+                else:
+                    verdict = ("invalidate", None)
+                    active, start = False, None
+                    last_end = day if last_end is None else max(last_end, day)
+            elif last_end is not None and day is not None and day < last_end:
+                verdict, previous = ("skip", "temporal_conflict_start_before_previous_end"), last_end
             else:
-                verdict = ("invalidate", None)
-                active, start = False, None
-                last_end = day if last_end is None else max(last_end, day)
-        elif last_end is not None and day is not None and day < last_end:
-            verdict, previous = ("skip", "temporal_conflict_start_before_previous_end"), last_end
-        else:
-            verdict = ("add", None)
-            if not active:
-                active, start = True, day
-        out.append((*verdict, since, previous))
-    verdicts = pd.DataFrame(out, columns=["action", "reason", "active_valid_from", "previous_valid_to"], index=rows.index)
-    return pd.concat([rows[KEY + ["run", "ended_run", "first_seq", "day"]], verdicts], axis=1)
+                verdict = ("add", None)
+                if not active:
+                    active, start = True, day
+            out.append((*verdict, since, previous))
+        names = ["action", "reason", "active_valid_from", "previous_valid_to"]
+        yield pd.concat([pdf[[*KEY, "run", "ended_run", "first_seq", "day"]], pd.DataFrame(out, columns=names, dtype=object)], axis=1)
 
 
 def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
@@ -251,7 +258,7 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
     seq), seq being a unique integer.  The outcome of a fact depends on those
     before it with the same key.  A run of alike steps (adds, or ends) with
     the same date has at most one first step that matters, so only first steps
-    reach the per-key fold; the others take their outcome from it.
+    reach the ordered fold; the others take their outcome from it.
     """
     facts = with_ids(facts).withColumn("_ends", F.col("ended").isNotNull()).withColumn(
         "_day", F.coalesce("ended", "valid_from")
@@ -270,7 +277,10 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
     )
     # A later step of a run with the same date sees what its first one left.
     ready = steps.join(state, KEY, "left").withColumn("open_now", F.coalesce("open_now", F.lit(False)))
-    done = ready.groupBy(*KEY).applyInPandas(_fold, _FOLD_SCHEMA)
+    in_order = ready.repartition(*KEY).sortWithinPartitions(*KEY, "first_seq").select(
+        *KEY, "run", "ended_run", "first_seq", "day", "open_now", "open_from", "last_end"
+    )
+    done = in_order.mapInPandas(_fold, _FOLD_SCHEMA)
     closing = done.where(F.col("action") == "invalidate").select(*KEY, "run", F.col("first_seq").alias("_closed"))
     verdicts = done.join(closing, [*KEY, "run"], "left")
     keyed = runs.withColumn("day", F.coalesce("_day", F.lit(""))).join(

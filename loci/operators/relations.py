@@ -23,39 +23,47 @@ def explicit_dates(text: Column) -> Column:
     return F.array_distinct(F.concat(dashed, F.transform(slashed, lambda d: F.replace(d, F.lit("/"), F.lit("-")))))
 
 
-def relative_dates(text: Column, reference: Column) -> Column:
-    """Dates that day words (four languages) mean, seen from a reference date."""
-    folded = F.regexp_replace(F.lower(tx.fold_accents(text)), "['’`]", "")
-    tokens = F.filter(F.split(folded, r"[^\p{L}\p{N}_-]+"), lambda w: w != "")
+def relative_dates(folded: Column, reference: Column) -> Column:
+    """Dates that day words (four languages) mean, seen from a reference date.
+
+    ``folded`` is the text without accents (``fold_accents``), as a column.
+    """
+    plain = F.regexp_replace(F.lower(folded), "['’`]", "")
+    tokens = F.filter(F.split(plain, r"[^\p{L}\p{N}_-]+"), lambda w: w != "")
     single = {k: v for k, v in fixed.RELATIVE_DAYS.items() if " " not in k}
     double = {k: v for k, v in fixed.RELATIVE_DAYS.items() if " " in k}
     days = F.create_map(*[F.lit(x) for kv in single.items() for x in kv])
     pairs = F.create_map(*[F.lit(x) for kv in double.items() for x in kv])
+    # Most texts have no day word at all; they skip the walk over neighbours.
+    some = F.rlike(plain, F.lit("|".join(w.split(" ")[0] for w in fixed.RELATIVE_DAYS)))
+    nexts = F.concat(F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1))), F.array(F.lit("")))
 
-    def offset(token: Column, i: Column) -> Column:
-        pair = F.concat_ws(" ", token, F.get(tokens, i + 1))
-        return F.coalesce(F.try_element_at(days, token), F.try_element_at(pairs, pair))
+    def offset(token: Column, following: Column) -> Column:
+        return F.coalesce(
+            F.try_element_at(days, token), F.try_element_at(pairs, F.concat_ws(" ", token, following))
+        )
 
-    found = F.filter(F.transform(tokens, offset), lambda d: d.isNotNull())
+    found = F.filter(F.zip_with(tokens, nexts, offset), lambda d: d.isNotNull())
     base = F.try_to_date(reference, "yyyy-MM-dd")
-    return F.when(base.isNull(), F.array().cast(_NO_STRINGS)).otherwise(
+    return F.when(base.isNull() | ~some, F.array().cast(_NO_STRINGS)).otherwise(
         F.array_distinct(F.transform(found, lambda d: F.date_format(F.date_add(base, d), "yyyy-MM-dd")))
     )
 
 
-def temporal_info(text: Column, fallback: Column, reference: Column | None = None) -> Column:
-    """struct<dates, valid_from, ended, has_explicit_date, has_relative_date>."""
-    text = F.coalesce(text, F.lit(""))
-    explicit = explicit_dates(text)
-    relative = relative_dates(text, F.coalesce(fallback if reference is None else reference, fallback))
-    dates = F.array_distinct(F.concat(explicit, relative))
-    return F.struct(
+def with_temporal(df: DataFrame, text: str, fallback: Column, reference: Column | None = None, out: str = "temporal") -> DataFrame:
+    """Add struct<dates, valid_from, ended, has_explicit_date, has_relative_date>."""
+    reference = fallback if reference is None else F.coalesce(reference, fallback)
+    clean = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumns({"_folded": tx.fold_accents(clean), "_explicit": explicit_dates(clean), "_fallback": fallback, "_reference": reference})
+    df = df.withColumn("_dates", F.array_distinct(F.concat("_explicit", relative_dates(F.col("_folded"), F.col("_reference")))))
+    dates = F.col("_dates")
+    return df.withColumn(out, F.struct(
         dates.alias("dates"),
-        F.coalesce(F.get(dates, F.lit(0)), fallback).alias("valid_from"),
+        F.coalesce(F.get(dates, F.lit(0)), F.col("_fallback")).alias("valid_from"),
         F.when(F.size(dates) > 1, F.element_at(dates, -1)).alias("ended"),
-        (F.size(explicit) > 0).alias("has_explicit_date"),
-        (F.size(dates) > F.size(explicit)).alias("has_relative_date"),
-    )
+        (F.size("_explicit") > 0).alias("has_explicit_date"),
+        (F.size(dates) > F.size("_explicit")).alias("has_relative_date"),
+    )).drop("_folded", "_explicit", "_fallback", "_reference", "_dates")
 
 
 # --- segments and entities ----------------------------------------------------------------
@@ -114,8 +122,8 @@ def link_entities(
         F.transform(words, lambda w: F.struct(F.lit("candidate").alias("kind"), w.alias("word"))),
     )
     places = [c for c in ("room", "closet", "hall") if c in segs.columns]
-    rows = segs.select(*key, F.col(text).alias("context"), F.posexplode(listed).alias("pos", "c")).select(
-        *key, "context", "pos", "c.kind", "c.word"
+    rows = segs.select(*key, F.col(text).alias("context"), F.posexplode(listed).alias("_at", "c")).select(
+        *key, "context", "_at", "c.kind", "c.word"
     )
     known = lookup(rows, people, projects, wiki).withColumnRenamed("confidence", "_known")
     kind = infer_type(F.col("entity_name"), F.col("type"))
@@ -127,14 +135,14 @@ def link_entities(
         quoted, F.greatest(F.coalesce(F.nullif("_known", F.lit(0.0)), F.lit(0.45)), F.lit(0.55))
     ).when(marked, F.greatest(base, F.lit(fixed.ENTITY_CONFIDENCE))).otherwise(base)
     named = known.select(
-        *key, "pos", F.lower("entity_name").alias("_id"),
+        *key, "_at", F.lower("entity_name").alias("_id"),
         F.struct(
             F.when(~quoted & (kind == "person"), title_case(F.col("entity_name"))).otherwise(F.col("entity_name")).alias("name"),
             kind.alias("type"), confidence.alias("confidence"),
             F.when(unknown, F.col("kind")).otherwise("registry").alias("source"),
         ).alias("e"),
     ).where(F.col("e.confidence") >= fixed.ENTITY_CONFIDENCE)
-    merged = named.groupBy(*key, "_id").agg(F.min("pos").alias("ord"), F.max_by("e", "pos").alias("e"))
+    merged = named.groupBy(*key, "_id").agg(F.min("_at").alias("ord"), F.max_by("e", "_at").alias("e"))
     out = merged.select(*key, "ord", "e.*")
     if not places:
         return out
@@ -202,7 +210,7 @@ def extract_facts(
     grouped = linked.groupBy(key, "pos").agg(ents.alias("_ents")).where(F.size("_ents") >= 2)
     ready = segs.join(grouped, [key, "pos"]).withColumn("_vector", vec.embed(F.col("segment")))
     ready = ready.withColumn("_preds", predicate_scores(F.col("_vector"), protos))
-    ready = ready.withColumn("_time", temporal_info(F.col("segment"), F.col("_day"), F.col("_day")))
+    ready = with_temporal(ready, "segment", F.col("_day"), out="_time")
 
     def options(i, j, s, o):
         made = []

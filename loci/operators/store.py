@@ -42,9 +42,12 @@ def as_upserts(rows: DataFrame, version: Column | int = 0, seq: Column | None =
 def as_deletes(rows: DataFrame, version: Column | int = 0, seq: Column | None = None) -> DataFrame:
     """Tombstones for the keys of the given rows."""
     version = version if isinstance(version, Column) else F.lit(version)
-    keys = rows.select(*KEY, *(c for c in ("original_id",) if c in rows.columns))
-    keys = keys.withColumn("op", F.lit("delete")).withColumn("version", version)
-    return conform(keys.withColumn("seq", F.lit(0) if seq is None else seq), DRAWER_LOG)
+    seq = F.lit(0) if seq is None else seq
+    marked = rows.select(
+        *KEY, *(c for c in ("original_id",) if c in rows.columns),
+        F.lit("delete").alias("op"), version.alias("version"), seq.alias("seq"),
+    )
+    return conform(marked, DRAWER_LOG)
 
 
 def delete_by_ids(drawers: DataFrame, ids: DataFrame, version=0) -> DataFrame:

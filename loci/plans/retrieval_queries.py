@@ -443,7 +443,7 @@ def recall_by_text(t):
 def search_routed(t):
     """Passages routed to a language, searched there, with a fall-back to the others."""
     known = t.documents.groupBy(F.col("lang").alias("name")).agg(
-        F.count("*").alias("usage_count"), F.min_by("text", F.struct(-F.col("n_chars"), F.col("doc_id"))).alias("scope")
+        F.count("*").alias("usage_count"), F.max_by("text", "doc_id").alias("scope")
     ).withColumn("vector", embed(F.col("scope")))
     items = w.drawers(t).withColumn("vector", embed(F.col("document")))
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
