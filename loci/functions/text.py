@@ -24,6 +24,18 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def computed(df, columns: dict[str, Column]):
+    """Add columns that later filters must not work out a second time.
+
+    A filter on an ordinary derived column is pushed below it with the whole
+    expression copied in, and copies inside a lambda run once per element.
+    Columns that come out of a generator stay where they are.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(made)))
+
+
 def or_default(c: Column, default: str) -> Column:
     """The default for null and for the empty string alike."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
@@ -181,18 +193,34 @@ def quote_regex(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def named_pattern(pattern: str, name: Column, flags: str = "i") -> Column:
-    """A pattern column with {name} replaced by a quoted value."""
-    ready = java_pattern(pattern.replace("{name}", "\x00N"))
-    # A boundary written before the name is a look-behind only if the name
-    # starts with a word character, so keep the general form there.
-    ready = ready.replace(r"(?<![A-Za-z0-9_])" + "\x00N", _BOUNDARY + "\x00N")
-    parts = ready.split("\x00N")
+_NAME = "{name}"
+
+
+def name_patterns(patterns, flags: str = "i") -> Column:
+    """Pattern texts, ready for Java, as one literal array; {name} still in them."""
+    ready = []
+    for p in patterns:
+        # A boundary before the name stays general: the name may start with
+        # something that is no word character.
+        p = java_pattern(p.replace(_NAME, "\x00")).replace(r"(?<![A-Za-z0-9_])" + "\x00", _BOUNDARY + "\x00")
+        ready.append(f"(?{flags})" + p.replace("\x00", _NAME))
+    return F.array(*[F.lit(p) for p in ready])
+
+
+def count_named(text: Column, patterns: Column, name: Column) -> Column:
+    """array<int>: matches of each pattern with the name filled in.
+
+    One short lambda instead of one expression per pattern keeps the generated
+    code small.
+    """
+    quoted = quote_regex(name)
+    return F.transform(patterns, lambda p: F.regexp_count(text, F.replace(p, F.lit(_NAME), quoted)))
+
+
+def match_named(text: Column, patterns: Column, name: Column) -> Column:
+    """How many of the patterns match with the name filled in."""
     quoted = quote_regex(name)
-    pieces: list[Column] = [F.lit(f"(?{flags})" + parts[0])]
-    for rest in parts[1:]:
-        pieces += [quoted, F.lit(rest)]
-    return F.concat(*pieces)
+    return F.size(F.filter(patterns, lambda p: F.rlike(text, F.replace(p, F.lit(_NAME), quoted))))
 
 
 def lines_of(c: Column) -> Column:

@@ -91,14 +91,21 @@ def cosine(a: Column, b: Column) -> Column:
 # --- top-k of many items for a batch of queries ----------------------------------
 
 
-def _slices(df: DataFrame, key: str, vector: str, limit: int) -> list[DataFrame]:
-    """Hash slices of a vector table, each small enough to send around."""
+# A first look at the queries takes this many rows; mostly that is all of them.
+FIRST_ROWS = BLOCK_BYTES // (8 * 1024)
+
+
+def _local_slices(df: DataFrame, key: str, vector: str):
+    """A vector table as pandas frames, each small enough to send around."""
+    head = df.limit(FIRST_ROWS + 1).toPandas()
+    if len(head) <= FIRST_ROWS:
+        yield head
+        return
     n, width = df.agg(F.count("*"), F.max(F.size(vector))).first()
-    parts = max(1, math.ceil((n or 0) * (width or 1) * 8 / limit))
-    if parts == 1:
-        return [df]
+    parts = max(1, math.ceil(n * (width or 1) * 8 / BLOCK_BYTES))
     bucket = F.pmod(F.xxhash64(key), F.lit(parts))
-    return [df.where(bucket == i) for i in range(parts)]
+    for i in range(parts):
+        yield df.where(bucket == i).toPandas()
 
 
 def _ids(values: pd.Series) -> np.ndarray:
@@ -165,8 +172,7 @@ def top_k(
     take = k + 1 if skip_same_id else k
 
     partials = []
-    for part in _slices(qcols, query_id, vector, BLOCK_BYTES):
-        local = part.toPandas()
+    for local in _local_slices(qcols, query_id, vector):
         if local.empty:
             continue
         shared = spark.sparkContext.broadcast((

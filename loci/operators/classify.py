@@ -240,8 +240,8 @@ def extract_memories(docs: DataFrame, text: str = "document", key: str = "origin
     """
     rest = [c for c in docs.columns if c != text]
     segs = docs.select(*rest, F.posexplode(memory_segments(F.col(text))).alias("_pos", "_seg"))
-    segs = segs.where(F.length(tx.strip(F.col("_seg"))) >= 20).withColumn("_prose", prose(F.col("_seg")))
-    scored = segs.withColumns({f"{k}_score": s for k, s in marker_scores(F.col("_prose")).items()})
+    segs = tx.computed(segs.where(F.length(tx.strip(F.col("_seg"))) >= 20), {"_prose": prose(F.col("_seg"))})
+    scored = tx.computed(segs, {f"{k}_score": s for k, s in marker_scores(F.col("_prose")).items()})
     scores = {k: F.col(f"{k}_score") for k in fixed.MEMORY_MARKERS}
     top = F.greatest(*scores.values())
     hits = scored.where(top > 0).withColumn("confidence", memory_confidence(top, F.length("_seg"))).where(

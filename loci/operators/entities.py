@@ -44,14 +44,13 @@ def candidates(
 # --- signals -------------------------------------------------------------------------------
 
 
-def _count(text: Column, pattern: str, name: Column, flags="i") -> Column:
-    return F.regexp_count(text, tx.named_pattern(pattern, name, flags))
+def pronoun_lines(lines: Column) -> Column:
+    pronoun = "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(fixed.PRONOUNS) + ")(?![A-Za-z0-9_])"
+    return F.transform(lines, lambda x: F.rlike(x, F.lit(pronoun)))
 
 
-def pronoun_hits(lines: Column, name: Column) -> Column:
+def pronoun_hits(lines: Column, flags: Column, name: Column) -> Column:
     """Lines naming the entity that have a pronoun within two lines."""
-    pronoun = "(?i)(?<![A-Za-z0-9_])(?:" + "|".join(fixed.PRONOUNS) + ")(?![A-Za-z0-9_])"
-    flags = F.transform(lines, lambda x: F.rlike(x, F.lit(pronoun)))
     low = F.lower(name)
 
     def near(i: Column) -> Column:
@@ -70,14 +69,16 @@ def score_entities(named: DataFrame, text: str = "document", name: str = "name")
     """
     t, n = F.col(text), F.col(name)
     lines = tx.lines_of(t)
-    dialogue = [_count(t, p, n, "mi") for p in fixed.DIALOGUE_PATTERNS]
-    verbs = [_count(t, p, n) for p in fixed.PERSON_VERB_PATTERNS]
-    project = [_count(t, p, n) for p in fixed.PROJECT_VERB_PATTERNS]
-    counted = named.select(
-        "*", F.array(*dialogue).alias("_dialogue"), F.array(*verbs).alias("_verbs"), F.array(*project).alias("_project"),
-        pronoun_hits(lines, n).alias("_pronouns"), _count(t, fixed.DIRECT_PATTERN, n).alias("_direct"),
-        _count(t, fixed.VERSIONED_PATTERN, n).alias("_versioned"), _count(t, fixed.CODE_REF_PATTERN, n).alias("_code"),
-    )
+
+    def counts(patterns, flags="i"):
+        return tx.count_named(t, tx.name_patterns(patterns, flags), n)
+
+    single = counts((fixed.DIRECT_PATTERN, fixed.VERSIONED_PATTERN, fixed.CODE_REF_PATTERN))
+    counted = tx.computed(tx.computed(named, {"_lines": lines, "_flags": pronoun_lines(lines)}), {
+        "_dialogue": counts(fixed.DIALOGUE_PATTERNS, "mi"), "_verbs": counts(fixed.PERSON_VERB_PATTERNS),
+        "_project": counts(fixed.PROJECT_VERB_PATTERNS), "_pronouns": pronoun_hits(F.col("_lines"), F.col("_flags"), n), "_single": single,
+    }).drop("_lines", "_flags")
+    counted = counted.withColumns({c: F.get("_single", F.lit(i)) for i, c in enumerate(("_direct", "_versioned", "_code"))}).drop("_single")
 
     def total(c):
         return F.aggregate(c, F.lit(0), lambda a, x: a + x)

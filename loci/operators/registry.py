@@ -44,17 +44,17 @@ def ambiguous_flags(people: DataFrame) -> DataFrame:
     return people.where(is_ambiguous(F.col("name"))).select(F.lower("name").alias("word")).distinct()
 
 
-def _context_score(patterns, name: Column, context: Column) -> Column:
-    low_name, low = F.lower(name), F.lower(context)
-    return sum((F.rlike(low, tx.named_pattern(p, low_name)).cast("int") for p in patterns), F.lit(0))
+def disambiguate(df: DataFrame, word: str, context: str, only: Column | None = None) -> DataFrame:
+    """Add person_hits and concept_hits: context patterns for and against a name.
 
-
-def disambiguate(df: DataFrame, word: str, context: str) -> DataFrame:
-    """Add person_hits and concept_hits: context patterns for and against a name."""
-    return df.withColumns({
-        "person_hits": _context_score(fixed.PERSON_CONTEXTS, F.col(word), F.col(context)),
-        "concept_hits": _context_score(fixed.CONCEPT_CONTEXTS, F.col(word), F.col(context)),
-    })
+    With ``only``, other rows get 0 and their patterns are never tried.
+    """
+    name, low = F.lower(word), F.lower(context)
+    hits = {
+        "person_hits": tx.match_named(low, tx.name_patterns(fixed.PERSON_CONTEXTS), name),
+        "concept_hits": tx.match_named(low, tx.name_patterns(fixed.CONCEPT_CONTEXTS), name),
+    }
+    return tx.computed(df, {k: v if only is None else F.when(only, v).otherwise(0) for k, v in hits.items()})
 
 
 def _names(people: DataFrame) -> DataFrame:
@@ -92,9 +92,9 @@ def lookup(
         df = df.join(found, "_key", "left")
     else:
         df = df.withColumn("_wiki", F.lit(None).cast("struct<inferred_type:string,confidence:double>"))
-    df = disambiguate(df, word, context)
     # Flags are kept for registered names, aliases included.
     flagged = F.col("_person").isNotNull() & is_ambiguous(F.col(word)) & (F.col(context) != "")
+    df = disambiguate(df, word, context, flagged)
     as_person = flagged & (F.col("person_hits") > F.col("concept_hits"))
     as_concept = flagged & (F.col("concept_hits") > F.col("person_hits"))
     person = F.col("_person")
@@ -133,7 +133,7 @@ def people_in_queries(queries: DataFrame, people: DataFrame, key: str = "query_i
     cut = cut.where(F.size("_t") >= F.col("_n"))
     grams = F.transform(F.sequence(F.lit(1), F.size("_t") - F.col("_n") + 1), lambda i: F.array_join(F.slice("_t", i, F.col("_n")), " "))
     hits = cut.select(key, text, F.explode(F.array_distinct(grams)).alias("_gram")).join(named.drop("_n"), "_gram")
-    judged = disambiguate(hits, "_alias", text)
+    judged = disambiguate(hits, "_alias", text, is_ambiguous(F.col("_alias")))
     kept = judged.where(~is_ambiguous(F.col("_alias")) | (F.col("person_hits") > F.col("concept_hits")))
     return kept.select(key, "canonical").distinct()
 

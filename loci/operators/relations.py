@@ -134,14 +134,14 @@ def link_entities(
     confidence = F.when(
         quoted, F.greatest(F.coalesce(F.nullif("_known", F.lit(0.0)), F.lit(0.45)), F.lit(0.55))
     ).when(marked, F.greatest(base, F.lit(fixed.ENTITY_CONFIDENCE))).otherwise(base)
-    named = known.select(
-        *key, "_at", F.lower("entity_name").alias("_id"),
-        F.struct(
+    named = tx.computed(known, {
+        "_id": F.lower("entity_name"),
+        "e": F.struct(
             F.when(~quoted & (kind == "person"), title_case(F.col("entity_name"))).otherwise(F.col("entity_name")).alias("name"),
             kind.alias("type"), confidence.alias("confidence"),
             F.when(unknown, F.col("kind")).otherwise("registry").alias("source"),
-        ).alias("e"),
-    ).where(F.col("e.confidence") >= fixed.ENTITY_CONFIDENCE)
+        ),
+    }).where(F.col("e.confidence") >= fixed.ENTITY_CONFIDENCE)
     merged = named.groupBy(*key, "_id").agg(F.min("_at").alias("ord"), F.max_by("e", "_at").alias("e"))
     out = merged.select(*key, "ord", "e.*")
     if not places:
@@ -168,19 +168,20 @@ def prototypes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "predicate string, mode string, text string").withColumn("vector", vec.embed(F.col("text")))
 
 
-def predicate_scores(segment_vector: Column, protos: DataFrame) -> Column:
-    """array<struct<predicate, active, ended>>: best example per predicate and mode, at least 0."""
+def with_predicate_scores(df: DataFrame, vector: str, protos: DataFrame, out: str) -> DataFrame:
+    """Add array<struct<active, ended>>: the best example per predicate and mode, at least 0."""
     rows = protos.orderBy("predicate", "mode", "text").collect()
-    scores = vec.candidate_scores(segment_vector, vec.unit_rows([r["vector"] for r in rows]), protos.sparkSession)
+    scored = df.withColumn("_protos", vec.candidate_scores(F.col(vector), vec.unit_rows([r["vector"] for r in rows]), df.sparkSession))
 
     def best(predicate, mode):
-        at = [F.get(scores, F.lit(i)) for i, r in enumerate(rows) if (r["predicate"], r["mode"]) == (predicate, mode)]
-        return F.greatest(F.lit(0.0), *at)
+        at = [i + 1 for i, r in enumerate(rows) if (r["predicate"], r["mode"]) == (predicate, mode)]
+        # The rows are sorted, so those of one predicate and mode are neighbours.
+        return F.greatest(F.lit(0.0), F.array_max(F.slice("_protos", at[0], len(at))))
 
-    return F.array(*[
-        F.struct(F.lit(p["id"]).alias("predicate"), best(p["id"], "active").alias("active"), best(p["id"], "ended").alias("ended"))
-        for p in fixed.PREDICATES
+    made = F.array(*[
+        F.struct(best(p["id"], "active").alias("active"), best(p["id"], "ended").alias("ended")) for p in fixed.PREDICATES
     ])
+    return scored.withColumn(out, made).drop("_protos")
 
 
 def type_score(predicate: dict, subject: Column, obj: Column) -> Column:
@@ -209,7 +210,7 @@ def extract_facts(
     )
     grouped = linked.groupBy(key, "pos").agg(ents.alias("_ents")).where(F.size("_ents") >= 2)
     ready = segs.join(grouped, [key, "pos"]).withColumn("_vector", vec.embed(F.col("segment")))
-    ready = ready.withColumn("_preds", predicate_scores(F.col("_vector"), protos))
+    ready = with_predicate_scores(ready, "_vector", protos, "_preds")
     ready = with_temporal(ready, "segment", F.col("_day"), out="_time")
 
     def options(i, j, s, o):
@@ -235,7 +236,7 @@ def extract_facts(
         )),
     ))
     best = F.array_min(F.filter(pairs, lambda p: p["order_score"].isNotNull()))
-    found = ready.withColumn("_b", best).where(F.col("_b.confidence") >= fixed.FACT_CONFIDENCE)
+    found = tx.computed(ready, {"_b": best}).where(F.col("_b.confidence") >= fixed.FACT_CONFIDENCE)
     ended = F.when(F.col("_b.is_end"), F.coalesce("_time.ended", "_time.valid_from"))
     facts = found.select(
         key, "pos", "_b.subject", "_b.subject_type", "_b.predicate", "_b.object", "_b.object_type",

@@ -151,8 +151,8 @@ def rank_palaces(
     df = contexts
     if text is not None:
         df = df.withColumn("_norm", tx.normalize_text(F.col(text)))
-        df = df.withColumn("_words", tx.words(F.col("_norm")))
-        df = df.withColumns({"_tokens": F.array_distinct("_words"), "_phrases": tx.phrases(F.col("_words"))})
+        df = tx.computed(df, {"_words": tx.words(F.col("_norm"))})
+        df = tx.computed(df, {"_tokens": F.array_distinct("_words"), "_phrases": tx.phrases(F.col("_words"))})
     arrays = []
     for i, (packed, matrix) in enumerate(_registry_slices(palaces)):
         df = df.withColumn(f"_sem{i}", vec.candidate_scores(F.col(vector), matrix, spark))
@@ -189,7 +189,7 @@ def rank_palaces(
             )
             ranked = F.transform(F.slice(nearest, 1, limit), lambda x: x["c"])
         ranked = F.array_sort(ranked)
-    df = df.withColumn("candidates", ranked)
+    df = tx.computed(df, {"candidates": ranked})
     if current is not None:
         own = F.filter(F.col("candidates"), lambda c: c["name"] == F.col(current))
         df = df.withColumn("current_score", F.get(own, F.lit(0))["score"])
@@ -256,7 +256,8 @@ def result_quality(hits: DataFrame, queries: DataFrame, *, key: str = "query_id"
     )
     joined = queries.join(top, key, "left").withColumns({
         "_query": tx.normalize_text(F.col(query)), "_corpus": tx.normalize_text(F.col("_corpus")),
-    }).withColumn("_aspects", query_aspects(F.col("_query")))
+    })
+    joined = tx.computed(joined, {"_aspects": query_aspects(F.col("_query")), "_corpus": F.col("_corpus")})
     covered = F.when(F.col("best_similarity").isNull(), F.lit(0.0)).otherwise(
         coverage(F.col("_aspects"), F.col("_corpus"))
     )

@@ -15,6 +15,7 @@ from loci.operators import relations, routing, taxonomy
 from loci.operators.search import reject_exact
 from loci.operators.store import as_upserts
 from loci.schemas import DRAWER_LOG, conform
+from loci.session import cut_lineage
 
 
 def _blank(name: str) -> Column:
@@ -52,19 +53,16 @@ class Saved:
     log: DataFrame        # drawer rows to append
     answers: DataFrame    # one row per request: success or why not
     palaces: DataFrame    # palaces to register
-    facts: DataFrame      # reconciled facts with their actions
-    triples: DataFrame    # the fact table afterwards
+    filed: DataFrame      # the accepted requests with their ids, for save_facts
 
 
 def save_batch(
-    requests: DataFrame, drawers: DataFrame, palaces: DataFrame, triples: DataFrame, people: DataFrame, *,
-    version: int, now: str, added_by: str = "mcp", projects: DataFrame | None = None,
+    requests: DataFrame, drawers: DataFrame, palaces: DataFrame, *, version: int, now: str, added_by: str = "mcp",
 ) -> Saved:
     """File a batch of (seq, palace, content, wing, hall, room, closet, topic, importance, ...).
 
     Wrong requests and exact copies (of stored text or of an earlier request)
-    are answered and dropped; the rest is routed, identified, embedded, and
-    searched for facts, which are reconciled with the fact table in seq order.
+    are answered and dropped; the rest is routed, identified and embedded.
     """
     have = set(requests.columns)
     for name in ("project", "source", "source_file"):
@@ -86,9 +84,10 @@ def save_batch(
     ).withColumn("vector", embed(F.col("scope")))
 
     filed = taxonomy.assign(fresh).withColumns({f"{lv}_name": F.col(lv) for lv in taxonomy.LEVELS})
+    key = F.concat(F.left("content", F.lit(100)), F.lit(now), F.lit("#"), F.col("seq").cast("string"))
     filed = filed.withColumns({
         **{lv: F.col(f"{lv}_id") for lv in taxonomy.LEVELS},
-        "original_id": F.concat(F.lit("dra_"), tx.short_md5(F.concat(F.left("content", F.lit(100)), F.lit(now), F.lit("#"), F.col("seq").cast("string")), 12)),
+        "original_id": F.concat(F.lit("dra_"), tx.short_md5(key, 12)),
         "document": F.col("content"), "vector": embed(F.col("content")),
         "_context": F.concat_ws("\n", "content", "wing_name", "hall_name", "room_name", "closet_name"),
     })
@@ -101,18 +100,24 @@ def save_batch(
         "source_file": F.coalesce("source_file", F.lit("")), "added_by": F.lit(added_by), "filed_at": F.lit(now),
         "session_date": F.left(F.lit(now), F.lit(10)),
     })
-    log = as_upserts(complete, version, F.col("seq"))
+    return Saved(as_upserts(complete, version, F.col("seq")), answers, new_palaces, filed)
 
-    found = relations.extract_facts(
-        filed.select("seq", "document", F.lit(now).alias("filed_at"), F.col("room_name").alias("room"), F.col("closet_name").alias("closet"), F.col("hall_name").alias("hall")),
-        people, projects, key="seq",
+
+def save_facts(
+    filed: DataFrame, triples: DataFrame, people: DataFrame, now: str, projects: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Facts found in filed drawers, reconciled in seq order: (decisions, triples afterwards)."""
+    docs = filed.select(
+        "seq", "document", F.lit(now).alias("filed_at"), F.col("room_name").alias("room"),
+        F.col("closet_name").alias("closet"), F.col("hall_name").alias("hall"),
     )
+    found = cut_lineage(relations.extract_facts(docs, people, projects, key="seq"))
     # One sequence over drawers and their segments.
-    numbered = found.join(filed.select("seq", F.col("original_id").alias("source_closet"), tx.namespace_id(F.col("palace")).alias("namespace")), "seq")
-    numbered = numbered.withColumn("seq", F.col("seq").cast("bigint") * (1 << 20) + F.col("pos"))
-    decided = kg.reconcile(triples, numbered)
+    origin = filed.select("seq", F.col("original_id").alias("source_closet"), tx.namespace_id(F.col("palace")).alias("namespace"))
+    numbered = found.join(origin, "seq").withColumn("seq", F.col("seq").cast("bigint") * (1 << 20) + F.col("pos"))
+    decided = cut_lineage(kg.reconcile(triples, numbered))
     after, _ = kg.apply_reconciled(triples, decided, now)
-    return Saved(log, answers, new_palaces, decided, after)
+    return decided, after
 
 
 def file_chunks(chunks: DataFrame, *, wing: Column, room: Column, palace: Column, version: int, now: str, agent: str, **meta) -> DataFrame:

@@ -12,6 +12,7 @@ from loci.operators import routing
 from loci.operators.filters import apply_where, path_match
 from loci.operators.memory import diary_entries
 from loci.operators.skew import join_unique
+from loci.session import cut_lineage
 
 _PATH = ("wing", "wing_name", "hall", "hall_name", "room", "room_name", "closet", "closet_name")
 
@@ -183,7 +184,9 @@ def search_routed(
     tried = F.col("given").isNull() & (F.size("candidates") >= 2) & routing.weak(
         F.col("quality_score"), F.col("answer_coverage")
     )
-    judged = judged.withColumn("fallback_checked", tried)
+    # Everything below reads the judged queries and their hits several times.
+    judged = cut_lineage(judged.withColumn("fallback_checked", tried))
+    first = cut_lineage(first)
 
     # Weak queries meet every other palace, as (query, palace) pairs.
     pairs = (

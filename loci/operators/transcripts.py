@@ -104,8 +104,8 @@ def split_sessions(files: DataFrame, known=fixed.KNOWN_PEOPLE, usernames=None, m
     """
     lines = F.split(F.col("content"), "(?<=\n)", -1)
     lines = F.filter(lines, lambda x: x != "")
-    found = files.withColumn("_lines", lines).withColumn("_at", session_starts(F.col("_lines")))
-    found = found.where(F.size("_at") >= min_sessions)
+    found = tx.computed(files, {"_lines": lines})
+    found = tx.computed(found, {"_at": session_starts(F.col("_lines"))}).where(F.size("_at") >= min_sessions)
     spans = F.transform(
         F.col("_at"),
         lambda s, i: F.struct(
@@ -113,9 +113,9 @@ def split_sessions(files: DataFrame, known=fixed.KNOWN_PEOPLE, usernames=None, m
             F.coalesce(F.get(F.col("_at"), i + 1), F.size("_lines")).alias("stop"),
         ),
     )
-    parts = found.withColumn("_s", F.explode(spans)).withColumn(
-        "_chunk", F.slice("_lines", F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start"))
-    ).where(F.size("_chunk") >= fixed.SESSION_MIN_LINES)
+    parts = found.withColumn("_s", F.explode(spans)).where(
+        F.col("_s.stop") - F.col("_s.start") >= fixed.SESSION_MIN_LINES
+    ).withColumn("_chunk", F.slice("_lines", F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start"))).drop("_lines", "_at")
     people = session_people(F.col("_chunk"), known, usernames)
     stamp = session_timestamp(F.col("_chunk"))
     named = parts.withColumns({"_people": people, "_stamp": stamp, "subject": session_subject(F.col("_chunk"))})

@@ -319,8 +319,6 @@ def save_batch(t):
         F.lit("").alias("l0_body"), "usage_count",
     )
     from loci.functions.vectors import embed
-    from loci.schemas import PEOPLE, TRIPLES
-
     known = known.withColumn("vector", embed(F.col("scope")))
     asked = t.conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.lit("en").alias("palace"), F.col("text").alias("content"),
@@ -328,10 +326,7 @@ def save_batch(t):
         F.lit("all").alias("closet"), F.col("role").alias("topic"), F.lit(3).alias("importance"),
     )
     stored = w.drawers(t).select("palace", "document")
-    spark = t.spark
-    saved = saving.save_batch(
-        asked, stored, known, spark.createDataFrame([], TRIPLES), spark.createDataFrame([], PEOPLE), version=1, now="2026-01-01T00:00:00Z",
-    )
+    saved = saving.save_batch(asked, stored, known, version=1, now="2026-01-01T00:00:00Z")
     return saved.log.select("seq", "original_id", "wing_name", "room_name", "routing_best_palace", "needs_review", "routing_reason")
 
 
