@@ -58,11 +58,14 @@ l3 AS (SELECT *, sum(CASE WHEN starts_with(line, '>') THEN 1 ELSE 0 END) OVER (P
 l4 AS (SELECT *, min(CASE WHEN starts_with(line, '---') THEN n END) OVER (PARTITION BY doc_id, grp) AS rule FROM l3),
 l5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY n) AS k FROM l4 WHERE grp > 0 AND quoted >= 3 AND line <> '' AND (rule IS NULL OR n < rule)),
 ex AS (SELECT doc_id, grp, max(CASE WHEN k = 1 THEN line END) AS q, string_agg(line, ' ' ORDER BY n) FILTER (k BETWEEN 2 AND 9) AS a FROM l5 GROUP BY doc_id, grp),
+pa AS (SELECT doc_id, UNNEST(string_split(document, chr(10) || chr(10))) AS p0, generate_subscripts(string_split(document, chr(10) || chr(10)), 1) AS i FROM transcripts),
+pt AS (SELECT doc_id, i, trim(p0, {_BLANKS}) AS p FROM pa),
+kind AS (SELECT l.doc_id, max(quoted) AS quoted, max(n) AS total, (SELECT count(*) FROM pt WHERE pt.doc_id = l.doc_id AND p <> '') AS paras FROM l3 l GROUP BY l.doc_id),
 parts AS (
   SELECT doc_id, grp AS ord, CASE WHEN coalesce(a, '') <> '' THEN q || chr(10) || a ELSE q END AS content FROM ex
-  UNION ALL
-  SELECT doc_id, i, p FROM (SELECT doc_id, UNNEST(string_split(document, chr(10) || chr(10))) AS p0, generate_subscripts(string_split(document, chr(10) || chr(10)), 1) AS i
-                            FROM transcripts WHERE doc_id IN (SELECT doc_id FROM l3 WHERE quoted < 3)) x, LATERAL (SELECT trim(p0, {_BLANKS}) AS p) y)
+  UNION ALL SELECT doc_id, i, p FROM pt JOIN kind USING (doc_id) WHERE quoted < 3 AND NOT (paras <= 1 AND total > 20)
+  UNION ALL SELECT doc_id, (n - 1) // 25, trim(string_agg(raw, chr(10) ORDER BY n), {_BLANKS}) FROM ln JOIN kind USING (doc_id)
+            WHERE quoted < 3 AND paras <= 1 AND total > 20 GROUP BY doc_id, (n - 1) // 25)
 SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS chunk_index FROM parts WHERE length(content) > 30
 """)
 def chunk_exchanges(t):
@@ -103,10 +106,10 @@ def transcript_blocks(t):
 
 _HEADER = fixed.SESSION_HEADER
 _MEGA_SQL = f"""
-mega AS (SELECT doc_id, replace(replace(replace(text, ' of ', chr(10) || 'Ctrl+E to show previous messages' || chr(10)), ', ',
-  chr(10) || '{_HEADER}1.0 on /Users/kim/work' || chr(10) || '⏺ 9:05 AM Monday, March 30, 2026' || chr(10) || '> Fix the build for Sam, please!' || chr(10)), ' ', chr(10)) AS content FROM documents),
-mega2 AS (SELECT doc_id, replace(content, chr(10) || 'on' || chr(10), ' on ') AS content FROM mega),
-ln AS (SELECT doc_id, UNNEST(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS n FROM mega2),
+mega AS (SELECT doc_id, replace(replace(replace(text, ' ', chr(10)), ',' || chr(10),
+  chr(10) || '{_HEADER}1.0' || chr(10) || '⏺ 9:05 AM Monday, March 30, 2026' || chr(10) || '> Fix the build for Sam, please!' || chr(10)),
+  chr(10) || 'of' || chr(10), chr(10) || 'Ctrl+E to show previous messages' || chr(10)) AS content FROM documents),
+ln AS (SELECT doc_id, UNNEST(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS n FROM mega),
 cnt AS (SELECT doc_id, CASE WHEN max(n) IS NOT NULL AND arg_max(line, n) = '' THEN max(n) ELSE max(n) + 1 END AS total FROM ln GROUP BY doc_id),
 hit AS (SELECT doc_id, n FROM (SELECT doc_id, n, line, bool_or(contains(line, 'Ctrl+E') OR contains(line, 'previous messages'))
           OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS restored FROM ln) WHERE contains(line, '{_HEADER}') AND NOT restored),
@@ -130,10 +133,9 @@ def session_boundaries(t):
 
 
 def _mega(t: Tables) -> DataFrame:
-    header = f"\n{_HEADER}1.0 on /Users/kim/work\n⏺ 9:05 AM Monday, March 30, 2026\n> Fix the build for Sam, please!\n"
-    text = F.replace("text", F.lit(" of "), F.lit("\nCtrl+E to show previous messages\n"))
-    text = F.replace(F.replace(text, F.lit(", "), F.lit(header)), F.lit(" "), F.lit("\n"))
-    text = F.replace(text, F.lit("\non\n"), F.lit(" on "))
+    header = f"\n{_HEADER}1.0\n⏺ 9:05 AM Monday, March 30, 2026\n> Fix the build for Sam, please!\n"
+    text = F.replace(F.replace("text", F.lit(" "), F.lit("\n")), F.lit(",\n"), F.lit(header))
+    text = F.replace(text, F.lit("\nof\n"), F.lit("\nCtrl+E to show previous messages\n"))
     return t.documents.select(F.concat(F.lit("log "), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), text.alias("content"))
 
 
