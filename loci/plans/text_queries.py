@@ -586,7 +586,7 @@ def normalize_text(t):
     return t.documents.select("doc_id", tx.normalize_text(F.col("text")).alias("normalized"))
 
 
-_FACT_NOTES = "{S} uses Docker with `{B} kit` since {D}. The {B} service depends on Redis today, said {S}."
+_FACT_NOTES = "{S} depends on Redis. The `{B} kit` is part of the stack {S}. {S} no longer depends on Redis."
 
 
 def _sentences(t: Tables) -> DataFrame:
