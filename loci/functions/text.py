@@ -47,9 +47,17 @@ def squash(c: Column) -> Column:
 
 
 def snippet(c: Column, n: int) -> Column:
-    """Whitespace-squashed text of at most n characters, the last three dots."""
-    flat = squash(c)
-    return F.when(F.length(flat) > n, F.concat(F.left(flat, F.lit(n - 3)), F.lit("..."))).otherwise(flat)
+    """Whitespace-squashed text of at most n characters, the last three dots.
+
+    Squashing the beginning is mostly enough: once that alone is longer than
+    n, the rest cannot change the result.  Otherwise the whole text is taken.
+    """
+
+    def cut(flat: Column) -> Column:
+        return F.concat(F.left(flat, F.lit(n - 3)), F.lit("..."))
+
+    head, flat = squash(F.left(strip(c), F.lit(4 * n))), squash(c)
+    return F.when(F.length(head) > n, cut(head)).when(F.length(flat) > n, cut(flat)).otherwise(flat)
 
 
 def preview(c: Column, n: int) -> Column:
@@ -176,11 +184,23 @@ def java_pattern(pattern: str) -> str:
     return out + re.sub(r"(?<=[A-Za-z0-9])\\b$", r"(?![A-Za-z0-9_])", head).replace(r"\b", _BOUNDARY)
 
 
+def required_text(pattern: str) -> str:
+    """The longest plain text every match of a pattern contains ('' if unknown)."""
+    flat = re.sub(r"\([^()]*\)[?*+]?", "\x00", pattern)
+    flat = re.sub(r"\[[^\]]*\][?*+]?|\\.[?*+]?|.[?*]|[.^$|+{}]", "\x00", flat)
+    return max(flat.split("\x00"), key=len)
+
+
 def regexp_hits(text: Column, patterns) -> Column:
-    """Total matches of all patterns in a text."""
+    """Total matches of all patterns in a text.
+
+    A pattern is only run where the text it cannot do without is there, which
+    is far cheaper to look for.
+    """
     total = F.lit(0)
     for p in patterns:
-        total = total + F.regexp_count(text, F.lit(java_pattern(p)))
+        hits, need = F.regexp_count(text, F.lit(java_pattern(p))), required_text(p)
+        total = total + (F.when(F.contains(text, F.lit(need)), hits).otherwise(0) if len(need) > 1 else hits)
     return total
 
 

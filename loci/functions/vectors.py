@@ -8,6 +8,8 @@ Arrow batches.  Spark still owns partitioning, merging and ranking.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -41,16 +43,25 @@ def embedding_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def hash_codes(text: Column, size: int = fixed.VECTOR_SIZE) -> Column:
-    """Signed 1-based bucket per token, from the token's md5."""
+def token_code(token: str, size: int) -> int:
+    """Signed 1-based bucket of a token, from its md5."""
+    digest = md5(token.encode()).hexdigest()
+    bucket = int(digest[:6], 16) % size + 1
+    return -bucket if int(digest[6], 16) % 2 else bucket
 
-    def code(token: Column) -> Column:
-        digest = F.md5(token)
-        bucket = F.conv(F.left(digest, F.lit(6)), 16, 10).cast("int") % F.lit(size) + 1
-        odd = F.conv(F.substring(digest, 7, 1), 16, 10).cast("int") % 2
-        return F.when(odd == 1, -bucket).otherwise(bucket)
 
-    return F.transform(embedding_tokens(text), code)
+class _Codes(dict):
+    """Codes of the words seen so far; emptied when it gets large."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, token):
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[token] = token_code(token, self.size)
+        return code
 
 
 def embed(text: Column, size: int = fixed.VECTOR_SIZE) -> Column:
@@ -61,17 +72,19 @@ def embed(text: Column, size: int = fixed.VECTOR_SIZE) -> Column:
     """
 
     @pandas_udf("array<float>")
-    def scatter(codes: pd.Series) -> pd.Series:
-        lengths = [0 if c is None else len(c) for c in codes]
-        m = np.zeros((len(lengths), size))
-        if sum(lengths):
-            flat = np.concatenate([np.asarray(c, dtype=np.int64) for c, n in zip(codes, lengths) if n])
-            np.add.at(m, (np.repeat(np.arange(len(lengths)), lengths), np.abs(flat) - 1), np.sign(flat))
-        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-        return pd.Series(list(m.astype(np.float32)))
-
-    return scatter(hash_codes(text, size))
+    def scatter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        codes = _Codes(size)
+        for words in batches:
+            lengths = [0 if w is None else len(w) for w in words]
+            m = np.zeros((len(lengths), size))
+            if sum(lengths):
+                flat = np.fromiter((codes[w] for ws in words if ws is not None for w in ws), np.int64, sum(lengths))
+                np.add.at(m, (np.repeat(np.arange(len(lengths)), lengths), np.abs(flat) - 1), np.sign(flat))
+            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+            yield pd.Series(list(m.astype(np.float32)))
+
+    return scatter(embedding_tokens(text))
 
 
 def cosine(a: Column, b: Column) -> Column:

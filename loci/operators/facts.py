@@ -17,6 +17,7 @@ from loci.functions import text as tx
 from loci.operators.filters import active_at, valid_at
 from loci.operators.skew import neighbours, running_count, segment_bounds
 from loci.schemas import ENTITIES, TRIPLES, conform
+from loci.session import cut_lineage
 
 KEY = ["namespace", "subject_id", "predicate", "object_id"]
 
@@ -271,7 +272,8 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
     bounds = segment_bounds(facts, "seq")
     before = neighbours(facts, KEY, "seq", preceding={"_prev": F.col("_ends")}, bounds=bounds)
     flips = F.col("_prev").isNull() | (F.col("_prev") != F.col("_ends"))
-    runs = running_count(before, KEY, "seq", flips, "run", bounds).drop("_prev")
+    # Read twice below, and every step up to here would be doubled each time.
+    runs = cut_lineage(running_count(before, KEY, "seq", flips, "run", bounds).drop("_prev"))
     steps = runs.groupBy(*KEY, "run", F.col("_ends").alias("ended_run"), F.col("_day").alias("day")).agg(
         F.min("seq").alias("first_seq")
     )
@@ -280,7 +282,7 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
     in_order = ready.repartition(*KEY).sortWithinPartitions(*KEY, "first_seq").select(
         *KEY, "run", "ended_run", "first_seq", "day", "open_now", "open_from", "last_end"
     )
-    done = in_order.mapInPandas(_fold, _FOLD_SCHEMA)
+    done = cut_lineage(in_order.mapInPandas(_fold, _FOLD_SCHEMA))
     closing = done.where(F.col("action") == "invalidate").select(*KEY, "run", F.col("first_seq").alias("_closed"))
     verdicts = done.join(closing, [*KEY, "run"], "left")
     keyed = runs.withColumn("day", F.coalesce("_day", F.lit(""))).join(
