@@ -8,16 +8,17 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loci.functions import fixed
+from loci.functions import text as tx
 from loci.functions.vectors import embed
 from loci.operators import consolidate as cons
 from loci.operators import facts as kg
 from loci.operators import memory, routing, saving, search, taxonomy, topology
 from loci.operators.store import DrawerTable
-from loci.schemas import ENTITIES, PALACES, PEOPLE, TRIPLES, conform
+from loci.schemas import ENTITIES, PALACES, PEOPLE, ROUTES, TRIPLES, conform
 from loci.session import cut_lineage
 
 
@@ -61,7 +62,7 @@ class Memory:
         self._triples = _Table(spark, f"{self.path}/triples", TRIPLES)
         self._entities = _Table(spark, f"{self.path}/entities", ENTITIES)
         self._people = _Table(spark, f"{self.path}/people", PEOPLE)
-        self._routes = _Table(spark, f"{self.path}/routes", "query string, palace string, source string, ts string, seq long")
+        self._routes = _Table(spark, f"{self.path}/routes", ROUTES)
 
     # tables -------------------------------------------------------------------------------
 
@@ -194,15 +195,22 @@ class Memory:
 
     # facts --------------------------------------------------------------------------------
 
-    def kg_query(self, entity: str, as_of: str | None = None, direction: str = "both") -> DataFrame:
-        wanted = self.spark.createDataFrame([(entity, as_of)], "entity string, as_of string")
-        return kg.by_time(kg.query_entities(self.triples(), self.entities(), wanted, direction))
+    def _facts(self, palace: str) -> tuple[DataFrame, DataFrame, Column]:
+        """Triples and entities of a palace's namespace, and the namespace."""
+        name = tx.namespace_id(F.lit(palace))
+        own = F.col("namespace") == name
+        return self.triples().where(own), self.entities().where(own), name
 
-    def kg_add(self, subject: str, predicate: str, object: str, valid_from=None, source_closet=None) -> DataFrame:
+    def kg_query(self, entity: str, as_of: str | None = None, direction: str = "both", palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
+        triples, entities, name = self._facts(palace)
+        wanted = self.spark.createDataFrame([(entity, as_of)], "entity string, as_of string").withColumn("namespace", name)
+        return kg.by_time(kg.query_entities(triples, entities, wanted, direction))
+
+    def kg_add(self, subject: str, predicate: str, object: str, valid_from=None, source_closet=None, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
         rows = self.spark.createDataFrame(
             [(subject, predicate, object, valid_from, source_closet, 0)],
             "subject string, predicate string, object string, valid_from string, source_closet string, seq long",
-        )
+        ).withColumn("namespace", tx.namespace_id(F.lit(palace)))
         new = kg.add_triples(self.triples(), rows, self._now())
         named = kg.entities_of(kg.with_ids(rows), self.entities())
         self._entities.write(self.entities().unionByName(conform(named, ENTITIES)))
@@ -210,15 +218,18 @@ class Memory:
         key = kg.with_ids(rows).select(*kg.KEY)
         return self.triples().join(key, kg.KEY).where(F.col("valid_to").isNull()).select("id")
 
-    def kg_invalidate(self, subject: str, predicate: str, object: str, ended=None) -> None:
+    def kg_invalidate(self, subject: str, predicate: str, object: str, ended=None, palace: str = fixed.DEFAULT_PALACE) -> None:
         ends = self.spark.createDataFrame([(subject, predicate, object, ended)], "subject string, predicate string, object string, ended string")
+        ends = ends.withColumn("namespace", tx.namespace_id(F.lit(palace)))
         self._triples.write(kg.invalidate(self.triples(), ends, self._now()[:10]))
 
-    def kg_timeline(self, entity: str | None = None) -> DataFrame:
-        return kg.timeline(self.triples(), self.entities(), entity)
+    def kg_timeline(self, entity: str | None = None, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
+        triples, entities, _ = self._facts(palace)
+        return kg.timeline(triples, entities, entity)
 
-    def kg_stats(self) -> DataFrame:
-        return kg.stats(self.triples(), self.entities())
+    def kg_stats(self, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
+        triples, entities, _ = self._facts(palace)
+        return kg.stats(triples, entities)
 
     # review and navigation --------------------------------------------------------------------
 

@@ -65,7 +65,7 @@ def main(argv=None, spark=None) -> int:
         parts = F.split("path", "/")
         dirs = dirs.select("project", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct()
         rooms = [r.asDict() for r in classify.detect_rooms(dirs, paths).drop("project", "source").orderBy("name").collect()]
-        found = entities.detect_entities(entities.corpus_text(files.scan_for_detection(tree)))
+        found = entities.detect_entities(entities.corpus_text(files.load(files.scan_for_detection(tree))))
         people = [r["name"] for r in entities.best_entities(found).where("type = 'person'").collect()]
         with open(os.path.join(args.dir, "loci.json"), "w", encoding="utf-8") as out:
             json.dump({"wing": _wing(args.dir), "rooms": rooms, "people": people}, out, indent=2, ensure_ascii=False)
@@ -73,7 +73,7 @@ def main(argv=None, spark=None) -> int:
         return 0
     if args.command == "split":
         tree = files.read_tree(spark, os.path.abspath(args.dir)).where(F.col("path").endswith(".txt"))
-        texts = tree.select("path", files.as_text(F.col("content")).alias("content"))
+        texts = files.load(tree).select("path", files.as_text(F.col("content")).alias("content"))
         sessions = transcripts.split_sessions(texts, min_sessions=args.min_sessions)
         sessions.select("path", "part", "line_count", "file_name").orderBy("path", "part").show(100, truncate=False)
         if not args.dry_run:
@@ -92,7 +92,7 @@ def main(argv=None, spark=None) -> int:
                 mode=args.extract, drawers=None if args.dry_run else store.drawers(), limit=args.limit,
             )
         else:
-            wing, rooms = files.read_room_config(spark, os.path.abspath(args.dir))
+            wing, rooms = files.read_room_config(os.path.abspath(args.dir))
             log = files.mine_project(
                 tree, wing=args.wing or wing, rooms=rooms, palace=args.palace, now=now, version=version, agent=args.agent,
                 respect_gitignore=not args.no_gitignore, include_ignored=[x for x in args.include_ignored.split(",") if x], limit=args.limit,

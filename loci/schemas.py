@@ -47,6 +47,8 @@ PEOPLE = _struct(
     ("relationship", _S), ("confidence", _D), ("canonical", _S), ("seen_count", _L),
 )
 
+ROUTES = _struct(("query", _S), ("palace", _S), ("source", _S), ("ts", _S), ("seq", _L))
+
 STAGED = _struct(
     ("staged_at", _S),
     ("project", _S),

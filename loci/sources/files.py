@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +16,51 @@ from loci.sources import chat
 from loci.sources.gitignore import kept_files, parse_rules
 
 
+_BATCH_BYTES = 8 * 1024 * 1024
+
+
 def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All files below a folder: (path relative to it, uri, content as bytes)."""
-    uri = root if "://" in root else "file:" + root
-    base = uri.rstrip("/") + "/"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    plain = F.regexp_replace("path", r"^file:/+", "file:/")
-    cut = F.length(F.regexp_replace(F.lit(base), r"^file:/+", "file:/"))
-    return raw.select(F.substring(plain, cut + 1, F.lit(1 << 30)).alias("path"), F.col("path").alias("uri"), "content")
+    """All files below a folder: (path relative to it, uri); ``load`` adds the bytes.
+
+    Spark's own readers hide names that start with a dot or an underscore, so
+    the listing goes through Arrow's file systems, a task per top-level entry.
+    """
+    uri = root if "://" in root else "file://" + root
+    uri = uri.rstrip("/")
+    fs, base = pafs.FileSystem.from_uri(uri)
+    top = [(i.path, i.type == pafs.FileType.Directory) for i in fs.get_file_info(pafs.FileSelector(base))]
+
+    def walk(batches):
+        fs, base = pafs.FileSystem.from_uri(uri)
+        for pdf in batches:
+            for path, is_dir in zip(pdf["path"], pdf["is_dir"]):
+                infos = fs.get_file_info(pafs.FileSelector(path, recursive=True)) if is_dir else [fs.get_file_info(path)]
+                found = [i.path[len(base):].lstrip("/") for i in infos if i.type == pafs.FileType.File]
+                yield pd.DataFrame({"path": found, "uri": [f"{uri}/{p}" for p in found]}, dtype=object)
+
+    entries = spark.createDataFrame(top, "path string, is_dir boolean")
+    return entries.repartition(max(1, len(top))).mapInPandas(walk, "path string, uri string")
+
+
+def load(files: DataFrame) -> DataFrame:
+    """Add the bytes of listed files (path, uri), read where the task runs."""
+    if "content" in files.columns:
+        return files
+
+    def read(batches):
+        for pdf in batches:
+            rows, size = [], 0
+            for path, uri in zip(pdf["path"], pdf["uri"]):
+                fs, name = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_stream(name) as stream:
+                    rows.append((path, uri, stream.read()))
+                size += len(rows[-1][2])
+                if size > _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=["path", "uri", "content"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["path", "uri", "content"])
+
+    return files.select("path", "uri").mapInPandas(read, "path string, uri string, content binary")
 
 
 def as_text(content: Column) -> Column:
@@ -27,7 +68,7 @@ def as_text(content: Column) -> Column:
 
 
 def ignore_files(tree: DataFrame) -> DataFrame:
-    own = tree.where(tx.basename(F.col("path")) == ".gitignore")
+    own = load(tree.where(tx.basename(F.col("path")) == ".gitignore"))
     base = F.regexp_replace("path", r"/?\.gitignore$", "")
     return own.select(base.alias("base"), as_text(F.col("content")).alias("content"))
 
@@ -66,7 +107,7 @@ def mine_project(tree: DataFrame, *, wing: str, rooms: list[dict], palace: str,
     files = scan_project(tree, respect_gitignore, include_ignored)
     if limit:
         files = files.orderBy("path").limit(limit)
-    docs = files.select("path", tx.strip(as_text(F.col("content"))).alias("document"))
+    docs = load(files).select("path", tx.strip(as_text(F.col("content"))).alias("document"))
     docs = docs.where(F.length("document") >= fixed.CHUNK_MIN)
     docs = docs.withColumn("_room", classify.detect_room(F.col("path"), F.col("document"), rooms))
     cut = chunking.chunk_text(docs)
@@ -81,7 +122,7 @@ def mine_convos(tree: DataFrame, *, wing: str, palace: str, now: str, version: i
         files = unfiled(files, drawers)
     if limit:
         files = files.orderBy("path").limit(limit)
-    docs = files.select("path", as_text(F.col("content")).alias("content"))
+    docs = load(files).select("path", as_text(F.col("content")).alias("content"))
     docs = chat.normalize(docs).select("path", F.col("transcript").alias("document"))
     docs = docs.where(F.length(tx.strip(F.col("document"))) >= fixed.EXCHANGE_MIN)
     if mode == "general":
@@ -101,19 +142,19 @@ def mining_summary(log: DataFrame) -> DataFrame:
     return log.groupBy("room").agg(F.countDistinct("source_file").alias("files"), F.count("*").alias("drawers")).orderBy(F.desc("files"), "room")
 
 
-def read_room_config(spark: SparkSession, folder: str) -> tuple[str, list[dict]]:
+def read_room_config(folder: str) -> tuple[str, list[dict]]:
     """Wing and rooms from a project's loci.json (or loci.yaml, where yaml is installed)."""
-    import json
-
+    fs, base = pafs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
     for name in ("loci.json", "loci.yaml"):
-        rows = spark.read.format("binaryFile").option("pathGlobFilter", name).load(folder).limit(1).collect()
-        if rows:
-            text = bytes(rows[0]["content"]).decode("utf-8")
-            if name.endswith("json"):
-                data = json.loads(text)
-            else:
-                import yaml
-
-                data = yaml.safe_load(text)
-            return data.get("wing"), data.get("rooms") or [{"name": "general", "description": "All project files"}]
+        if fs.get_file_info(f"{base}/{name}").type != pafs.FileType.File:
+            continue
+        with fs.open_input_stream(f"{base}/{name}") as stream:
+            text = stream.read().decode("utf-8")
+        if name.endswith("json"):
+            data = json.loads(text)
+        else:
+            import yaml
+
+            data = yaml.safe_load(text)
+        return data.get("wing"), data.get("rooms") or [{"name": "general", "description": "All project files"}]
     raise FileNotFoundError(f"No loci.json or loci.yaml in {folder}")
