@@ -138,7 +138,7 @@ def rules(f: Column) -> dict[str, tuple[Column, Column]]:
         "symbols": (F.lit(False), f["n_symbols"] > 0.3 * words),
         "capitals": (F.lit(False), f["n_upper"] > 0.5 * letters),
         "shouting": (F.lit(False), f["n_shouts"] > 0.2 * words),
-        "lines": (F.lit(False), f["n_dup_lines"] * 10 > 3 * F.greatest(f["n_lines"], F.lit(1))),
+        "lines": (F.lit(False), f["n_dup_lines"] * 2 > F.greatest(f["n_lines"], F.lit(1))),
         "repetition": (share < 0.1, share > 0.4),
         "word_length": ((mean >= 3) & (mean <= 9), (mean < 2) | (mean > 14)),
         "function_words": (f["n_common"] >= 0.05 * words, (f["n_common"] == 0) & (f["n_words"] >= 30)),
