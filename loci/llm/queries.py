@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loci.llm import mixing, quality_rules, simhash, url_filter
+from loci.llm import language_id, mixing, order_minhash, quality_rules, simhash, site_quality, url_filter
 from loci.llm.common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,27 @@ def op5_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 SQL["op5_mix_sources"] = mixing.SQL
 
 
+@query
+def op6_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.neighbours(table(spark, folder, "documents"))
+
+
+@query
+def op7_site_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The source is the host; its part in one language stands for a path."""
+    host, path = F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
+    return site_quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"), host, path)
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    training = F.col("doc_id").isNotNull() & ~held
+    found = language_id.identify(docs, training)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
