@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.llm import language_id, mixing, order_minhash, quality_rules, simhash, site_quality, url_filter
+from loci.llm import language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, url_filter
 from loci.llm.common import prepare, table
 
+TOKENIZER = "word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         return fn(prepare(spark), folder)
@@ -28,6 +36,11 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge(table(spark, folder, "documents"))
 
 
+@query
+def op2_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.digested(packing.packed(table(spark, folder, "documents"), tokenizer_path()))
+
+
 @query
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))

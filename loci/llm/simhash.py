@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bucket: i
     Repeated rows and equal texts share a component.  A null doc_id never names one.
     """
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    named = near_groups(prints, max_bucket).drop("root")
+    named = written(near_groups(prints, max_bucket).drop("root"), "groups")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
