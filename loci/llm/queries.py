@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.llm import language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, url_filter
+from loci.llm import language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, substring_dedup, url_filter
 from loci.llm.common import prepare, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,6 +66,11 @@ def op7_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     return site_quality.judged(table(spark, folder, "documents"), table(spark, folder, "labels"), host, path)
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.removed(table(spark, folder, "documents"))
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
