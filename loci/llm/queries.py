@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.llm import language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, substring_dedup, url_filter
+from loci.llm import html_extract, language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, substring_dedup, url_filter
 from loci.llm.common import prepare, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op2_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digested(packing.packed(table(spark, folder, "documents"), tokenizer_path()))
 
 
+@query
+def op3_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extracted(table(spark, folder, "pages"))
+
+
 @query
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(table(spark, folder, "pages"))
