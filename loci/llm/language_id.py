@@ -72,10 +72,12 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 def gram_counts(counts: DataFrame) -> DataFrame:
     """(lang, gram, n) for the n-grams of all orders of words with their ends marked."""
-    size = F.char_length("w")
-    grams = F.flatten(F.array(*[
-        F.transform(F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), lambda i, k=k: F.substring(F.col("w"), i, F.lit(k))) for k in ORDERS
-    ]))
+
+    def cut(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length("w") - (k - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(F.col("w"), i, F.lit(k)))
+
+    grams = F.flatten(F.array(*[cut(k) for k in ORDERS]))
     spread = counts.select("lang", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("w")).select("lang", "n", F.explode(grams).alias("gram"))
     return spread.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
