@@ -54,7 +54,7 @@ class Packer:
     def _route(self, doc: int, start: int, stop: int) -> None:
         insort(self.pool, (stop - start, doc, start, stop))
 
-    def _take(self, gap: int, below: int) -> Piece:
+    def _take(self, gap: int) -> Piece:
         """A piece of at most ``gap`` ids: the longest that fits whole, else the beginning of the shortest."""
         at = bisect_right(self.pool, gap, key=lambda p: p[0]) - 1
         if at >= 0:
@@ -77,9 +77,12 @@ class Packer:
         for tier, below in zip(self.tiers, (*self.tiers[1:], 0), strict=True):
             while self.pool and self.pool[-1][0] > below and left >= tier:
                 _, doc, start, stop = self.pool.pop()
+                if stop - start > tier:  # a longer tier could not be filled any more
+                    self._route(doc, start + tier, stop)
+                    stop = start + tier
                 window, gap = [(doc, start, stop)], tier - (stop - start)
                 while gap:
-                    piece = self._take(gap, below)
+                    piece = self._take(gap)
                     window.append(piece)
                     gap -= piece[2] - piece[1]
                 left -= tier
@@ -94,7 +97,7 @@ class Packer:
             size = min(self.tiers[0], 1 << (left.bit_length() - 1))
             window, gap = [], size
             while gap:
-                piece = self._take(gap, 0)
+                piece = self._take(gap)
                 window.append(piece)
                 gap -= piece[2] - piece[1]
             windows.append(window)
