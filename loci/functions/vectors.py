@@ -7,7 +7,6 @@ Arrow batches.  Spark still owns partitioning, merging and ranking.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from hashlib import md5
 
@@ -104,21 +103,11 @@ def cosine(a: Column, b: Column) -> Column:
 # --- top-k of many items for a batch of queries ----------------------------------
 
 
-# A first look at the queries takes this many rows; mostly that is all of them.
-FIRST_ROWS = BLOCK_BYTES // (8 * 1024)
-
-
-def _local_slices(df: DataFrame, key: str, vector: str):
-    """A vector table as pandas frames, each small enough to send around."""
-    head = df.limit(FIRST_ROWS + 1).toPandas()
-    if len(head) <= FIRST_ROWS:
-        yield head
-        return
-    n, width = df.agg(F.count("*"), F.max(F.size(vector))).first()
-    parts = max(1, math.ceil(n * (width or 1) * 8 / BLOCK_BYTES))
-    bucket = F.pmod(F.xxhash64(key), F.lit(parts))
-    for i in range(parts):
-        yield df.where(bucket == i).toPandas()
+def _blocks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """How many blocks of at most BLOCK_BYTES a vector table makes, per group where there is one."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
+    count = F.greatest(F.ceil(F.col("n") * F.col("width") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    return sizes.select(*keys, F.coalesce(count, F.lit(1)).alias("blocks"))
 
 
 def _ids(values: pd.Series) -> np.ndarray:
@@ -167,63 +156,51 @@ def top_k(
 ) -> DataFrame:
     """Exact best-k items by cosine for every query: (query_id, item_id, score, rank).
 
-    Items stay where they are.  Every task keeps its own best k per query, so
-    only ``queries x k`` rows per task are shuffled, and a hot group of items
-    costs nothing extra.  Queries are sent in slices of bounded size, each
-    slice being one more pass over the items.  With ``group`` set, a query
-    only sees items with the same value in that column.
+    Both sides stay distributed.  Each is cut by a hash of its ids into blocks
+    of at most BLOCK_BYTES; every query block meets every item block in one
+    task, which multiplies them and keeps its own best k per query.  The best
+    of all blocks are ranked per query.  With ``group`` set, a query only sees
+    items with the same value in that column, and blocks are cut per group, so
+    a large group is many tasks and a small one a single task.
     """
-    spark = items.sparkSession
-    extra = [group] if group else []
-    qcols = queries.select(query_id, vector, *extra).where(F.col(vector).isNotNull())
-    icols = items.select(item_id, vector, *extra).where(F.col(vector).isNotNull())
-    qtype, itype = qcols.schema[query_id].dataType, icols.schema[item_id].dataType
+    keys = ["_group"] if group else []
+    named = [F.col(group).alias("_group")] if group else []
+    qcols = queries.select(F.col(query_id).alias("_q"), F.col(vector).alias("vector"), *named).where(F.col("vector").isNotNull())
+    icols = items.select(F.col(item_id).alias("_i"), F.col(vector).alias("vector"), *named).where(F.col("vector").isNotNull())
+    qtype, itype = qcols.schema["_q"].dataType, icols.schema["_i"].dataType
     schema = T.StructType([
         T.StructField(query_id, qtype), T.StructField(item_id, itype), T.StructField("score", T.DoubleType()),
     ])
     # One more candidate per query where the query itself is among the items.
     take = k + 1 if skip_same_id else k
 
-    partials = []
-    for local in _local_slices(qcols, query_id, vector):
-        if local.empty:
-            continue
-        shared = spark.sparkContext.broadcast((
-            unit_rows(local[vector]),
-            local[query_id].to_numpy(),
-            local[group].to_numpy() if group else None,
-        ))
-
-        def best(batches, shared=shared):
-            qm, qids, qgroups = shared.value
-            kept = None
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                xm, ids = unit_rows(pdf[vector]), _ids(pdf[item_id])
-                if qgroups is None:
-                    pairs = [(np.arange(len(qids)), np.arange(len(ids)))]
-                else:
-                    xg = pdf[group].to_numpy()
-                    pairs = [(np.nonzero(qgroups == g)[0], np.nonzero(xg == g)[0]) for g in pd.unique(xg)]
-                found = [] if kept is None else [kept]
-                for qsel, xsel in pairs:
-                    if not len(qsel):
-                        continue
-                    for qi, xi, s in _block_hits(qm[qsel], xm[xsel], take, min_score):
-                        found.append((qsel[qi], ids[xsel[xi]], s))
-                if found:
-                    kept = _keep_best(tuple(np.concatenate(c) for c in zip(*found)), take)
-            if kept is not None:
-                yield pd.DataFrame({query_id: qids[kept[0]], item_id: kept[1], "score": kept[2]})
-
-        partials.append(icols.mapInPandas(best, schema))
-
-    if not partials:
-        return spark.createDataFrame([], schema).withColumn("rank", F.lit(0))
-    merged = partials[0]
-    for p in partials[1:]:
-        merged = merged.unionByName(p)
+    grid = _blocks(qcols, keys).withColumnRenamed("blocks", "_qs")
+    other = _blocks(icols, keys).withColumnRenamed("blocks", "_is")
+    # Without a group this is one row; with one, a row per group of both sides.
+    grid = grid.join(other, keys) if keys else grid.withColumn("_is", other.select("_is").scalar())
+
+    def dealt(side: DataFrame, own: str, across: str, key: str) -> DataFrame:
+        with_grid = side.join(grid, keys) if keys else side.withColumns({c: grid.select(c).scalar() for c in ("_qs", "_is")})
+        block = F.pmod(F.xxhash64(key), F.col(own)).cast("int")
+        return with_grid.select(
+            *keys, key, "vector", block.alias("_own"), F.explode(F.sequence(F.lit(0), F.col(across) - 1)).alias("_other")
+        )
+
+    left = dealt(qcols, "_qs", "_is", "_q").withColumnsRenamed({"_own": "_qb", "_other": "_ib"})
+    right = dealt(icols, "_is", "_qs", "_i").withColumnsRenamed({"_own": "_ib", "_other": "_qb"})
+
+    def best(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
+        if qs.empty or xs.empty:
+            return pd.DataFrame({query_id: qs["_q"][:0], item_id: xs["_i"][:0], "score": np.zeros(0)})
+        qm, xm, qids, ids = unit_rows(qs["vector"]), unit_rows(xs["vector"]), qs["_q"].to_numpy(), _ids(xs["_i"])
+        kept = None
+        for qi, xi, s in _block_hits(qm, xm, take, min_score):
+            found = (qi, ids[xi], s)
+            kept = _keep_best(found if kept is None else tuple(np.concatenate(c) for c in zip(kept, found)), take)
+        return pd.DataFrame({query_id: qids[kept[0]], item_id: kept[1], "score": kept[2]})
+
+    on = [*keys, "_qb", "_ib"]
+    merged = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(best, schema)
     if skip_same_id:
         merged = merged.where(F.col(query_id) != F.col(item_id))
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(item_id))

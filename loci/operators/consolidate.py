@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loci.functions import fixed
@@ -141,8 +141,12 @@ def move(
         F.col("drawer_id").alias("original_id"), F.col("from_palace").alias("palace"), "to_palace", why.alias("_why")
     )
     rows = drawers.join(plan, ["palace", "original_id"])
-    near = nearest_paths(rows.select(F.col("original_id").alias("drawer_id"), "to_palace", "vector"), drawers)
-    rows = rows.join(near.withColumnRenamed("drawer_id", "original_id"), "original_id", "left")
+    # One id may be on the move from two palaces.
+    rows = rows.withColumn("_probe", F.concat_ws("\x01", "palace", F.col("original_id").cast("string")))
+    near = nearest_paths(rows.select(F.col("_probe").alias("drawer_id"), "to_palace", "vector"), drawers)
+    rows = rows.join(near.withColumnRenamed("drawer_id", "_probe"), "_probe", "left").drop("_probe")
+    turn = F.row_number().over(Window.partitionBy("to_palace", "original_id").orderBy("palace"))
+    rows = rows.withColumn("_turn", turn)
     matched = {f"{n}_name": F.col(f"matched_{n}_name") for n in _PATH_DEFAULTS}
     target = choose_path(path_names(rows), matched, F.col("matched_similarity"))
     gone = as_deletes(rows, version, F.lit(0))
@@ -154,12 +158,12 @@ def move(
     named = placed.withColumns({
         lv: taxonomy.node_id(F.lit(taxonomy._PREFIX[lv]), F.col("palace"), F.col(f"{lv}_name")) for lv in taxonomy.LEVELS
     })
-    return gone.unionByName(as_upserts(named.drop("op", "version", "seq"), version, F.lit(1)))
+    return gone.unionByName(as_upserts(named.drop("op", "version", "seq"), version, F.col("_turn")))
 
 
 def consolidate(
     drawers: DataFrame, palaces: DataFrame, palace: str, *, version: int, now: str, dry_run: bool = True,
-    max_moves: int | None = 25, max_deletes: int | None = None, limit: int | None = None,
+    max_moves: int | None = None, max_deletes: int | None = None, limit: int | None = None,
     min_score=fixed.MIN_SCORE, min_gap=fixed.MIN_GAP,
 ) -> tuple[DataFrame, DataFrame]:
     """Audit a palace and return (findings acted on, log rows to append).

@@ -92,7 +92,13 @@ def save_batch(
         "_context": F.concat_ws("\n", "content", "wing_name", "hall_name", "room_name", "closet_name"),
     })
     filed = filed.withColumn("_cv", embed(F.col("_context")))
-    known = palaces.select("name", "description", "keywords", "scope", "l0_body", "usage_count", "vector")
+    # A palace that this batch opens competes like any other.
+    listed = ("name", "description", "keywords", "scope", "l0_body", "usage_count", "vector")
+    opened = new_palaces.withColumns({
+        "usage_count": F.lit(0).cast(palaces.schema["usage_count"].dataType),
+        **{c: F.lit(None).cast(palaces.schema[c].dataType) for c in ("keywords", "l0_body")},
+    })
+    known = palaces.select(*listed).unionByName(opened.select(*listed))
     routed = routing.assess_explicit(filed, known, text="_context", vector="_cv")
     complete = routed.withColumns({
         "importance": F.col("importance").cast("double"), "project": F.coalesce("project", F.lit("")),

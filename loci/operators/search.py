@@ -38,6 +38,15 @@ def hit_fields(df: DataFrame) -> list:
     return out
 
 
+def drawer_key(df: DataFrame) -> DataFrame:
+    """Add _key, naming a drawer across palaces; it sorts by id, then by palace."""
+    own = F.col("original_id").cast("string")
+    if df.schema["original_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        own = F.lpad(own, 20, "0")
+    palace = F.coalesce(F.col("palace").cast("string"), F.lit("")) if "palace" in df.columns else F.lit("")
+    return df.withColumn("_key", F.concat(own, F.lit("\x01"), palace))
+
+
 def search(
     queries: DataFrame, drawers: DataFrame, k: int = fixed.SEARCH_K, *, where: dict | None = None,
     wing=None, hall=None, room=None, closet=None, by_palace: bool = False, skip_same_id: bool = False,
@@ -50,13 +59,15 @@ def search(
     """
     queries = with_vector(queries, query_text)
     found = path_match(apply_where(drawers, where), wing, hall, room, closet)
+    # Ids are unique within a palace only.  A query is left out of its own hits by id.
+    found = found.withColumn("_key", F.col("original_id")) if skip_same_id else drawer_key(found)
     hits = top_k(
-        queries, found, k, query_id=query_id, item_id="original_id",
+        queries, found, k, query_id=query_id, item_id="_key",
         group="palace" if by_palace else None, skip_same_id=skip_same_id,
     )
-    # Only k rows per query are left; they fetch their texts by id.
+    # Only k rows per query are left; they fetch their texts by key.
     payload = [c for c in ("palace", "document", "source_file", *_PATH) if c in found.columns]
-    full = hits.join(found.select("original_id", *payload), "original_id")
+    full = hits.join(found.select("_key", "original_id", *payload), "_key")
     if by_palace:
         full = full.join(queries.select(query_id, "palace"), [query_id, "palace"], "left_semi")
     keep = ["palace"] if "palace" in payload else []
@@ -64,9 +75,9 @@ def search(
 
 
 def diary_search(queries: DataFrame, drawers: DataFrame, k: int = 5, *, agent=None, topic=None, session_id=None) -> DataFrame:
-    entries = diary_entries(drawers, agent, session_id, topic)
-    hits = top_k(with_vector(queries, "query"), entries, k, item_id="original_id")
-    return hits.join(entries.select("original_id", "date", "filed_at", "topic", "document"), "original_id").select(
+    entries = drawer_key(diary_entries(drawers, agent, session_id, topic))
+    hits = top_k(with_vector(queries, "query"), entries, k, item_id="_key")
+    return hits.join(entries.select("_key", "original_id", "date", "filed_at", "topic", "document"), "_key").select(
         "query_id", "rank", "original_id",
         F.coalesce("date", F.lit("")).alias("date"), F.coalesce("filed_at", F.lit("")).alias("timestamp"),
         F.coalesce("topic", F.lit("")).alias("topic"), F.col("document").alias("content"),

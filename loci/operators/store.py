@@ -14,14 +14,25 @@ KEY = ("palace", "point_id")
 
 
 def latest(log: DataFrame, keys, order: Column) -> DataFrame:
-    """Last row per key by an order column; partially aggregated before the shuffle."""
-    row = F.max_by(F.struct(*[F.col(c) for c in log.columns]), order)
-    return log.groupBy(*keys).agg(row.alias("_row")).select("_row.*")
+    """Last row per key by an order column; partially aggregated before the shuffle.
+
+    Keys come from the grouping, so filters on them reach the scan.
+    """
+    rest = [c for c in log.columns if c not in keys]
+    row = F.max_by(F.struct(*rest), order)
+    return log.groupBy(*keys).agg(row.alias("_row")).select(*keys, "_row.*").select(*log.columns)
 
 
-def current(log: DataFrame) -> DataFrame:
-    """The rows that are there now: last write per key wins, deletes vanish."""
-    return latest(log, KEY, F.struct("version", "seq")).where(F.col("op") == "upsert")
+def current(log: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """The rows that are there now: last write per key wins, deletes vanish.
+
+    With ``columns`` only those are read besides the key and order of writes.
+    """
+    if columns is not None:
+        kept = dict.fromkeys([*KEY, "version", "seq", "op", *columns])
+        log = log.select(*kept)
+    found = latest(log, KEY, F.struct("version", "seq")).where(F.col("op") == "upsert")
+    return found if columns is None else found.select(*columns)
 
 
 def as_upserts(rows: DataFrame, version: Column | int = 0, seq: Column | None = None) -> DataFrame:
@@ -133,8 +144,8 @@ class DrawerTable:
     def log(self) -> DataFrame:
         return conform(self.spark.read.schema(DRAWER_LOG).parquet(self._folder()), DRAWER_LOG)
 
-    def current(self) -> DataFrame:
-        return current(self.log())
+    def current(self, columns: list[str] | None = None) -> DataFrame:
+        return current(self.log(), columns)
 
     def next_version(self) -> int:
         if not self.exists():
@@ -158,7 +169,7 @@ class DrawerTable:
         self.delete_where({"palace": palace})
 
     def count(self, palace: str | None = None) -> int:
-        rows = self.current()
+        rows = self.current(["palace"])
         return (rows.where(F.col("palace") == palace) if palace else rows).count()
 
     def compact(self) -> None:

@@ -71,13 +71,13 @@ WITH {w.VECTORS_SQL}, {w.DRAWERS_SQL},
 scored AS (SELECT q.name AS query_id, v.original_id, {_COS} AS score FROM palaces q, vecs v),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, original_id) AS rank FROM scored)
 SELECT query_id, rank, original_id, document AS text, wing, wing_name, hall, CAST(NULL AS VARCHAR) AS hall_name, room, room_name,
-       closet, CAST(NULL AS VARCHAR) AS closet_name, regexp_extract(source_file, '[^/]+$') AS source_file,
+       closet, CAST(NULL AS VARCHAR) AS closet_name, coalesce(regexp_extract(source_file, '[^/]+$'), '?') AS source_file,
        {_R3.format('score')} AS similarity
-FROM ranked JOIN drawers USING (original_id) WHERE rank <= 5
+FROM ranked LEFT JOIN drawers USING (original_id) WHERE rank <= 5
 """)
 def search_hits(t):
-    """Search hits with all their fields."""
-    items = w.drawers(t).join(w.vectors(t).drop("palace"), "original_id").drop("palace")
+    """Search hits with all their fields, where a vector has no drawer row without its path."""
+    items = w.vectors(t).drop("palace").join(w.drawers(t).drop("palace"), "original_id", "left")
     return search.search(_scopes(t), items, 5)
 
 
@@ -90,16 +90,16 @@ scored AS (
   SELECT q.original_id AS query_id, v.original_id, {_COS} AS score FROM vecs q, vecs v
   WHERE q.palace = v.palace AND q.original_id <> v.original_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, original_id) AS rank FROM scored)
-SELECT query_id, rank, r.original_id, d.wing, d.room, {_R3.format('score')} AS similarity,
+SELECT query_id, rank, r.original_id, coalesce(d.wing, '?') AS wing, coalesce(d.room, '?') AS room, {_R3.format('score')} AS similarity,
        trim(d.document, ' ' || chr(9) || chr(10) || chr(13)) = trim(c.document, ' ' || chr(9) || chr(10) || chr(13)) AS exact_match,
        CASE WHEN length(d.document) > 200 THEN left(d.document, 200) || '...' ELSE d.document END AS content
-FROM ranked r JOIN drawers d ON d.original_id = r.original_id JOIN drawers c ON c.original_id = r.query_id
+FROM ranked r LEFT JOIN drawers d ON d.original_id = r.original_id LEFT JOIN drawers c ON c.original_id = r.query_id
 WHERE rank <= 5 AND {_R3.format('score')} >= 0.3
 """)
 def check_duplicates(t):
     """Near copies of every drawer within its palace, from similarity 0.3 on."""
     texts = w.drawers(t).select("original_id", "wing", "room", "document")
-    items = w.vectors(t).join(texts, "original_id")
+    items = w.vectors(t).join(texts, "original_id", "left")
     asked = items.select(F.col("original_id").alias("query_id"), "palace", F.col("document").alias("content"), "vector")
     return search.check_duplicates(asked, items, 0.3, 5, skip_same_id=True)
 
@@ -218,7 +218,8 @@ def audit_summary(t):
 @query("move_targets", f"""
 WITH {w.VECTORS_SQL}, {w.DRAWERS_SQL},
 home AS (SELECT v.original_id, v.palace, v.vector, CAST((CAST(v.palace AS INT) + 1) % 10 AS VARCHAR) AS to_palace,
-                d.wing, d.wing_name, d.hall, d.room, d.room_name, d.closet FROM vecs v JOIN drawers d USING (original_id)),
+                coalesce(d.wing_name, 'Recovered Memory') AS wing_name, coalesce(d.room_name, 'Unsorted') AS room_name,
+                coalesce(d.closet, 'Recovered') AS closet FROM vecs v LEFT JOIN drawers d USING (original_id)),
 scored AS (SELECT q.original_id AS drawer_id, v.original_id AS near, {_COS} AS score
            FROM home q JOIN home v ON v.palace = q.to_palace),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY drawer_id ORDER BY score DESC, near) = 1)
@@ -230,7 +231,7 @@ FROM best b JOIN home o ON o.original_id = b.drawer_id JOIN home n ON n.original
 def move_targets(t):
     """Where every drawer would be filed if it moved to the next palace."""
     paths = w.drawers(t).select("original_id", "wing", "wing_name", "hall", "room", "room_name", "closet")
-    items = w.vectors(t).join(paths, "original_id")
+    items = w.vectors(t).join(paths, "original_id", "left")
     moves = items.select(
         F.col("original_id").alias("drawer_id"), ((F.col("palace").cast("int") + 1) % 10).cast("string").alias("to_palace"), "vector"
     )
@@ -338,7 +339,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 top AS (
   SELECT query_id, max({_R3.format('score')}) FILTER (rank = 1) AS best, avg({_R3.format('score')}) FILTER (rank <= 3) AS avg3,
          string_agg(d.text, ' ' ORDER BY rank) AS corpus
-  FROM hits JOIN documents d ON d.doc_id = original_id WHERE rank <= 5 GROUP BY query_id),
+  FROM hits LEFT JOIN documents d ON d.doc_id = original_id WHERE rank <= 5 GROUP BY query_id),
 asp AS (SELECT query_id, list_filter(string_split({_normalized_sql('query')}, ' '), lambda x: length(x) >= 4) AS long FROM asked),
 a2 AS (SELECT query_id, list_distinct(list_concat(long, CASE WHEN len(long) > 1 THEN [array_to_string(long, ' ')] ELSE [] END)) AS aspects FROM asp),
 c AS (SELECT t.*, CASE WHEN len(aspects) = 0 THEN 1 ELSE len(list_filter(aspects, lambda x: contains({_normalized_sql('corpus')}, x))) / len(aspects) END AS cov
@@ -353,7 +354,7 @@ def result_quality(t):
     """Quality of the hits of a question per palace."""
     asked = _scopes(t).join(t.benchmark.select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query")), "query_id")
     texts = t.documents.select(F.col("doc_id").alias("original_id"), "text")
-    hits = _shown(top_k(asked, w.vectors(t), 5, item_id="original_id")).join(texts, "original_id")
+    hits = _shown(top_k(asked, w.vectors(t), 5, item_id="original_id")).join(texts, "original_id", "left")
     judged = routing.result_quality(hits, asked)
     names = ("best_similarity", "avg_top_3_similarity", "answer_coverage", "quality_score")
     return judged.select("query_id", *[F.round(n, 6).alias(n) for n in names])

@@ -6,7 +6,7 @@ expression, so queries and their SQL checks start from the same data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loci.session import tune
@@ -94,7 +94,8 @@ raw_facts AS (
   SELECT 'customer#' || o_custkey AS subject, o_orderpriority AS predicate, p_brand AS object,
          strftime(o_orderdate, '%Y-%m-%d') AS valid_from,
          CASE WHEN l_linestatus = 'F' THEN strftime(l_shipdate, '%Y-%m-%d') END AS valid_to,
-         ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 100000 + l_suppkey AS seq
+         (l_orderkey * 8 + l_linenumber) * 1048576 + CAST('0x' || left(md5(concat_ws('|', l_partkey, l_suppkey, o_custkey, o_orderpriority,
+           strftime(o_orderdate, '%Y-%m-%d'), l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))), 5) AS BIGINT) AS seq
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
 facts AS (
   SELECT *, 'default' AS namespace, replace(replace(lower(subject), ' ', '_'), '''', '') AS subject_id,
@@ -113,10 +114,23 @@ def facts(t: Tables) -> DataFrame:
         F.col("o_orderpriority").alias("predicate"), F.col("p_brand").alias("object"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_from"),
         F.when(F.col("l_linestatus") == "F", F.date_format("l_shipdate", "yyyy-MM-dd")).alias("valid_to"),
-        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")) * 100000 + F.col("l_suppkey")).alias("seq"),
+        fact_order().alias("seq"),
     )
 
 
+def fact_order() -> Column:
+    """Order of the facts: line by line, repeated line numbers by a hash of what the row says.
+
+    Rows alike in all of it say the same and may tie.  It fits a bigint up to order 10^12.
+    """
+    said = F.concat_ws(
+        "|", "l_partkey", "l_suppkey", "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"), "l_linestatus",
+        F.date_format("l_shipdate", "yyyy-MM-dd"),
+    )
+    line = F.col("l_orderkey").cast("bigint") * 8 + F.col("l_linenumber")
+    return line * (1 << 20) + F.conv(F.left(F.md5(said), F.lit(5)), 16, 10).cast("bigint")
+
+
 # --- notes: a sentence or two per event, one wording per event type ----------------------------
 
 _NOTES = {
