@@ -236,7 +236,7 @@ class Memory:
     def audit(self, palace: str, limit: int | None = None, min_score=fixed.MIN_SCORE, min_gap=fixed.MIN_GAP) -> DataFrame:
         return cons.audit(self.drawers(), self.palaces(), palace, limit=limit, min_score=min_score, min_gap=min_gap)
 
-    def consolidate(self, palace: str, limit: int | None = None, max_moves: int = 25, min_score=fixed.MIN_SCORE, min_gap=fixed.MIN_GAP, dry_run=True) -> DataFrame:
+    def consolidate(self, palace: str, limit: int | None = None, max_moves: int | None = None, min_score=fixed.MIN_SCORE, min_gap=fixed.MIN_GAP, dry_run=True) -> DataFrame:
         found, log = cons.consolidate(
             self.drawers(), self.palaces(), palace, version=self.table.next_version(), now=self._now(), dry_run=dry_run,
             max_moves=max_moves, limit=limit, min_score=min_score, min_gap=min_gap,

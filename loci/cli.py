@@ -75,7 +75,7 @@ def main(argv=None, spark=None) -> int:
         tree = files.read_tree(spark, os.path.abspath(args.dir)).where(F.col("path").endswith(".txt"))
         texts = files.load(tree).select("path", files.as_text(F.col("content")).alias("content"))
         sessions = transcripts.split_sessions(texts, min_sessions=args.min_sessions)
-        sessions.select("path", "part", "line_count", "file_name").orderBy("path", "part").show(100, truncate=False)
+        sessions.select("path", "part", "line_count", "file_name").orderBy("path", "part").show(1 << 30, truncate=False)
         if not args.dry_run:
             # One text row per session, in a folder per file name.
             out = args.output_dir or os.path.join(args.dir, "sessions")
@@ -97,7 +97,7 @@ def main(argv=None, spark=None) -> int:
                 tree, wing=args.wing or wing, rooms=rooms, palace=args.palace, now=now, version=version, agent=args.agent,
                 respect_gitignore=not args.no_gitignore, include_ignored=[x for x in args.include_ignored.split(",") if x], limit=args.limit,
             )
-        files.mining_summary(log).show(50, truncate=False)
+        files.mining_summary(log).show(1 << 30, truncate=False)
         if not args.dry_run:
             store.table.append(log)
     elif args.command == "search":
@@ -110,5 +110,5 @@ def main(argv=None, spark=None) -> int:
     elif args.command == "repair":
         store.repair()
     elif args.command == "status":
-        memory.wing_rooms(store.drawers(args.palace)).show(200, truncate=False)
+        memory.wing_rooms(store.drawers(args.palace)).show(1 << 30, truncate=False)
     return 0

@@ -60,11 +60,12 @@ def _numbered(contents: Column) -> Column:
     return F.transform(contents, lambda c, i: F.struct(c.alias("content"), i.alias("chunk_index")))
 
 
-def exchanges(content: Column, least: int = fixed.EXCHANGE_MIN) -> Column:
+def exchanges(content: Column, least: int = fixed.EXCHANGE_MIN, answer_lines: int | None = None) -> Column:
     """array<struct<content, chunk_index>>: a quoted user line with its answer.
 
     With fewer than three `>` lines, paragraphs; and a single block of more
-    than twenty lines falls into groups of 25.
+    than twenty lines falls into groups of 25.  An answer keeps all its lines,
+    or the first ``answer_lines`` (fixed.EXCHANGE_ANSWER_LINES is the short form).
     """
     lines = tx.lines_of(content)
     quoted = F.size(F.filter(lines, lambda x: tx.strip(x).startswith(">")))
@@ -76,7 +77,8 @@ def exchanges(content: Column, least: int = fixed.EXCHANGE_MIN) -> Column:
     def exchange(piece: Column) -> Column:
         body = F.get(F.split(piece, r"\n(?=[^\S\n]*---)", 2), F.lit(0))
         kept = F.filter(F.transform(F.split(body, "\n", -1), tx.strip), lambda x: x != "")
-        answer = F.array_join(F.slice(kept, 2, fixed.EXCHANGE_ANSWER_LINES), " ")
+        told = F.slice(kept, F.lit(2), F.greatest(F.size(kept) - 1, F.lit(0)) if answer_lines is None else F.lit(answer_lines))
+        answer = F.array_join(told, " ")
         asked = F.get(kept, F.lit(0))
         return F.when(answer != "", F.concat(asked, F.lit("\n"), answer)).otherwise(asked)
 
@@ -88,7 +90,7 @@ def exchanges(content: Column, least: int = fixed.EXCHANGE_MIN) -> Column:
     return _numbered(F.filter(parts, lambda p: F.length(tx.strip(p)) > least))
 
 
-def chunk_exchanges(docs: DataFrame, text: str = "document") -> DataFrame:
+def chunk_exchanges(docs: DataFrame, text: str = "document", answer_lines: int | None = None) -> DataFrame:
     rest = [c for c in docs.columns if c != text]
-    exploded = docs.withColumn("_chunk", F.explode(exchanges(F.col(text))))
+    exploded = docs.withColumn("_chunk", F.explode(exchanges(F.col(text), answer_lines=answer_lines)))
     return exploded.select(*rest, F.col("_chunk.content").alias("content"), F.col("_chunk.chunk_index").alias("chunk_index"))

@@ -16,7 +16,7 @@ def _first_best(scores: list[tuple[str, Column]]) -> Column:
     return F.when(best["s"] < 0, best["n"])
 
 
-def convo_room(content: Column, window: int | None = fixed.TOPIC_CONTENT_WINDOW, topics=None) -> Column:
+def convo_room(content: Column, window: int | None = None, topics=None) -> Column:
     """Topic whose keywords occur most (each counted once); 'general' for none.
 
     ``window`` looks at the first characters only; None reads the whole text.
@@ -38,7 +38,7 @@ def hall_of(content: Column, halls: dict | None = None) -> Column:
 
 
 def detect_room(
-    path: Column, content: Column, rooms: list[dict], window: int | None = fixed.ROOM_CONTENT_WINDOW,
+    path: Column, content: Column, rooms: list[dict], window: int | None = None,
 ) -> Column:
     """Room of a file: by folder, then file name, then keyword count, else 'general'.
 
@@ -113,8 +113,8 @@ def rooms_from_folders(dirs: DataFrame) -> DataFrame:
     ))
 
 
-def rooms_from_files(files: DataFrame, top: int = 6) -> DataFrame:
-    """Rooms of projects from recurring words in file names: at least two files, best six."""
+def rooms_from_files(files: DataFrame, top: int | None = None) -> DataFrame:
+    """Rooms of projects from recurring words in file names: at least two files; all, or the best few."""
     skip = list(fixed.FILE_ROOM_SKIP_DIRS)
     parts = F.split("path", "/")
     usable = files.where(~F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*[F.lit(s) for s in skip])))
@@ -123,7 +123,9 @@ def rooms_from_files(files: DataFrame, top: int = 6) -> DataFrame:
     hits = usable.select("project", F.explode(F.filter(entries, lambda e: F.contains(name, e["k"]))).alias("e"))
     counted = hits.groupBy("project", F.col("e.room").alias("name")).agg(F.count("*").alias("n"), F.min("e.ord").alias("ord"))
     order = Window.partitionBy("project").orderBy(F.desc("n"), "ord")
-    best = counted.where(F.col("n") >= 2).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
+    best = counted.where(F.col("n") >= 2)
+    if top is not None:
+        best = best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= top)
     found = best.select(
         "project", "name", F.concat(F.lit("Files related to "), F.col("name")).alias("description"), F.array("name").alias("keywords"), "n",
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +12,6 @@ _SINGLE = r"(?<![A-Za-z0-9_])([A-Z][a-z]{1,19})(?![A-Za-z0-9_])"
 _MULTI = r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)(?![A-Za-z0-9_])"
 
 
-@lru_cache(maxsize=1)
-def default_stopwords() -> tuple[str, ...]:
-    """Spark's stock English stop words plus the listed extras."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return tuple(sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | set(fixed.EXTRA_STOPWORDS)))
-
-
 def candidates(
     docs: DataFrame, text: str = "document", by=("original_id",), stopwords=None, least: int = 3,
 ) -> DataFrame:
@@ -29,7 +19,7 @@ def candidates(
 
     ``by`` is the scope of the count: a document, a palace, or nothing.
     """
-    stop = F.array(*[F.lit(w) for w in (default_stopwords() if stopwords is None else stopwords)])
+    stop = F.array(*[F.lit(w) for w in (fixed.STOPWORDS if stopwords is None else stopwords)])
     singles = F.filter(
         F.regexp_extract_all(text, F.lit(_SINGLE), F.lit(1)), lambda w: ~F.array_contains(stop, F.lower(w))
     )
@@ -61,8 +51,8 @@ def pronoun_hits(lines: Column, flags: Column, name: Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), near))
 
 
-def score_entities(named: DataFrame, text: str = "document", name: str = "name") -> DataFrame:
-    """Add person_score, project_score and the first three signals of each kind.
+def score_entities(named: DataFrame, text: str = "document", name: str = "name", most: int | None = None) -> DataFrame:
+    """Add person_score, project_score and the signals of each kind, all or the first ``most``.
 
     ``named`` has one row per (text, name).  Patterns are built from the name
     in the row and run in the JVM.
@@ -102,8 +92,8 @@ def score_entities(named: DataFrame, text: str = "document", name: str = "name")
     return counted.withColumns({
         "person_score": total(F.col("_dialogue")) * 3 + total(F.col("_verbs")) * 2 + F.col("_pronouns") * 2 + F.col("_direct") * 4,
         "project_score": total(F.col("_project")) * 2 + F.col("_versioned") * 3 + F.col("_code") * 3,
-        "person_signals": F.slice(person_signals, 1, 3),
-        "project_signals": F.slice(project_signals, 1, 3),
+        "person_signals": person_signals if most is None else F.slice(person_signals, 1, most),
+        "project_signals": project_signals if most is None else F.slice(project_signals, 1, most),
     }).drop("_dialogue", "_verbs", "_project", "_pronouns", "_direct", "_versioned", "_code")
 
 
@@ -135,7 +125,7 @@ def classify_entities(scored: DataFrame) -> DataFrame:
         .when(ratio >= 0.7, F.concat("person_signals", F.array(F.concat(seen, F.lit(" — pronoun-only match")))))
         .when(ratio <= 0.3, some("project_signals"))
         .otherwise(F.concat(
-            F.slice(F.concat("person_signals", "project_signals"), 1, 3), F.array(F.lit("mixed signals — needs review"))
+            F.concat("person_signals", "project_signals"), F.array(F.lit("mixed signals — needs review"))
         ))
     )
     return scored.withColumns({"type": kind, "confidence": tx.round_half_up(confidence, 2), "signals": signals})
@@ -148,25 +138,23 @@ def detect_entities(docs: DataFrame, text: str = "document", key: str = "origina
     return classify_entities(score_entities(named, text)).drop(text)
 
 
-def best_entities(detected: DataFrame, by=("original_id",), people: int = 15, projects: int = 10, uncertain: int = 8) -> DataFrame:
-    """The report form: best people and projects by confidence, others by frequency."""
+def best_entities(detected: DataFrame, by=("original_id",), people: int | None = None, projects: int | None = None, uncertain: int | None = None) -> DataFrame:
+    """The report form: people and projects by confidence, others by frequency; of each kind all, or the best few."""
     main = F.when(F.col("type") == "uncertain", F.col("frequency").cast("double")).otherwise(F.col("confidence"))
     order = Window.partitionBy(*by, "type").orderBy(F.desc(main), F.desc("frequency"), "name")
-    cap = F.when(F.col("type") == "person", people).when(F.col("type") == "project", projects).otherwise(uncertain)
-    most = max(people, projects, uncertain)
-    return (
-        detected.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= most).where(F.col("position") <= cap)
-    )
+    cap = F.when(F.col("type") == "person", F.lit(people)).when(F.col("type") == "project", F.lit(projects)).otherwise(F.lit(uncertain))
+    ranked = detected.withColumn("position", F.row_number().over(order))
+    return ranked.where(cap.isNull() | (F.col("position") <= cap))
 
 
-def corpus_text(files: DataFrame, max_files: int = 10, prefix: int = fixed.DETECT_PREFIX_BYTES) -> DataFrame:
-    """The setup-time sample: the first bytes of the first files as one text.
+def corpus_text(files: DataFrame, max_files: int | None = 10, prefix: int | None = fixed.DETECT_PREFIX_BYTES) -> DataFrame:
+    """One text for setup to look at: the first bytes of the first files, or all of them.
 
-    ``files`` has (path, content BINARY); both limits are the feature.
+    ``files`` has (path, content BINARY).  The sample is the feature: setup
+    asks its user about names, it does not index.
     """
-    head = files.orderBy("path").limit(max_files).select(
-        "path", F.decode(F.substring("content", 1, prefix), "UTF-8").alias("t")
-    )
+    head = files if max_files is None else files.orderBy("path").limit(max_files)
+    content = F.col("content") if prefix is None else F.substring("content", 1, prefix)
+    head = head.select("path", F.decode(content, "UTF-8").alias("t"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("path", "t"))), lambda s: s["t"])
     return head.agg(F.array_join(parts, "\n").alias("document")).withColumn("original_id", F.lit("corpus"))

@@ -177,8 +177,8 @@ def query_relationship(triples: DataFrame, entities: DataFrame, predicate: str,
     )
 
 
-def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int | None = fixed.TIMELINE_ROWS) -> DataFrame:
-    """Facts in time order, the first hundred."""
+def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int | None = None) -> DataFrame:
+    """Facts in time order, all or the first ``limit``."""
     found = triples
     if entity is not None:
         eid = tx.entity_id(F.lit(entity))

@@ -49,7 +49,7 @@ def wing_rooms(drawers: DataFrame) -> DataFrame:
     )
 
 
-def recall(drawers: DataFrame, wing=None, room=None, limit: int | None = 10) -> DataFrame:
+def recall(drawers: DataFrame, wing=None, room=None, limit: int | None = None) -> DataFrame:
     """Drawers of a room, whitespace-squashed to 300 characters."""
     found = path_match(drawers, wing=wing, room=room)
     if limit is not None:

@@ -192,12 +192,13 @@ def type_score(predicate: dict, subject: Column, obj: Column) -> Column:
 def extract_facts(
     docs: DataFrame, people: DataFrame, projects: DataFrame | None = None, wiki: DataFrame | None = None, *,
     key: str = "original_id", text: str = "document", filed_at: str | None = "filed_at", protos: DataFrame | None = None,
+    most_entities: int | None = None,
 ) -> DataFrame:
     """The best relation of every segment, once per text.
 
-    Per segment the first six entities are paired in both orders and scored
-    against six predicates; that array of at most 180 options never leaves
-    the segment's row.
+    Per segment its entities (all, or the first ``most_entities``; six is
+    usual) are paired in both orders and scored against six predicates; the
+    options never leave the segment's row.
     """
     spark = docs.sparkSession
     protos = prototypes(spark) if protos is None else protos
@@ -206,8 +207,10 @@ def extract_facts(
     segs = docs.select(key, *places, fallback.alias("_day"), F.posexplode(segments(F.col(text))).alias("pos", "segment"))
     linked = link_entities(segs, people, projects, wiki, key=(key, "pos"))
     ents = F.transform(
-        F.slice(F.array_sort(F.collect_list(F.struct("ord", "name", "type", "confidence"))), 1, fixed.FACT_ENTITIES), lambda e: e
+        F.array_sort(F.collect_list(F.struct("ord", "name", "type", "confidence"))), lambda e: e
     )
+    if most_entities is not None:
+        ents = F.slice(ents, 1, most_entities)
     grouped = linked.groupBy(key, "pos").agg(ents.alias("_ents")).where(F.size("_ents") >= 2)
     ready = segs.join(grouped, [key, "pos"]).withColumn("_vector", vec.embed(F.col("segment")))
     ready = with_predicate_scores(ready, "_vector", protos, "_preds")

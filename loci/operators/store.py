@@ -71,13 +71,13 @@ def delete_where(drawers: DataFrame, where: dict, version=0) -> DataFrame:
     return as_deletes(apply_where(drawers, where), version)
 
 
-def get(drawers: DataFrame, where: dict | None = None, limit: int | None = 10) -> DataFrame:
+def get(drawers: DataFrame, where: dict | None = None, limit: int | None = None) -> DataFrame:
     """Filtered scan; the limit takes the smallest ids, so it is repeatable."""
     found = apply_where(drawers, where)
     return found if limit is None else found.orderBy("original_id").limit(limit)
 
 
-def get_ordered(drawers, order_by: str, descending=True, where=None, limit: int | None = 10) -> DataFrame:
+def get_ordered(drawers, order_by: str, descending=True, where=None, limit: int | None = None) -> DataFrame:
     """Filtered rows ordered by a payload field, then id."""
     key = F.desc_nulls_last(order_by) if descending else F.asc_nulls_last(order_by)
     found = apply_where(drawers, where).orderBy(key, F.asc("original_id"))

@@ -61,9 +61,9 @@ def session_starts(lines: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), starts)
 
 
-def session_timestamp(lines: Column) -> Column:
-    """struct<human, iso> of the first timestamp in the first fifty lines."""
-    head = F.filter(F.slice(lines, 1, 50), lambda x: F.rlike(x, F.lit(fixed.TIMESTAMP_PATTERN)))
+def session_timestamp(lines: Column, head: int | None = None) -> Column:
+    """struct<human, iso> of the first timestamp, in all lines or the first ``head``."""
+    head = F.filter(lines if head is None else F.slice(lines, 1, head), lambda x: F.rlike(x, F.lit(fixed.TIMESTAMP_PATTERN)))
     first = F.get(head, F.lit(0))
 
     def group(n):
@@ -76,9 +76,9 @@ def session_timestamp(lines: Column) -> Column:
     return F.when(first.isNotNull(), F.struct(human.alias("human"), iso.alias("iso")))
 
 
-def session_people(lines: Column, known=fixed.KNOWN_PEOPLE, usernames: dict[str, str] | None = None) -> Column:
-    """Sorted known names in the first hundred lines, plus the user-folder owner."""
-    head = F.array_join(F.slice(lines, 1, 100), "\n")
+def session_people(lines: Column, known=fixed.KNOWN_PEOPLE, usernames: dict[str, str] | None = None, head: int | None = None) -> Column:
+    """Sorted known names in all lines or the first ``head``, plus the user-folder owner."""
+    head = F.array_join(lines if head is None else F.slice(lines, 1, head), "\n")
     hits = [F.when(F.rlike(head, F.lit("(?i)" + tx.java_pattern(rf"\b{n}\b"))), F.lit(n)) for n in known]
     owner = F.regexp_extract(head, r"/Users/(\w+)/", 1)
     for user, name in (usernames or {}).items():
@@ -96,11 +96,11 @@ def session_subject(lines: Column) -> Column:
     return F.coalesce(clean, F.lit("session"))
 
 
-def split_sessions(files: DataFrame, known=fixed.KNOWN_PEOPLE, usernames=None, min_sessions: int = 2) -> DataFrame:
+def split_sessions(files: DataFrame, known=fixed.KNOWN_PEOPLE, usernames=None, min_sessions: int = 2, min_lines: int = 1) -> DataFrame:
     """One row per session of files (path, content) that hold at least two.
 
-    Text before the first session is dropped, as are sessions under ten lines
-    (which still count for the part number).
+    Text before the first session is no session.  ``min_lines`` leaves short
+    ones out (fixed.SESSION_MIN_LINES is usual); they still count for the part number.
     """
     lines = F.split(F.col("content"), "(?<=\n)", -1)
     lines = F.filter(lines, lambda x: x != "")
@@ -114,7 +114,7 @@ def split_sessions(files: DataFrame, known=fixed.KNOWN_PEOPLE, usernames=None, m
         ),
     )
     parts = found.withColumn("_s", F.explode(spans)).where(
-        F.col("_s.stop") - F.col("_s.start") >= fixed.SESSION_MIN_LINES
+        F.col("_s.stop") - F.col("_s.start") >= min_lines
     ).withColumn("_chunk", F.slice("_lines", F.col("_s.start") + 1, F.col("_s.stop") - F.col("_s.start"))).drop("_lines", "_at")
     people = session_people(F.col("_chunk"), known, usernames)
     stamp = session_timestamp(F.col("_chunk"))

@@ -197,19 +197,19 @@ _TID = """'t_' || subject_id || '_' || pred || '_' || object_id || '_'
 
 @query("kg_timeline", _F + f"""
 SELECT valid_from, valid_to, subject, pred AS predicate, object, valid_to IS NULL AS active_now
-FROM facts ORDER BY valid_from, pred, subject_id, object_id, {_TID} LIMIT 100
+FROM facts ORDER BY valid_from, pred, subject_id, object_id, {_TID}
 """)
 def kg_timeline(t):
-    """The first hundred facts in time."""
+    """All facts in time."""
     return kg.timeline(_triples(t), _entities(t))
 
 
 @query("kg_timeline_entity", _F + f"""
 SELECT valid_from, valid_to, subject, pred AS predicate, object, valid_to IS NULL AS active_now
-FROM facts WHERE object = 'Brand#12' ORDER BY valid_from, pred, subject_id, object_id, {_TID} LIMIT 100
+FROM facts WHERE object = 'Brand#12' ORDER BY valid_from, pred, subject_id, object_id, {_TID}
 """)
 def kg_timeline_entity(t):
-    """The first hundred facts about one brand."""
+    """All facts about one brand, in time."""
     return kg.timeline(_triples(t), _entities(t), "Brand#12")
 
 

@@ -82,10 +82,10 @@ def recall_rooms(t):
 @query("recall_room_limit", _D + f"""
 SELECT original_id, room, wing, hall, importance, '' AS filed_at,
        CASE WHEN length({_FLAT}) > 300 THEN left({_FLAT}, 297) || '...' ELSE {_FLAT} END AS content
-FROM drawers WHERE wing = 'en' AND room = 'src7' ORDER BY original_id LIMIT 10
+FROM drawers WHERE wing = 'en' AND room = 'src7' ORDER BY original_id
 """)
 def recall_room_limit(t):
-    """The first ten drawers of a room."""
+    """All drawers of a room."""
     return memory.recall(w.drawers(t), wing="en", room="src7")
 
 

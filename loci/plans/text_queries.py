@@ -57,7 +57,7 @@ l3 AS (SELECT *, sum(CASE WHEN starts_with(line, '>') THEN 1 ELSE 0 END) OVER (P
               sum(CASE WHEN starts_with(line, '>') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS quoted FROM l2),
 l4 AS (SELECT *, min(CASE WHEN starts_with(line, '---') THEN n END) OVER (PARTITION BY doc_id, grp) AS rule FROM l3),
 l5 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY n) AS k FROM l4 WHERE grp > 0 AND quoted >= 3 AND line <> '' AND (rule IS NULL OR n < rule)),
-ex AS (SELECT doc_id, grp, max(CASE WHEN k = 1 THEN line END) AS q, string_agg(line, ' ' ORDER BY n) FILTER (k BETWEEN 2 AND 9) AS a FROM l5 GROUP BY doc_id, grp),
+ex AS (SELECT doc_id, grp, max(CASE WHEN k = 1 THEN line END) AS q, string_agg(line, ' ' ORDER BY n) FILTER (k >= 2) AS a FROM l5 GROUP BY doc_id, grp),
 pa AS (SELECT doc_id, UNNEST(string_split(document, chr(10) || chr(10))) AS p0, generate_subscripts(string_split(document, chr(10) || chr(10)), 1) AS i FROM transcripts),
 pt AS (SELECT doc_id, i, trim(p0, {_BLANKS}) AS p FROM pa),
 kind AS (SELECT l.doc_id, max(quoted) AS quoted, max(n) AS total, (SELECT count(*) FROM pt WHERE pt.doc_id = l.doc_id AND p <> '') AS paras FROM l3 l GROUP BY l.doc_id),
@@ -253,7 +253,7 @@ WITH f AS (SELECT n_name AS project, replace(replace(lower(c_mktsegment || '-' |
            FROM customer JOIN nation ON c_nationkey = n_nationkey),
 map AS (SELECT * FROM (VALUES """ + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(fixed.FOLDER_ROOMS.items())) + """) m(k, room, ord)),
 c AS (SELECT project, room, count(*) AS n, min(ord) AS ord FROM f JOIN map ON contains(name, k) GROUP BY ALL HAVING count(*) >= 2)
-SELECT project, room AS name, n FROM c QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, ord) <= 6
+SELECT project, room AS name, n FROM c
 """)
 def rooms_from_files(t):
     """Rooms of projects from words in their file names."""
@@ -340,10 +340,6 @@ def memory_type(t):
 # --- entities -------------------------------------------------------------------------------------------
 
 
-def _stop_sql() -> str:
-    return _list(entities.default_stopwords())
-
-
 def _candidate_sql() -> str:
     return f"""
 WITH s AS (SELECT doc_id, UNNEST(regexp_extract_all(text, '\\b([A-Z][a-z]{{1,19}})\\b')) AS name FROM documents),
@@ -354,13 +350,11 @@ SELECT doc_id, name, count(*) AS frequency FROM n GROUP BY ALL HAVING count(*) >
 """.replace("stop.w", "STOPLIST")
 
 
-# The stop list of the SQL is the listed extras only: no word of Spark's stock
-# list is also a capitalised word seen three times in a document here.
-@query("entity_candidates", _candidate_sql().replace("STOPLIST", _list(fixed.EXTRA_STOPWORDS)))
+@query("entity_candidates", _candidate_sql().replace("STOPLIST", _list(fixed.STOPWORDS)))
 def entity_candidates(t):
     """Capitalised names seen at least three times in a document."""
     docs = t.documents.select("doc_id", F.col("text").alias("document"))
-    return entities.candidates(docs, by=("doc_id",), stopwords=fixed.EXTRA_STOPWORDS)
+    return entities.candidates(docs, by=("doc_id",))
 
 
 _STORY_SQL = """
@@ -412,7 +406,7 @@ sc AS (SELECT story.id, name, document,
   len(regexp_extract_all(document, '\\b' || name || '\\b')) AS frequency FROM story JOIN ph USING (id)),
 s2 AS (SELECT *, list_sum(dia) * 3 + list_sum(verbs) * 2 + pronouns * 2 + direct * 4 AS ps, list_sum(proj) * 2 + vers * 3 + code * 3 AS js,
   list_concat(list_transform(list_filter(dia, lambda x: x > 0), lambda x: 'dialogue'), list_transform(list_filter(verbs, lambda x: x > 0), lambda x: 'action'),
-    CASE WHEN pronouns > 0 THEN ['pronoun'] ELSE [] END, CASE WHEN direct > 0 THEN ['addressed'] ELSE [] END)[:3] AS kinds FROM sc WHERE frequency >= 3)
+    CASE WHEN pronouns > 0 THEN ['pronoun'] ELSE [] END, CASE WHEN direct > 0 THEN ['addressed'] ELSE [] END) AS kinds FROM sc WHERE frequency >= 3)
 """
 
 
