@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,28 +13,39 @@ from pyspark.sql.functions import pandas_udf
 
 from loci.functions import fixed
 from loci.functions import text as tx
+from loci.functions.text import WHITESPACE
 
 _CHUNKS = "array<struct<content:string,chunk_index:int>>"
 
 
+def _last(places: list[int], low: float, high: int) -> int | None:
+    """The largest place above ``low`` and not above ``high``."""
+    k = bisect_right(places, high) - 1
+    return places[k] if k >= 0 and places[k] > low else None
+
+
+def _spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Beginning and end of each window: the end is a blank line, else a line end, of its second half, else its full size.
+
+    The places of all breaks are found once; every end is looked up among them.
+    """
+    line_ends = [m.start() for m in re.finditer("\n", text)]
+    blank_lines = [p for p, q in zip(line_ends, line_ends[1:]) if q == p + 1]
+    begin = 0
+    while begin + size < len(text):
+        middle, full = begin + size / 2, begin + size
+        end = _last(blank_lines, middle, full) or _last(line_ends, middle, full) or full
+        yield begin, end
+        begin = end - overlap
+    if begin < len(text):
+        yield begin, len(text)
+
+
 def _cut(text: str, size: int, overlap: int, least: int) -> list[tuple[str, int]]:
-    """Windows of `size` ending at a blank line, else a line end, in their second half."""
-    text = text.strip(tx.WHITESPACE)
-    out, at = [], 0
-    while at < len(text):
-        stop = min(at + size, len(text))
-        if stop < len(text):
-            # A break may begin exactly at the window's end.
-            for mark in ("\n\n", "\n"):
-                found = text.rfind(mark, 0, stop + len(mark))
-                if found > at + size / 2:
-                    stop = found
-                    break
-        piece = text[at:stop].strip(tx.WHITESPACE)
-        if len(piece) >= least:
-            out.append((piece, len(out)))
-        at = stop - overlap if stop < len(text) else stop
-    return out
+    """Windows of a text that have something in them, numbered."""
+    body = text.strip(WHITESPACE)
+    pieces = (body[a:b].strip(WHITESPACE) for a, b in _spans(body, size, overlap))
+    return [(piece, k) for k, piece in enumerate(p for p in pieces if len(p) >= least)]
 
 
 def chunks(

@@ -264,6 +264,8 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
     facts = with_ids(facts).withColumn("_ends", F.col("ended").isNotNull()).withColumn(
         "_day", F.coalesce("ended", "valid_from")
     )
+    # Bounds, totals and windows below each read it again.
+    facts = cut_lineage(facts)
     state = triples.groupBy(*KEY).agg(
         F.coalesce(F.max(F.col("valid_to").isNull()), F.lit(False)).alias("open_now"),
         F.min(F.when(F.col("valid_to").isNull(), F.col("valid_from"))).alias("open_from"),

@@ -194,49 +194,55 @@ def staged_batch(facts: DataFrame, project: str, now: str) -> DataFrame:
 # --- setup --------------------------------------------------------------------------------------
 
 
-def setup(spark, name: str, about: str | None = None, preferences=(), rules=(), language: str = "English", now: str = "") -> tuple[DataFrame, DataFrame]:
-    """First drawers and the default palace of a user: (drawer log rows, palace row)."""
-    if not (name or "").strip():
-        raise ValueError("name is required")
-    about = (about or "").strip()
-    rows = [("User: " + name + ("\n" + about if about else ""), "hall_facts", "identity")]
-    if preferences:
-        rows.append((f"Communication preferences for {name}:\n" + "\n".join(f"- {p}" for p in preferences), "hall_preferences", "communication-style"))
-    if rules:
-        rows.append((f"Rules the AI must always follow for {name}:\n" + "\n".join(f"- {r}" for r in rules), "hall_advice", "ai-rules"))
-    df = spark.createDataFrame(rows, "document string, hall string, room string")
+PROFILE = "name string, about string, preferences array<string>, rules array<string>, language string"
+
+
+def _listed(title: Column, items: Column) -> Column:
+    """A title with its items below; null without items."""
+    lines = F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+    return F.when(F.size(items) > 0, F.concat(title, F.lit("\n"), lines))
+
+
+def profile_drawers(users: DataFrame, now: str) -> DataFrame:
+    """Drawer log rows of user profiles (name, about, preferences, rules, language): one per section that has content."""
+    about = tx.or_default(tx.strip(F.col("about")), "")
+    sections = F.array(*[
+        F.struct(F.lit(hall).alias("hall"), F.lit(room).alias("room"), body.alias("document"))
+        for (hall, room, title), body in zip(fixed.PROFILE_SECTIONS, (
+            F.concat_ws("\n", F.concat(F.lit(fixed.PROFILE_SECTIONS[0][2]), "name"), F.nullif(about, F.lit(""))),
+            _listed(F.format_string(fixed.PROFILE_SECTIONS[1][2], "name"), F.col("preferences")),
+            _listed(F.format_string(fixed.PROFILE_SECTIONS[2][2], "name"), F.col("rules")),
+        ))
+    ])
+    rows = users.select(F.inline(sections)).where(F.col("document").isNotNull())
     key = tx.short_md5(F.concat(F.left("document", F.lit(80)), "room"), 12)
-    df = df.withColumns({
-        "original_id": F.concat_ws("_", F.lit("setup"), "room", key), "palace": F.lit(fixed.DEFAULT_PALACE),
-        "wing": F.lit("wing_user"), "importance": F.lit(5.0), "added_by": F.lit("setup"), "filed_at": F.lit(now),
-    })
-    body = ["## L0 — IDENTITY", f"Name: {name}"]
-    if language != "English":
-        body.append(f"Language: {language}")
-    if about:
-        body.append(f"About: {about}")
-    if preferences:
-        body.append("\nPreferences:\n" + "\n".join(f"- {p}" for p in preferences))
-    if rules:
-        body.append("\nRules:\n" + "\n".join(f"- {r}" for r in rules))
-    scope = (
-        "Personal preferences, user identity, communication style, rules for the AI, "
-        "life events, emotions, general notes."
+    return as_upserts(rows.withColumns({
+        "original_id": F.concat_ws("_", F.lit("setup"), "room", key), "palace": F.lit(fixed.DEFAULT_PALACE), "wing": F.lit("wing_user"),
+        "importance": F.lit(5.0), "added_by": F.lit("setup"), "filed_at": F.lit(now),
+    }), 1)
+
+
+def profile_palace(users: DataFrame) -> DataFrame:
+    """The default palace of users, with their identity text."""
+    about = F.nullif(tx.or_default(tx.strip(F.col("about")), ""), F.lit(""))
+    identity = F.concat_ws(
+        "\n", F.lit(fixed.IDENTITY_TITLE), F.concat(F.lit("Name: "), "name"),
+        F.when(F.col("language") != "English", F.concat(F.lit("Language: "), "language")), F.concat(F.lit("About: "), about),
+        _listed(F.lit("\nPreferences:"), F.col("preferences")), _listed(F.lit("\nRules:"), F.col("rules")),
     )
-    palace = spark.createDataFrame(
-        [(fixed.DEFAULT_PALACE, f"{name}'s personal assistant", [], scope, None, "\n".join(body), True)],
-        "name string, description string, keywords array<string>, scope string, wing_focus string, l0_body string, is_default boolean",
+    return users.select(
+        F.lit(fixed.DEFAULT_PALACE).alias("name"), F.concat("name", F.lit(": preferences, rules and notes")).alias("description"),
+        F.array().cast("array<string>").alias("keywords"), F.lit("Who the user is, how to talk to them, what rules hold, and notes of any kind.").alias("scope"),
+        F.lit(None).cast("string").alias("wing_focus"), identity.alias("l0_body"), F.lit(True).alias("is_default"),
     ).withColumn("vector", embed(F.col("scope")))
-    return as_upserts(df, 1), palace
 
 
-def sessions_palace(spark) -> DataFrame:
-    """The palace that diaries go to."""
-    return spark.createDataFrame(
-        [(fixed.SESSIONS_PALACE, "Agent session diaries and conversation logs", ["diary", "session", "log", "agent"],
-          "Agent diary entries written at the end of each session.", None, None, False)],
-        "name string, description string, keywords array<string>, scope string, wing_focus string, l0_body string, is_default boolean",
-    ).withColumn("vector", embed(F.col("scope")))
+def setup(spark, name: str, about: str | None = None, preferences=(), rules=(), language: str = "English", now: str = "") -> tuple[DataFrame, DataFrame]:
+    """First drawers and the default palace of a user: (drawer log rows, palace row)."""
+    if not (name or "").strip():
+        raise ValueError("a user needs a name")
+    user = spark.createDataFrame([(name, about, list(preferences), list(rules), language)], PROFILE)
+    return profile_drawers(user, now), profile_palace(user)
 
 
 def empty_drawers(spark) -> DataFrame:
