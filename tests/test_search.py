@@ -23,15 +23,28 @@ def test_where_boolean(spark):
     assert compile_where({}) is None
 
 
+def test_top_k_of_many_queries(spark):
+    """More query rows than one block takes, against numpy."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 3)).round(2)
+    q = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "query_id long, vector array<double>")
+    items = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:300])], "item_id long, vector array<double>")
+    got = {(r.query_id, r["rank"]): r.item_id for r in vec.top_k(q, items, 2).collect()}
+    u = vec.unit_rows(list(x))
+    s = np.round(u @ u[:300].T, 9)
+    order = np.lexsort((np.broadcast_to(np.arange(300), s.shape), -s), axis=1)[:, :2]
+    assert got == {(i, k + 1): int(order[i, k]) for i in range(len(x)) for k in range(2)}
+
+
 def _frame(spark, rows, name="original_id"):
     return spark.createDataFrame(rows, f"{name} long, palace string, vector array<float>")
 
 
-@pytest.mark.parametrize("first_rows", [4096, 3])
-def test_top_k_is_brute_force(spark, monkeypatch, first_rows):
-    """Ties, groups, hot copies; also with queries cut in several slices."""
-    monkeypatch.setattr(vec, "FIRST_ROWS", first_rows)
-    monkeypatch.setattr(vec, "BLOCK_BYTES", 200 if first_rows == 3 else vec.BLOCK_BYTES)
+@pytest.mark.parametrize("block", [None, 400])
+def test_top_k_is_brute_force(spark, monkeypatch, block):
+    """Ties, groups, hot copies; also with both sides cut in several blocks."""
+    if block:
+        monkeypatch.setattr(vec, "BLOCK_BYTES", block)
     monkeypatch.setattr(vec, "SCORE_CELLS", 64)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(90, 5)).round(1)

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from loci.api import Memory
 from loci.cli import main
-from loci.operators import consolidate, saving, store
+from loci.functions.vectors import embed
+from loci.operators import consolidate, saving, search, store
 from loci.operators.memory import essential_story, illuminate, recall
 from loci.operators.store import DrawerTable
 from loci.streaming import counters, ingest
@@ -155,3 +156,32 @@ def test_command_line(spark, tmp_path, capsys):
     main([*path, "search", "server design"], spark)
     out = capsys.readouterr().out
     assert "documentation" in out and "notes about" in out
+
+
+def test_reads_of_the_log_are_narrow_and_pruned(spark, tmp_path):
+    table = DrawerTable(spark, str(tmp_path / "log")).create()
+    for palace in ("p1", "p2"):
+        rows = spark.createDataFrame([(palace, f"{palace}-{i}", f"text {i}") for i in range(3)], "palace string, original_id string, document string")
+        table.upsert(rows)
+    assert table.count() == 6 and table.count("p1") == 3
+    plan = table.current(["palace"]).where("palace = 'p1'")._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x)
+    assert "PartitionFilters: [isnotnull(palace" in scan and "document" not in scan and "vector" not in scan
+
+
+def test_ids_may_repeat_across_palaces(spark):
+    rows = [("p1", "a", "first text here", [1.0, 0.0]), ("p2", "a", "second text there", [1.0, 0.1]), ("p3", "b", "third", [0.0, 1.0])]
+    drawers = spark.createDataFrame(rows, "palace string, original_id string, document string, vector array<float>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>")
+    hits = search.search(asked, drawers, 2).orderBy("rank").collect()
+    assert [(h.palace, h.original_id, h.text) for h in hits] == [("p1", "a", "first text here"), ("p2", "a", "second text there")]
+
+
+def test_new_palace_competes_in_its_first_batch(spark):
+    known = spark.createDataFrame([("work", "docker and services", ["docker"], "docker and services", None, 3)],
+                                  "name string, description string, keywords array<string>, scope string, l0_body string, usage_count long")
+    known = known.withColumn("vector", embed(F.col("scope")))
+    asked = spark.createDataFrame([(1, "garden_plants", "garden plants need water", "w", "h", "r", "c", "t", 3)],
+                                  "seq long, palace string, content string, wing string, hall string, room string, closet string, topic string, importance int")
+    log = saving.save_batch(asked, saving.empty_drawers(spark), known, version=1, now=NOW).log
+    assert log.first().routing_best_palace == "garden_plants"

@@ -58,7 +58,9 @@ def test_exchanges(spark):
     text = "intro\n> What is memory, exactly?\nMemory is persistence.\n\n> Why does it matter so much?\nContinuity.\n---\nnot part\n> ok"
     assert get(text) == ["> What is memory, exactly?\nMemory is persistence.", "> Why does it matter so much?\nContinuity."]
     many = "> a question that is long enough\n" + "\n".join(f"l{i}" for i in range(12)) + "\n> b\n> c"
-    assert get(many)[0].split("\n")[1] == " ".join(f"l{i}" for i in range(8))
+    assert get(many)[0].split("\n")[1] == " ".join(f"l{i}" for i in range(12))
+    short = one(spark, lambda c: chunking.exchanges(c, answer_lines=8), many)
+    assert short[0].content.split("\n")[1] == " ".join(f"l{i}" for i in range(8))
     assert get("first paragraph that is long enough\n\nshort\n\nsecond paragraph that is long too")[1].startswith("second")
     block = "\n".join(f"some line number {i}" for i in range(60))
     assert [c.count("\n") for c in get(block)] == [24, 24, 9]
@@ -70,8 +72,8 @@ def test_convo_room(spark):
     assert room("the design pattern of this module and component") == "architecture"
     assert room("roadmap and sprint backlog with a deadline") == "planning"
     assert room("nothing here") == "general"
-    assert room("x" * 3000 + " python code api") == "general"
-    assert one(spark, lambda c: classify.convo_room(c, None), "x" * 3000 + " python code api") == "technical"
+    assert one(spark, lambda c: classify.convo_room(c, 3000), "x" * 3000 + " python code api") == "general"
+    assert one(spark, classify.convo_room, "x" * 3000 + " python code api") == "technical"
 
 
 def test_memories(spark):
@@ -166,7 +168,7 @@ def test_sessions(spark):
     assert at([head, "Ctrl+E to show 5 previous messages", *"abcdef"]) == []
     body = head + "⏺ 9:30 AM Monday, March 30, 2026\n> Fix the Login page!\n" + "Sam spoke\n" * 12
     text = "preamble\n" + body + body.replace("9:30 AM", "2:15 PM") + head + "tiny\n"
-    got = transcripts.split_sessions(spark.createDataFrame([("dir/my log.txt", text)], "path string, content string")).orderBy("part").collect()
+    got = transcripts.split_sessions(spark.createDataFrame([("dir/my log.txt", text)], "path string, content string"), min_lines=10).orderBy("part").collect()
     assert [r.part for r in got] == [1, 2]
     assert got[0].file_name == "my_log_2026-03-30_930AM_Sam_Fix-the-Login-page.txt" and got[0].content == body
 
