@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
 
 from loci.session import shared_dir, tune
 
@@ -51,18 +51,22 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """mapInArrow that also takes functions giving no batch at all."""
-    return df.mapInArrow(fn, schema)
-
-
 def texts_of(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column."""
     return column.cast(pa.binary()).to_pylist()
 
 
-def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    return F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
+def numbered(cut: list[list[bytes]], place: dict[bytes, int], learn: Callable[[list[bytes]], None]) -> list[np.ndarray]:
+    """Numbers of the words of several texts; words not in ``place`` yet go to ``learn`` first, all at once."""
+    found = [np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words)) for words in cut]
+    missing = [np.flatnonzero(at < 0).tolist() for at in found]
+    new = {words[i] for words, gaps in zip(cut, missing, strict=True) for i in gaps}
+    if new:
+        learn(sorted(new))
+        for words, at, gaps in zip(cut, found, missing, strict=True):
+            if gaps:
+                at[gaps] = [place[words[i]] for i in gaps]
+    return found
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

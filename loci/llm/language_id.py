@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loci.llm.common import texts_of, written
+from loci.llm.common import numbered, texts_of, written
 
 ORDERS = (4, 3, 2, 1)
 WORDS = 100_000
@@ -88,28 +88,35 @@ class Model:
     def __init__(self, langs: list[str], prior: np.ndarray, words: dict[str, int], word_scores: np.ndarray, grams: dict[str, int], gram_scores: np.ndarray):
         self.langs, self.prior = langs, prior
         self.words, self.word_scores, self.grams, self.gram_scores = words, word_scores, grams, gram_scores
+        self.table = np.concatenate([word_scores, gram_scores]).astype(np.float64)
 
     def parts(self) -> tuple:
         """Plain values to send to the executors."""
         return self.langs, self.prior, self.words, self.word_scores, self.grams, self.gram_scores
 
-    def score_word(self, word: str) -> np.ndarray:
+    def rows_of(self, word: str) -> list[int]:
+        """Rows of the table whose mean is the word's score: its own, or its longest known n-grams'."""
         at = self.words.get(word)
         if at is not None:
-            return self.word_scores[at]
-        marked = f"^{word}$"
+            return [at]
+        marked, first = f"^{word}$", len(self.words)
         for k in ORDERS:
-            known = [g for g in (self.grams.get(marked[i : i + k]) for i in range(max(1, len(marked) - k + 1))) if g is not None]
+            known = [first + g for i in range(max(1, len(marked) - k + 1)) if (g := self.grams.get(marked[i : i + k])) is not None]
             if known:
-                return self.gram_scores[known].mean(axis=0)
-        return np.zeros(len(self.langs))
+                return known
+        return []
+
+    def score_word(self, word: str) -> np.ndarray:
+        rows = self.rows_of(word)
+        return self.table[rows].mean(axis=0) if rows else np.zeros(len(self.langs))
 
 
 def _kept(counts: DataFrame, name: str, most: int) -> dict[str, list]:
     """The most frequent entries with their counts per language; at most ``most`` rows."""
     total = counts.groupBy(name).agg(F.sum("n").alias("all"), F.collect_list(F.struct("lang", "n")).alias("per"))
-    rows = total.orderBy(F.desc("all"), name).limit(most).collect()
-    return {r[name]: r["per"] for r in rows}
+    # Written first, so the driver gets these rows alone and not every partition's best.
+    best = written(total.orderBy(F.desc("all"), name).limit(most), "best")
+    return {r[name]: r["per"] for r in best.orderBy(F.desc("all"), name).collect()}
 
 
 def _log_shares(entries: dict[str, list], langs: list[str], totals: np.ndarray) -> tuple[dict[str, int], np.ndarray]:
@@ -139,7 +146,7 @@ def fit(training: DataFrame, words: int = WORDS, grams: int = GRAMS) -> Model:
 class _Scorer:
     """Adds up the scores of texts; remembers tokens already scored."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 1_000_000):
         self.model, self.most = model, most
         self.clear()
 
@@ -148,38 +155,58 @@ class _Scorer:
         self.table = np.zeros((1024, len(self.model.langs)))
         self.words = np.zeros(1024, np.int64)
 
-    def _add(self, token: bytes) -> int:
-        at = self.place[token] = len(self.place)
-        if at == len(self.table):
+    def learn(self, tokens: list[bytes]) -> None:
+        """Score new tokens together: each is the sum over its words of the mean of their rows."""
+        first, count = len(self.place), len(tokens)
+        while first + count > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.words = np.concatenate([self.words, np.zeros_like(self.words)])
-        found = words_of(token)
-        self.words[at] = len(found)
-        if found:
-            self.table[at] = np.sum([self.model.score_word(w) for w in found], axis=0)
-        return at
-
-    def predict(self, text: bytes | None) -> tuple[str, float]:
-        tokens = (text or b"").split()
+        rows, shares, owner = [], [], []
+        rows_of = self.model.rows_of
+        for at, token in enumerate(tokens, first):
+            found = words_of(token)
+            self.words[at] = len(found)
+            for word in found:
+                own = rows_of(word)
+                if own:
+                    rows += own
+                    shares += [1.0 / len(own)] * len(own)
+                    owner += [at] * len(own)
+        if rows:
+            owners = np.array(owner)
+            starts = np.flatnonzero(np.diff(owners, prepend=-1))
+            self.table[owners[starts]] = np.add.reduceat(self.model.table[rows] * np.array(shares)[:, None], starts, axis=0)
+        self.place.update(zip(tokens, range(first, first + count), strict=True))
+
+    def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
+        cut = [(t or b"").split() for t in texts]
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(cut)
         if len(self.place) > self.most:
             self.clear()
-        get, add = self.place.get, self._add
-        at = np.fromiter((p if (p := get(t)) is not None else add(t) for t in tokens), np.int64, len(tokens))
-        if not self.model.langs or not len(at) or not self.words[at].any():
-            return UNKNOWN, 0.0
-        total = self.model.prior + self.table[at].sum(axis=0)
-        best = int(np.argmax(total))
-        return self.model.langs[best], float(1 / np.exp(total - total[best]).sum())
+        out = []
+        for at in numbered(cut, self.place, self.learn):
+            if not len(at) or not self.words[at].any():
+                out.append((UNKNOWN, 0.0))
+                continue
+            total = self.model.prior + self.table[at].sum(axis=0)
+            best = int(np.argmax(total))
+            out.append((self.model.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
 
 def predicted(text: Column, shared) -> Column:
-    """lang_pred and score of a text; ``shared`` is a broadcast variable with a model's parts."""
+    """lang_pred and score of a text; ``shared`` is a broadcast variable with a model's parts in a dict."""
 
     @F.arrow_udf(returnType="lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _Scorer(Model(*shared.value))
+        # A worker keeps its broadcast values from task to task, and with them the tokens it has scored.
+        held = shared.value
+        if "scorer" not in held:
+            held["scorer"] = _Scorer(Model(*held["parts"]))
+        scorer = held["scorer"]
         for column in batches:
-            found = [scorer.predict(t) for t in texts_of(column)]
+            found = scorer.predict(texts_of(column))
             yield pa.StructArray.from_arrays(
                 [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang_pred", "score"])
 
@@ -189,7 +216,7 @@ def predicted(text: Column, shared) -> Column:
 def identify(docs: DataFrame, learn_from: Column, words: int = WORDS, grams: int = GRAMS) -> DataFrame:
     """doc_id, lang_pred and score of every text, learnt from the rows where ``learn_from`` holds and lang is known."""
     model = fit(docs.where(learn_from & F.col("lang").isNotNull()), words, grams)
-    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
+    shared = docs.sparkSession.sparkContext.broadcast({"parts": model.parts()})
     return docs.select("doc_id", predicted(F.col("text"), shared).alias("p")).select("doc_id", "p.lang_pred", "p.score")
 
 

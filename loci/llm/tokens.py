@@ -9,6 +9,8 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from loci.llm.common import numbered
+
 TOGETHER = 20_000
 
 
@@ -57,12 +59,8 @@ class WordTokens:
         if len(self.place) > self.most:
             self.clear()
         cut = [(text or b"").split() for text in texts]
-        new = set().union(*cut).difference(self.place)
-        if new:
-            self._learn(sorted(new))
         out = []
-        for pieces in cut:
-            at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        for at in numbered(cut, self.place, self._learn):
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)
             total = int(ends[-1]) if len(ends) else 0
