@@ -21,8 +21,10 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
 # --- chunks ----------------------------------------------------------------------------------
 
 
-@query("chunk_text", f"""
-WITH RECURSIVE doc AS (SELECT doc_id, trim(text, {_BLANKS}) AS t FROM documents),
+def _chunk_sql(source: str, before: str = "") -> str:
+    """Chunks (doc_id, content, chunk_index) of texts (doc_id, t) without blanks at their ends."""
+    return f"""
+WITH RECURSIVE {before}doc AS ({source}),
 step AS (
   SELECT doc_id, t, CAST(0 AS BIGINT) AS pos0, CAST(-1 AS BIGINT) AS stop, CAST(0 AS BIGINT) AS n FROM doc WHERE t <> ''
   UNION ALL
@@ -34,21 +36,16 @@ step AS (
         FROM (SELECT *, CASE WHEN stop < 0 THEN 0 ELSE stop - 100 END AS b FROM step WHERE stop < length(t))))
 SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS chunk_index
 FROM (SELECT doc_id, n, trim(substr(t, pos0 + 1, stop - pos0), {_BLANKS}) AS content FROM step WHERE n > 0) WHERE length(content) >= 50
-""")
+"""
+
+
+@query("chunk_text", _chunk_sql(f"SELECT doc_id, trim(text, {_BLANKS}) AS t FROM documents"))
 def chunk_text(t):
     """Every document cut into drawers of about 800 characters."""
     out = chunking.chunk_text(t.documents.select("doc_id", F.col("text").alias("document")))
     return out.select("doc_id", "content", F.col("chunk_index").cast("bigint").alias("chunk_index"))
 
 
-@query("chunk_pages")
-def chunk_pages(t):
-    """Every page cut into drawers, per room of its path."""
-    rooms = [{"name": "english", "keywords": ["en"]}, {"name": "french", "keywords": ["fr"]}, {"name": "german", "keywords": ["de"]}]
-    docs = w.files(t).withColumn("room", classify.detect_room(F.col("path"), F.col("document"), rooms, window=None))
-    return chunking.chunk_text(docs).select("page_id", "room", "chunk_index", F.length("content").alias("n_chars"))
-
-
 @query("chunk_exchanges", f"""
 WITH {w.TRANSCRIPTS_SQL},
 ln AS (SELECT doc_id, UNNEST(string_split(document, chr(10))) AS raw, generate_subscripts(string_split(document, chr(10)), 1) AS n FROM transcripts),
@@ -190,22 +187,22 @@ _ROOMS = [
 ]
 
 
-def _room_sql() -> str:
+def _room_sql(rooms: list[dict]) -> str:
     def over(a, b):
         return f"(contains({a}, {sql_text(b)}) OR contains({sql_text(b)}, {a}))"
 
     def hit(part):
         return "CASE " + " ".join(
-            "WHEN " + " OR ".join(over(part, k.lower()) for k in [r["name"], *r["keywords"]]) + f" THEN '{r['name']}'" for r in _ROOMS
+            "WHEN " + " OR ".join(over(part, k.lower()) for k in [r["name"], *r["keywords"]]) + f" THEN '{r['name']}'" for r in rooms
         ) + " END"
 
     def count(k):
         return f"(length(txt) - length(replace(txt, {sql_text(k.lower())}, ''))) // {len(k)}"
 
     scores = ", ".join(
-        f"{{'s': -({' + '.join(count(k) for k in [*r['keywords'], r['name']])}), 'i': {i}, 'n': '{r['name']}'}}" for i, r in enumerate(_ROOMS)
+        f"{{'s': -({' + '.join(count(k) for k in [*r['keywords'], r['name']])}), 'i': {i}, 'n': '{r['name']}'}}" for i, r in enumerate(rooms)
     )
-    names = "CASE " + " ".join(f"WHEN {over('stem', r['name'].lower())} THEN '{r['name']}'" for r in _ROOMS) + " END"
+    names = "CASE " + " ".join(f"WHEN {over('stem', r['name'].lower())} THEN '{r['name']}'" for r in rooms) + " END"
     return f"""
 WITH {w.FILES_SQL},
 p AS (SELECT page_id, string_split(lower(path), '/') AS parts, lower(document) AS txt, lower(regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1')) AS stem FROM files),
@@ -215,7 +212,21 @@ SELECT page_id, coalesce(by_folder, {names}, CASE WHEN best.s < 0 THEN best.n EN
 """
 
 
-@query("detect_room", _room_sql())
+_TONGUES = [{"name": "english", "keywords": ["en"]}, {"name": "french", "keywords": ["fr"]}, {"name": "german", "keywords": ["de"]}]
+
+
+@query("chunk_pages", f"""
+SELECT c.doc_id AS page_id, r.room, c.chunk_index, length(c.content) AS n_chars
+FROM ({_chunk_sql(f"SELECT page_id AS doc_id, trim(html, {_BLANKS}) AS t FROM pages")}) c JOIN ({_room_sql(_TONGUES)}) r ON r.page_id = c.doc_id
+""")
+def chunk_pages(t):
+    """Every page cut into drawers, per room of its path."""
+    docs = w.files(t).withColumn("room", classify.detect_room(F.col("path"), F.col("document"), _TONGUES))
+    out = chunking.chunk_text(docs)
+    return out.select("page_id", "room", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.length("content").cast("bigint").alias("n_chars"))
+
+
+@query("detect_room", _room_sql(_ROOMS))
 def detect_room(t):
     """Room of every page: by folder, by name, by keywords."""
     return w.files(t).select("page_id", classify.detect_room(F.col("path"), F.col("document"), _ROOMS, window=None).alias("room"))
@@ -394,8 +405,13 @@ def _named_count(pattern: str, flags: str = "i") -> str:
 
 
 _PRONOUN_SQL = r"'\b(she|her|hers|he|him|his|they|them|their)\b'"
-_SCORE_SQL = f"""
-WITH {_STORY_SQL},
+_SEEN = "len(regexp_extract_all(document, '\\b' || name || '\\b'))"
+
+
+def _score_sql(story: str, seen: str = _SEEN) -> str:
+    """Scores of the names of stories (id, name, document)."""
+    return f"""
+WITH {story},
 sl AS (SELECT id, name, UNNEST(string_split(document, chr(10))) AS line, generate_subscripts(string_split(document, chr(10)), 1) AS n FROM story),
 near AS (SELECT id, contains(lower(line), lower(name)) AS has, bool_or(regexp_matches(lower(line), {_PRONOUN_SQL})) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS pron FROM sl),
 ph AS (SELECT id, count(*) FILTER (has AND pron) AS pronouns FROM near GROUP BY id),
@@ -403,13 +419,20 @@ sc AS (SELECT story.id, name, document,
   [{', '.join(_named_count(p, 'mi') for p in fixed.DIALOGUE_PATTERNS)}] AS dia, [{', '.join(_named_count(p) for p in fixed.PERSON_VERB_PATTERNS)}] AS verbs,
   [{', '.join(_named_count(p) for p in fixed.PROJECT_VERB_PATTERNS)}] AS proj, pronouns, {_named_count(fixed.DIRECT_PATTERN)} AS direct,
   {_named_count(fixed.VERSIONED_PATTERN)} AS vers, {_named_count(fixed.CODE_REF_PATTERN)} AS code,
-  len(regexp_extract_all(document, '\\b' || name || '\\b')) AS frequency FROM story JOIN ph USING (id)),
+  {seen} AS frequency FROM story JOIN ph USING (id)),
 s2 AS (SELECT *, list_sum(dia) * 3 + list_sum(verbs) * 2 + pronouns * 2 + direct * 4 AS ps, list_sum(proj) * 2 + vers * 3 + code * 3 AS js,
   list_concat(list_transform(list_filter(dia, lambda x: x > 0), lambda x: 'dialogue'), list_transform(list_filter(verbs, lambda x: x > 0), lambda x: 'action'),
     CASE WHEN pronouns > 0 THEN ['pronoun'] ELSE [] END, CASE WHEN direct > 0 THEN ['addressed'] ELSE [] END) AS kinds FROM sc WHERE frequency >= 3)
 """
 
 
+_SCORE_SQL = _score_sql(_STORY_SQL)
+_DOC_STORIES = f"""
+story AS (SELECT c.doc_id || ':' || c.name AS id, c.doc_id, c.name, c.frequency, d.text AS document
+          FROM ({_candidate_sql().replace("STOPLIST", _list(fixed.STOPWORDS))}) c JOIN documents d USING (doc_id))
+"""
+
+
 @query("entity_signals", _SCORE_SQL + "SELECT id, name, frequency, CAST(ps AS BIGINT) AS person_score, CAST(js AS BIGINT) AS project_score FROM s2")
 def entity_signals(t):
     """Person and project scores of the names in little stories."""
@@ -417,19 +440,28 @@ def entity_signals(t):
     return out.select("id", "name", "frequency", F.col("person_score").cast("bigint").alias("person_score"), F.col("project_score").cast("bigint").alias("project_score"))
 
 
-@query("entity_classes", _SCORE_SQL + """
+_CLASS_SQL = """
 SELECT id, name, CASE WHEN ps + js = 0 THEN 'uncertain' WHEN ps / (ps + js) >= 0.7 AND len(list_distinct(kinds)) >= 2 AND ps >= 5 THEN 'person'
    WHEN ps / (ps + js) >= 0.7 THEN 'uncertain' WHEN ps / (ps + js) <= 0.3 THEN 'project' ELSE 'uncertain' END AS type,
  floor(100 * CASE WHEN ps + js = 0 THEN least(0.4, frequency / 50) WHEN ps / (ps + js) >= 0.7 AND len(list_distinct(kinds)) >= 2 AND ps >= 5 THEN least(0.99, 0.5 + ps / (ps + js) * 0.5)
    WHEN ps / (ps + js) >= 0.7 THEN 0.4 WHEN ps / (ps + js) <= 0.3 THEN least(0.99, 0.5 + (1 - ps / (ps + js)) * 0.5) ELSE 0.5 END + 0.5) / 100 AS confidence
 FROM s2
-""")
+"""
+
+
+@query("entity_classes", _SCORE_SQL + _CLASS_SQL)
 def entity_classes(t):
     """Person, project or uncertain, with confidence."""
     return entities.detect_entities(_stories(t).drop("name"), key="id").select("id", "name", "type", "confidence")
 
 
-@query("best_entities")
+@query("best_entities", _score_sql(_DOC_STORIES, "story.frequency") + f"""
+, typed AS ({_CLASS_SQL.replace("SELECT id, name,", "SELECT id, name, frequency,", 1)}),
+named AS (SELECT *, CAST(split_part(id, ':', 1) AS BIGINT) AS original_id FROM typed)
+SELECT original_id, name, type, confidence, frequency,
+       row_number() OVER (PARTITION BY original_id, type ORDER BY CASE WHEN type = 'uncertain' THEN CAST(frequency AS DOUBLE) ELSE confidence END DESC, frequency DESC, name) AS position
+FROM named
+""")
 def best_entities(t):
     """The report of the surest entities per document."""
     found = entities.detect_entities(t.documents.select(F.col("doc_id").alias("original_id"), F.col("text").alias("document")))
