@@ -76,6 +76,9 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.removed(table(spark, folder, "documents"))
 
 
+SQL["op8_substring_dedup"] = substring_dedup.SQL
+
+
 @query
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loci.llm.common import fresh, texts_of, written
+from loci.llm.common import WORD, fresh, texts_of, written
 from loci.llm.fm_index import FMIndex, repeated_windows
 
 LENGTH = 35
@@ -282,3 +282,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options: int) -> Da
         columns["n_chars"] = F.when(F.col(out)["n_removed"] > 0, F.char_length(F.col(out)["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cleaned.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns])
 
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + {LENGTH - 1}], ' ') AS g FROM d, UNNEST(range(1, len(ws) - {LENGTH - 2})) t(i)),
+twice AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM (SELECT * FROM windows SEMI JOIN twice USING (g)), UNNEST(range({LENGTH})) s(k)),
+words AS (SELECT doc_id, p, ws[p] AS w FROM d, UNNEST(range(1, len(ws) + 1)) t(p)),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS said, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
