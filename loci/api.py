@@ -17,8 +17,8 @@ from loci.functions.vectors import embed
 from loci.operators import consolidate as cons
 from loci.operators import facts as kg
 from loci.operators import memory, routing, saving, search, taxonomy, topology
-from loci.operators.store import DrawerTable
-from loci.schemas import ENTITIES, PALACES, PEOPLE, ROUTES, TRIPLES, conform
+from loci.operators.store import DrawerTable, as_deletes, as_upserts, reembed
+from loci.schemas import CLOSETS_GONE, ENTITIES, PALACES, PEOPLE, ROUTES, TRIPLES, conform
 from loci.session import cut_lineage
 
 
@@ -63,6 +63,7 @@ class Memory:
         self._entities = _Table(spark, f"{self.path}/entities", ENTITIES)
         self._people = _Table(spark, f"{self.path}/people", PEOPLE)
         self._routes = _Table(spark, f"{self.path}/routes", ROUTES)
+        self._closets_gone = _Table(spark, f"{self.path}/closets_gone", CLOSETS_GONE)
 
     # tables -------------------------------------------------------------------------------
 
@@ -98,7 +99,17 @@ class Memory:
         return memory.list_rooms(self.drawers(palace), wing)
 
     def get_taxonomy(self, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
-        return taxonomy.in_order(taxonomy.tree_lines(taxonomy.paths(taxonomy.edges(self._filed(palace)))))
+        return taxonomy.in_order(taxonomy.tree_lines(taxonomy.paths(self._edges(palace))))
+
+    def _closets(self, palace: str) -> DataFrame:
+        """Closets of drawers with the time something was filed there last."""
+        closet = taxonomy.node_id(F.lit("clo"), F.col("palace"), F.coalesce("closet_name", "closet"))
+        return self.drawers(palace).select("palace", closet.alias("closet_id"), "filed_at").groupBy("palace", "closet_id").agg(F.max("filed_at").alias("last"))
+
+    def _edges(self, palace: str) -> DataFrame:
+        """Taxonomy edges without closets deleted since something was filed there."""
+        gone = self._closets_gone.read().join(self._closets(palace), ["palace", "closet_id"]).where("last <= deleted_at")
+        return taxonomy.delete_closets(taxonomy.edges(self._filed(palace)), gone)
 
     def recall(self, wing=None, room=None, limit: int = 10, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
         return memory.recall(self.drawers(palace), wing, room, limit)
@@ -154,7 +165,32 @@ class Memory:
         self.table.append(log)
         return answers
 
+    def _delete_closet(self, closet_id: str, palace: str) -> DataFrame:
+        found = self._closets(palace).where(F.col("closet_id") == closet_id).select("palace", "closet_id", F.lit(self._now()).alias("deleted_at"))
+        known = not found.isEmpty()
+        if known:
+            self._closets_gone.write(self._closets_gone.read().unionByName(found))
+        answer = (palace, closet_id, known, "deleted" if known else None, None if known else f"Closet not found: {closet_id}")
+        return self.spark.createDataFrame([answer], "palace string, drawer_id string, success boolean, status string, error string")
+
+    def flush_pending_deletes(self, palace: str | None = None, max_deletes: int | None = None, dry_run: bool = False) -> DataFrame:
+        """Delete the drawers queued for it; the rows found."""
+        found = cut_lineage(cons.pending_deletes(self.drawers(), palace, max_deletes).select("palace", "point_id", "original_id"))
+        if not dry_run:
+            self.table.append(as_deletes(found, self.table.next_version()))
+        return found
+
+    def reembed(self) -> None:
+        """Every vector built anew from its document, as one version."""
+        self.table.append(as_upserts(reembed(self.table.current()).drop("op", "version", "seq"), self.table.next_version()))
+
+    def palace_delete(self, name: str) -> None:
+        """Take a palace off the list; its drawers stay."""
+        self._palaces.write(self.palaces().where(F.col("name") != name))
+
     def delete_drawer(self, drawer_id: str, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
+        if drawer_id.startswith("clo_"):
+            return self._delete_closet(drawer_id, palace)
         asked = self.spark.createDataFrame([(palace, drawer_id, "delete_drawer")], "palace string, drawer_id string, reason string")
         log, answers = cons.queue_deletes(self.drawers(), asked, self.table.next_version(), self._now())
         self.table.append(log)

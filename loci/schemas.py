@@ -69,3 +69,7 @@ def conform(df, schema: T.StructType):
     return df.select([
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
     ])
+
+CLOSETS_GONE = T.StructType([
+    T.StructField("palace", T.StringType()), T.StructField("closet_id", T.StringType()), T.StructField("deleted_at", T.StringType()),
+])

@@ -185,3 +185,22 @@ def test_new_palace_competes_in_its_first_batch(spark):
                                   "seq long, palace string, content string, wing string, hall string, room string, closet string, topic string, importance int")
     log = saving.save_batch(asked, saving.empty_drawers(spark), known, version=1, now=NOW).log
     assert log.first().routing_best_palace == "garden_plants"
+
+
+def test_closets_palaces_and_queued_deletes(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "m"), now=lambda: NOW)
+    m.palace_create("work", "w", [], "w")
+    args = dict(palace="work", wing="Tech", hall="Ops", room="Docker", closet="Use", topic="docker", importance=4)
+    m.save(content="Docker is in use.", **args)
+    row = m.drawers("work").first()
+    closet = m._closets("work").first().closet_id
+    assert m.delete_drawer("clo_none", "work").first().error == "Closet not found: clo_none"
+    assert m.delete_drawer(closet, "work").first().success
+    assert m.get_taxonomy("work").isEmpty() and {r.child for r in m._edges("work").collect()} == {"Ops", "Docker"}
+    assert m.delete_drawer(row.original_id, "work").first().status == "queued_for_sleep_deletion"
+    assert m.flush_pending_deletes("work", dry_run=True).count() == 1 and m.table.count("work") == 1
+    m.reembed()
+    assert m.drawers("work").first().vector == row.vector
+    assert m.flush_pending_deletes("work").count() == 1 and m.table.count("work") == 0
+    m.palace_delete("work")
+    assert m.list_identities().count() == 0
