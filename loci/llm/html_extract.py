@@ -14,7 +14,7 @@ text and the other tags must carry pages without such markup, and with passages
 article repeated inside boilerplate containers, so a container counts for more than prose.
 
 Scripts, styles, comments and other unseen parts are no text.  Character references are
-decoded, white space in a block becomes one space.  Null, empty or text-free pages give an
+decoded, white space in a block, line breaks included, becomes one space.  Null, empty or text-free pages give an
 empty text.  Without labelled pages, blocks are judged by markup rules alone.  Repeated rows
 are treated alike; extra columns do not matter.
 """
@@ -38,7 +38,7 @@ WIDTH = 4096
 SEED = 17
 
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -166,10 +166,8 @@ def blocks(page: str | None) -> list[Block]:
         if tag in BLOCK_TAGS:
             close()
         if tag in VOID_TAGS:
-            if tag in ("img", "input", "wbr"):
-                continue
-            if tag not in BLOCK_TAGS:
-                pieces.append("")
+            if tag == "br" and not top_unseen:
+                pieces.append(" ")
             continue
         names, body, hidden = _attributes(found.group(3) or "")
         unseen = top_unseen or tag in UNSEEN_TAGS or hidden

@@ -17,7 +17,7 @@ def page(i, body_tag="article"):
 
 
 def wanted(i):
-    return f"Title {i} & more\n\nFirst {i}: {PROSE}\n\nline two x\n\n{PROSE} bold"
+    return f"Title {i} & more\n\nFirst {i}: {PROSE} line two x\n\n{PROSE} bold"
 
 
 @pytest.fixture(scope="module")
