@@ -118,7 +118,7 @@ span AS (SELECT h.doc_id, h.n AS first_line, row_number() OVER (PARTITION BY h.d
 @query("session_boundaries", f"""
 WITH {_MEGA_SQL}
 SELECT s.doc_id, part, first_line, coalesce(nxt, total) - first_line AS line_count FROM span s JOIN cnt USING (doc_id)
-WHERE sessions >= 2 AND coalesce(nxt, total) - first_line >= 10
+WHERE sessions >= 2
 """)
 def session_boundaries(t):
     """Sessions inside long transcripts."""
