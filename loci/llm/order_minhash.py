@@ -143,7 +143,7 @@ def with_next(docs: DataFrame, tasks: int | None = None) -> DataFrame:
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = tasks * RANGES_PER_TASK
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"))
-    found = narrow.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], 100 * spans)).first()[0]
+    found = narrow.agg(F.percentile_approx("doc_id", [i / spans for i in range(1, spans)], min(100 * spans, 1_000_000))).first()[0]
     borders = np.array(sorted(set(found or [])), np.int64)
 
     @F.arrow_udf(returnType="long")
