@@ -15,7 +15,7 @@ number of similar fingerprints is compared whole and by many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,14 +157,14 @@ def links(fingerprints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     return dealt.mapInArrow(_bucket_links, "a long, b long")
 
 
-def near_groups(fingerprints: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(fp, root, component_id) for each distinct fingerprint of a table (doc_id, fp).
+def near_groups(fingerprints: DataFrame, link: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """(fp, root, component_id) for each distinct fingerprint of a table (doc_id, fp); ``link`` finds their links.
 
     root is a fingerprint of the component, component_id its smallest doc_id;
     null only if all are null.
     """
     own = written(fingerprints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(own.select("fp"), max_bucket)).toDF("fp", "root")
+    roots = components(link(own.select("fp"))).toDF("fp", "root")
     linked = own.join(roots, "fp").groupBy("root").agg(F.min("first").alias("least"))
     named = roots.join(linked, "root").select("fp", "root", "least")
     return own.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
@@ -177,25 +177,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bucket: i
     Repeated rows and equal texts share a component.  A null doc_id never names one.
     """
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    named = written(near_groups(prints, max_bucket).drop("root"), "groups")
+    named = written(near_groups(prints, lambda own: links(own, max_bucket)).drop("root"), "groups")
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def row_keys(names: list[str]) -> list[Column]:
+    """What tells a row apart: its doc_id, whether it has none, and a hash of its text."""
+    key, nokey, digest = names
+    return [F.coalesce("doc_id", F.lit(0)).cast("bigint").alias(key), F.isnull("doc_id").alias(nokey), F.xxhash64("text").alias(digest)]
+
+
 def keep_first(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One document of each group, with its own columns: that with the smallest doc_id.
 
     Of repeated rows with that doc_id, one with the smallest hash of its text
     stays.  In a group without any doc_id one row stays, likewise.
     """
+    prints = docs.select("doc_id", *row_keys(["key", "nokey", "digest"]), fingerprint(F.col("text"), shingle).alias("fp"))
+    return first_of(docs, written(prints, "fingerprints"), lambda own: links(own, max_bucket))
+
+
+def first_of(docs: DataFrame, prints: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One document of each group, from a table (doc_id, key, nokey, digest, fp) of the same rows."""
     key, nokey, digest, turn = fresh(docs, "key", "nokey", "digest", "turn")
-    keys = [F.coalesce("doc_id", F.lit(0)).cast("bigint").alias(key), F.isnull("doc_id").alias(nokey), F.xxhash64("text").alias(digest)]
-    prints = written(docs.select("doc_id", *keys, fingerprint(F.col("text"), shingle).alias("fp")), "fingerprints")
-    named = near_groups(prints.select("doc_id", "fp"), max_bucket)
+    named = near_groups(prints.select("doc_id", "fp"), link)
     best = (
         prints.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy("root").agg(F.min(F.struct(key, nokey, digest)).alias("pick")).select("pick.*").distinct()
+        .groupBy("root").agg(F.min(F.struct("key", "nokey", "digest")).alias("pick")).select("pick.*").distinct().toDF(key, nokey, digest)
     )
     # One shuffle of the texts serves both the numbering of exact repeats and the join.
     repeats = Window.partitionBy(key, nokey, digest).orderBy(digest).rowsBetween(Window.unboundedPreceding, 0)
-    dealt = docs.select("*", *keys).withColumn(turn, F.count(F.lit(1)).over(repeats)).where(F.col(turn) == 1)
+    dealt = docs.select("*", *row_keys([key, nokey, digest])).withColumn(turn, F.count(F.lit(1)).over(repeats)).where(F.col(turn) == 1)
     return dealt.join(best, [key, nokey, digest], "left_semi").select(*docs.columns)
