@@ -16,12 +16,14 @@ from loci.session import shared_dir, tune
 # argument splits at exactly these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 ROWS_PER_BATCH = 512
+BYTES_PER_BATCH = 32 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings for whole texts in Arrow batches: few rows at a time, so long texts fit."""
+    """Session settings for whole texts in Arrow batches: few rows and few bytes at a time, so long texts fit."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     return spark
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.llm import html_extract, language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, substring_dedup, url_filter
+from loci.llm import bpe, html_extract, language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, substring_dedup, url_filter
 from loci.llm.common import prepare, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -91,3 +91,8 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     training = F.col("doc_id").isNotNull() & ~held
     found = language_id.identify(docs, training)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digested(bpe.coded(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
