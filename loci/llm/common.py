@@ -73,3 +73,16 @@ def numbered(cut: list[list[bytes]], place: dict[bytes, int], learn: Callable[[l
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, which it has no function for."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    spelt = f"hex(encode({text}))"
+    octets = f"list_transform(range(length({spelt}) // 2), lambda i: CAST('0x' || substr({spelt}, 2 * i + 1, 2) AS BIGINT))"
+    step = f"lambda c, x: xor(c >> 8, {table}[(xor(c, x) & 255) + 1])"
+    return f"xor(list_reduce({octets}, {step}, 4294967295), 4294967295)"

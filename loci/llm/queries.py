@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.llm import bpe, html_extract, language_id, mixing, order_minhash, packing, quality_rules, simhash, site_quality, substring_dedup, url_filter
+from loci.llm import bpe, html_extract, language_id, mixing, order_minhash, packing, quality_rules, resampling, simhash, site_quality, substring_dedup, url_filter
 from loci.llm.common import prepare, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -96,3 +96,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digested(bpe.coded(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
+@query
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+SQL["op12_resample"] = resampling.SQL
