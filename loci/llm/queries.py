@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loci.llm import bpe, html_extract, language_id, mixing, order_minhash, packing, quality_rules, resampling, simhash, site_quality, substring_dedup, url_filter
+from loci.llm import bpe, conversation_trie, html_extract, language_id, mixing, order_minhash, packing, quality_rules, resampling, simhash, site_quality, substring_dedup, url_filter
 from loci.llm.common import prepare, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -104,3 +104,11 @@ def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_resample"] = resampling.SQL
+
+
+@query
+def op13_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.shared_prefixes(table(spark, folder, "conversations"))
+
+
+SQL["op13_conversation_trie"] = conversation_trie.SQL
