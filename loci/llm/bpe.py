@@ -2,11 +2,12 @@
 
 A text is cut at the vocabulary's added tokens, then at spaces into chunks that cannot
 share a token, and each distinct chunk is encoded once per task.  A chunk is cut into
-words by the vocabulary's pattern.  A word holds the boundaries of its parts and, beside
-them, the rank of each part's merge with the next one.  The array is scanned for the
+words by the vocabulary's pattern.  A word holds its parts and, beside them in a contiguous
+array, the rank of each part's merge with the next one.  The array is scanned for the
 least rank, the boundary behind it goes, and the two ranks next to it are looked up
-again, until nothing can merge.  A scan costs the word's length, so words over
-``SHORT`` bytes keep the same values in a heap with links instead and merge in the same order.
+again, until nothing can merge.  New words of one length do this side by side, a row
+each.  A scan costs the word's length, so words over ``SHORT`` bytes keep the same
+values in a heap with links instead and merge in the same order.
 
 Letters, numbers and white space are those of the ``regex`` module; code points that
 Python's own tables do not know yet are classed as the tokenizer's library classes them.
@@ -15,7 +16,7 @@ Decoding looks up each id's bytes and reads them all as UTF-8; broken sequences
 U+FFFD.  Ids the vocabulary does not have are left out.
 
 Null and empty texts have no ids and decode to an empty text.  Very long texts and words
-are encoded whole; long chunks are not remembered.  Each row is encoded by itself, so
+are encoded whole; what is remembered is bounded in number and bytes.  Each row is encoded by itself, so
 repeated rows agree; an empty table gives an empty result.  Other columns stay, and the
 new ones take names with leading underscores where theirs clash.
 """
@@ -38,13 +39,21 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loci.llm.common import fresh, texts_of
+from loci.llm.common import fresh, numbered, texts_of
 
-SHORT = 256
-REMEMBERED, REMEMBERED_BYTES, LONG_CHUNK = 500_000, 32 << 20, 1024
+SHORT = 128
+REMEMBERED, REMEMBERED_BYTES = 600_000, 48 << 20
+TOGETHER_BYTES = 4 << 20  # text encoded at a time
+CELLS = 1 << 20  # parts merged at a time
 # Fixed value: the public pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_NEVER = sys.maxsize
+_NEVER = np.iinfo(np.int32).max
+# White space in UTF-8, by length.
+_SPACES = (rb"[\t-\r ]", rb"\xc2[\x85\xa0]", rb"\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_RUN = re.compile(rb"(?:" + rb"|".join(_SPACES) + rb") ")
+_CUT = re.compile(rb"".join(rb"(?<!" + alt + rb")" for s in _SPACES for alt in s.split(b"|")) + rb" ")
+_ENDS_OPEN = re.compile(rb"(?:" + rb"|".join(_SPACES) + rb")\Z")
+_FIRST, _ADDED = b"\xff", b"\xfe"  # mark chunks without a space before them, and added tokens; neither occurs in UTF-8
 
 
 def byte_letters() -> dict[str, int]:
@@ -54,8 +63,35 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Lists:
+    """Rows of ids one after another in one array, found by number."""
+
+    def __init__(self):
+        self.starts, self.sizes, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+        self.flat, self.used = np.zeros(8192, np.int32), 0
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> int:
+        """Add rows of these sizes; the number of the first."""
+        first = self.count
+        for name, need in (("starts", first + len(sizes)), ("sizes", first + len(sizes)), ("flat", self.used + len(ids))):
+            held = getattr(self, name)
+            if need > len(held):
+                setattr(self, name, np.concatenate([held, np.zeros(max(need, 2 * len(held)) - len(held), held.dtype)]))
+        self.sizes[first : first + len(sizes)] = sizes
+        self.starts[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.count, self.used = first + len(sizes), self.used + len(ids)
+        return first
+
+    def joined(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of some rows, and their ids in a row."""
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        return sizes, self.flat[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Bpe:
-    """A byte-level BPE vocabulary (a tokenizers file) and the chunks encoded with it so far."""
+    """A byte-level BPE vocabulary (a tokenizers file) and the chunks and words encoded with it so far."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -65,10 +101,14 @@ class Bpe:
         names = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.rank = {(names[a], names[b]): i for i, (a, b) in enumerate(pairs)}
-        self.merged = [names[a + b] for a, b in pairs]
-        self.byte_id = [0] * 256
+        self.merged = np.array([names[a + b] for a, b in pairs], np.int32)
+        self.byte_id = np.zeros(256, np.int32)
         for letter, byte in letters.items():
             self.byte_id[byte] = names[letter]
+        keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.pair_keys, self.pair_ranks = np.append(keys[order], -1), np.append(order, 0).astype(np.int32)
+        self.byte_ranks = self._ranks(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)).reshape(256, 256)
         self.bytes_of = {i: bytes(letters[c] for c in name) for name, i in names.items()}
         if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added) or held.get("normalizer"):
             raise ValueError("added tokens that take white space, and normalizers, are not supported")
@@ -76,43 +116,60 @@ class Bpe:
         self.bytes_of |= {i: name for name, i in self.added.items()}
         longest_first = sorted(self.added, key=len, reverse=True)
         self.added_at = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if longest_first else None
-        self.words = regex.compile(PATTERN)
+        self.pattern = regex.compile(PATTERN)
         self.newer: dict[str, str] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.known: dict[bytes, list[int]] = {}
-        self.ids: list[np.ndarray] = []
-        self.open: list[bool] = []
-        self.held = 0
+        self.chunk_at: dict[bytes, int] = {}
+        self.word_at: dict[bytes, int] = {}
+        self.chunks, self.words, self.held = Lists(), Lists(), 0
 
     # words
 
-    def merge(self, word: bytes) -> list[int]:
-        """Ids of one word."""
-        return self._scan(word) if len(word) <= SHORT else self._heap(word)
-
-    def _scan(self, word: bytes) -> list[int]:
-        ids = list(map(self.byte_id.__getitem__, word))
-        bounds = list(range(len(word) + 1))  # part i is word[bounds[i]:bounds[i + 1]], ids[bounds[i]] its id
-        rank = self.rank.get
-        ranks = list(map(rank, zip(ids, ids[1:]), repeat(_NEVER)))
-        while ranks:
-            best = min(ranks)
-            if best == _NEVER:
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; _NEVER where they do not merge."""
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pair_keys[:-1], wanted)
+        return np.where(self.pair_keys[at] == wanted, self.pair_ranks[at], _NEVER)
+
+    def _scan(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of one length, each with its own rank array; rows of the arrays are words.
+
+        Every round takes one boundary out of every word that still merges, so the rows keep one length.
+        """
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        ids, ranks, names = self.byte_id[raw], self.byte_ranks[raw[:, :-1], raw[:, 1:]], np.arange(len(words))
+        done = []
+        while True:
+            rows = np.arange(len(ids))
+            at = ranks.argmin(axis=1) if ranks.shape[1] else np.zeros(len(ids), np.int64)
+            best = ranks[rows, at] if ranks.shape[1] else np.full(len(ids), _NEVER)
+            still = best < _NEVER
+            if not still.all():
+                done.append((names[~still], ids[~still]))
+                ids, ranks, names, at, best = ids[still], ranks[still], names[still], at[still], best[still]
+                rows = np.arange(len(ids))
+            if not len(ids):
                 break
-            i = ranks.index(best)
-            ids[bounds[i]] = self.merged[best]
-            del bounds[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = rank((ids[bounds[i]], ids[bounds[i + 1]]), _NEVER)
-            if i:
-                ranks[i - 1] = rank((ids[bounds[i - 1]], ids[bounds[i]]), _NEVER)
-        return [ids[b] for b in bounds[:-1]]
+            ids[rows, at] = self.merged[best]
+            keep_id, keep_rank = np.ones(ids.shape, bool), np.ones(ranks.shape, bool)
+            keep_id[rows, at + 1] = keep_rank[rows, at] = False
+            width = ids.shape[1] - 1
+            ids, ranks = ids[keep_id].reshape(len(ids), width), ranks[keep_rank].reshape(len(ids), width - 1)
+            for side in (at, at - 1):  # the pairs that the new part is left and right of
+                some = np.flatnonzero((side >= 0) & (side < width - 1))
+                ranks[some, side[some]] = self._ranks(ids[some, side[some]], ids[some, side[some] + 1])
+        sizes = np.zeros(len(words), np.int64)
+        for who, found in done:
+            sizes[who] = found.shape[1]
+        starts, flat = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), np.int32)
+        for who, found in done:
+            flat[starts[who][:, None] + np.arange(found.shape[1])] = found
+        return sizes, flat
 
     def _heap(self, word: bytes) -> list[int]:
-        ids = [self.byte_id[b] for b in word]
+        ids = self.byte_id[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
         after, before, gone = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
         rank = self.rank.get
@@ -123,7 +180,7 @@ class Bpe:
             j = after[i]
             if gone[i] or j >= n or ids[i] != left or ids[j] != right:
                 continue
-            ids[i], gone[j], after[i] = self.merged[best], 1, after[j]
+            ids[i], gone[j], after[i] = int(self.merged[best]), 1, after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a, b in ((before[i], i), (i, after[i])):
@@ -131,6 +188,25 @@ class Bpe:
                     heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [x for x, dropped in zip(ids, gone, strict=True) if not dropped]
 
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Merge new words, those of one length together."""
+        by_length: dict[int, list[bytes]] = {}
+        for word in words:
+            by_length.setdefault(len(word), []).append(word)
+        for length, some in by_length.items():
+            step = max(1, CELLS // length) if length <= SHORT else 1
+            for k in range(0, len(some), step):
+                part = some[k : k + step]
+                if length <= SHORT:
+                    first = self.words.add(*self._scan(part))
+                else:
+                    ids = self._heap(part[0])
+                    first = self.words.add(np.array([len(ids)]), np.array(ids, np.int32))
+                self.word_at.update(zip(part, range(first, first + len(part))))
+                self.held += length * len(part)
+
+    # chunks
+
     def _class_letter(self, c: str) -> str:
         """A letter, digit or sign of the class the library gives a code point that is newer than Python's tables."""
         if c not in self.newer:
@@ -140,75 +216,71 @@ class Bpe:
             self.newer[c] = "a" if len(cut("a" + c)) == 1 else "1" if len(cut("1" + c)) == 1 else "*"
         return self.newer[c]
 
-    def _chunk_ids(self, chunk: bytes) -> np.ndarray:
-        text = chunk.decode("utf-8", "replace")
+    def _words_of(self, chunk: bytes) -> list[bytes]:
+        text = chunk.decode()
         if text.isascii():
-            words = [w.encode() for w in self.words.findall(text)]
-        else:
-            shadow = "".join(self._class_letter(c) if unicodedata.category(c) == "Cn" else c for c in text)
-            words = [text[m.start() : m.end()].encode() for m in self.words.finditer(shadow)]
-        if len(words) == 1:
-            return np.array(self.merge(chunk), np.int32)
-        return np.array([i for w in words for i in self._word_ids(w)], np.int32)
-
-    def _word_ids(self, word: bytes) -> list[int]:
-        at = self.place.get(word, -1)
-        if at >= 0:
-            return self.ids[at].tolist()
-        found = self.known.get(word)
-        if found is None:
-            found = self.merge(word)
-            if len(word) <= LONG_CHUNK:
-                self.known[word] = found
-                self.held += len(word)
-        return found
-
-    # chunks
-
-    def _number(self, chunk: bytes) -> int:
-        self.ids.append(self._chunk_ids(chunk))
-        # A chunk that ends in white space belongs together with what follows.
-        self.open.append(chunk == b"" or chunk[-1:].isspace() or (chunk[-1] >= 0x80 and chunk.decode("utf-8", "replace")[-1].isspace()))
-        at = len(self.ids) - 1
-        if len(chunk) <= LONG_CHUNK:
-            self.place[chunk] = at
-            self.held += len(chunk)
-        return at
-
-    def _numbers(self, parts: list[bytes]) -> list[int]:
-        """Numbers of the chunks of a text cut at spaces; all parts but the first are led by their space."""
-        led = [parts[0], *[b" " + p for p in parts[1:]]]
-        found = list(map(self.place.get, led, repeat(-1)))
-        for i in [i for i, at in enumerate(found) if at < 0]:
-            found[i] = self._number(led[i])
-        is_open = self.open
-        if any(map(is_open.__getitem__, found[:-1])):
-            joined, run = [], []
-            for i, at in enumerate(found):
-                run.append(led[i])
-                if is_open[at] and i + 1 < len(found):
-                    continue
-                if len(run) > 1:
-                    whole = b"".join(run)
-                    at = self.place.get(whole, -1)
-                    at = self._number(whole) if at < 0 else at
-                joined.append(at)
-                run = []
-            found = joined
-        return found
-
-    def encode(self, text: bytes | None) -> np.ndarray:
-        """Ids of one text."""
-        if len(self.ids) + len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.clear()
-        pieces = self.added_at.split(text or b"") if self.added_at and text else [text or b""]
-        out: list[np.ndarray] = []
-        for i, piece in enumerate(pieces):
+            return [w.encode() for w in self.pattern.findall(text)]
+        newer = {ord(c): self._class_letter(c) for c in set(text) if unicodedata.category(c) == "Cn"}
+        if not newer:
+            return [w.encode() for w in self.pattern.findall(text)]
+        return [text[m.start() : m.end()].encode() for m in self.pattern.finditer(text.translate(newer))]
+
+    def _learn_chunks(self, keys: list[bytes]) -> None:
+        """Encode new chunks.  Those that begin with a space and end in none are cut together."""
+        added = [k for k in keys if k[:1] == _ADDED]
+        alone = [k for k in keys if k[:1] == _FIRST or not k or (k[:1] != _ADDED and _ENDS_OPEN.search(k))]
+        apart = {*added, *alone}
+        usual = [k for k in keys if k not in apart]
+        words = self._words_of(b"".join(b" " + k for k in usual))
+        ends = np.cumsum(np.fromiter((len(k) + 1 for k in usual), np.int64, len(usual)))
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        counts = np.bincount(np.searchsorted(ends, np.cumsum(lengths) - lengths, side="right"), minlength=len(usual)).tolist()
+        for key in alone:
+            found = self._words_of(key[1:] if key[:1] == _FIRST else b" " + key)
+            words += found
+            counts.append(len(found))
+        new = {w for w in words if w not in self.word_at}
+        if new:
+            self._learn_words(sorted(new))
+        sizes, ids = self.words.joined(np.fromiter(map(self.word_at.__getitem__, words), np.int64, len(words)))
+        before = np.append(0, np.cumsum(sizes))
+        cuts = np.append(0, np.cumsum(counts)).astype(np.int64)
+        ordered = [*usual, *alone, *added]
+        all_sizes = np.append(np.diff(before[cuts]), np.ones(len(added), np.int64))
+        first = self.chunks.add(all_sizes, np.append(ids, np.array([self.added[k[1:]] for k in added], np.int32)))
+        self.chunk_at.update(zip(ordered, range(first, first + len(ordered)), strict=True))
+        self.held += sum(map(len, ordered))
+
+    def _keys(self, text: bytes) -> list[bytes]:
+        """Chunks of a text: cut at added tokens and at spaces that no white space precedes; the space is left off."""
+        if _FIRST in text or _ADDED in text:
+            text = text.decode("utf-8", "replace").encode()
+        out = []
+        for i, piece in enumerate(self.added_at.split(text) if self.added_at else [text]):
             if i % 2:
-                out.append(np.array([self.added[piece]], np.int32))
-            else:
-                out += map(self.ids.__getitem__, self._numbers(piece.split(b" ")))
-        return np.concatenate(out)
+                out.append(_ADDED + piece)
+            elif piece:
+                parts = _CUT.split(piece) if _RUN.search(piece) else piece.split(b" ")
+                parts[0] = _FIRST + parts[0]
+                out += parts
+        return out
+
+    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of texts."""
+        out, group, size = [], [], 0
+        for i, text in enumerate(texts):
+            group.append(self._keys(text or b""))
+            size += len(text or b"")
+            if size > TOGETHER_BYTES or i + 1 == len(texts):
+                out += self._encode(group)
+                group, size = [], 0
+        return out
+
+    def _encode(self, group: list[list[bytes]]) -> list[np.ndarray]:
+        if self.chunks.count + self.words.count > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.clear()
+        found = numbered(group, self.chunk_at, self._learn_chunks)
+        return [self.chunks.joined(at)[1] for at in found]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids."""
@@ -238,7 +310,7 @@ def encode(text: Column, path: str) -> Column:
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = shared_bpe(path)
         for column in batches:
-            yield _lists([bpe.encode(t) for t in texts_of(column)])
+            yield _lists(bpe.encode(texts_of(column)))
 
     return ids(text)
 
@@ -266,7 +338,7 @@ def coded(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", deco
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = shared_bpe(path)
         for column in batches:
-            found = [bpe.encode(t) for t in texts_of(column)]
+            found = bpe.encode(texts_of(column))
             yield pa.StructArray.from_arrays([_lists(found), pa.array([bpe.decode(i) for i in found], pa.string())], ["ids", "decoded"])
 
     both_of = run(F.col(text)).alias(both)

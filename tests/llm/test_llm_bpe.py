@@ -27,7 +27,7 @@ def mine():
 
 def same(mine, theirs, text):
     ids = theirs.encode(text, add_special_tokens=False).ids
-    assert mine.encode(text.encode()).tolist() == ids, text[:80]
+    assert mine.encode([text.encode()])[0].tolist() == ids, text[:80]
     assert mine.decode(ids) == theirs.decode(ids, skip_special_tokens=False)
 
 
@@ -56,11 +56,13 @@ def test_scan_and_heap_agree(mine):
     pick = random.Random(6)
     for _ in range(500):
         word = "".join(pick.choice("aeinst é") for _ in range(pick.randint(1, 60))).encode()
-        assert mine._scan(word) == mine._heap(word)
+        sizes, ids = mine._scan([word, word[::-1]])
+        assert ids.tolist() == mine._heap(word) + mine._heap(word[::-1]) and sizes[0] == len(mine._heap(word))
 
 
 def test_forgetting_changes_nothing(mine, theirs, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    monkeypatch.setattr(bpe, "CELLS", 40)
     for k in range(30):
         same(mine, theirs, f"word{k} some, more. {'x' * 2000} {k}")
 
