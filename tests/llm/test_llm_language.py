@@ -64,9 +64,71 @@ def test_counts_and_word_scores(spark, docs):
     assert {(r["lang"], r["gram"]): r["n"] for r in li.gram_counts(counts).collect()} == dict(grams)
     model = li.fit(training)
     total, kinds = sum(n for (lang, _), n in want.items() if lang == "aa"), len({w for _, w in want})
-    assert model.score_word("kalo")[0] == pytest.approx(math.log((want["aa", "kalo"] + 0.5) / (total + 0.5 * kinds)), abs=1e-5)
-    known = [g for g in ("^kal", "kalq", "alqq", "lqqq", "qqq$") if any((x, g) in grams for x in LANGS)]
-    assert known == ["^kal"] and model.score_word("kalqqq").argmax() == 0
+    kalo = {r["word"]: r["scores"] for r in model.words.collect()}["kalo"]
+    assert kalo[0] == pytest.approx(1e6 * math.log((want["aa", "kalo"] + 0.5) / (total + 0.5 * kinds)), abs=1)
+    assert model.words.count() == kinds and model.grams.count() == len({g for _, g in grams})
+
+
+def brute(rows, training):
+    """Predictions in plain Python: everything counted, scores in whole millionths."""
+    words = Counter((lang, w) for _, text, lang in training for w in li._LETTERS.findall((text or "").lower()))
+    langs = sorted({lang for lang, _ in words})
+
+    def grams_of(w, k):
+        marked = f"^{w}$"
+        return [marked[i : i + k] for i in range(max(1, len(marked) - k + 1))]
+
+    grams = Counter()
+    for (lang, w), n in words.items():
+        for k in li.ORDERS:
+            for g in grams_of(w, k):
+                grams[lang, g] += n
+
+    def table(counts):
+        totals, names = Counter(), sorted({x for _, x in counts})
+        for (lang, _), n in counts.items():
+            totals[lang] += n
+        bottom = {lang: math.log(totals[lang] + 0.5 * len(names)) for lang in langs}
+        return {x: [round((math.log(counts[lang, x] + 0.5) - bottom[lang]) * 1e6) for lang in langs] for x in names}, totals
+
+    by_word, totals = table(words)
+    by_gram, _ = table(grams)
+
+    def score(w):
+        if w in by_word:
+            return by_word[w]
+        for k in li.ORDERS:
+            known = [by_gram[g] for g in grams_of(w, k) if g in by_gram]
+            if known:
+                return [math.floor(sum(c) / len(known) + 0.5) for c in zip(*known)]
+        return [0] * len(langs)
+
+    out = []
+    for name, text, _ in rows:
+        found = li._LETTERS.findall((text or "").lower())
+        if not found:
+            out.append((name, "und", 0.0))
+            continue
+        total = [round(math.log(totals[lang] / sum(totals.values())) * 1e6) for lang in langs]
+        for w, n in Counter(found).items():
+            total = [t + n * s for t, s in zip(total, score(w))]
+        best = max(total)
+        out.append((name, langs[total.index(best)], 1 / sum(math.exp((t - best) / 1e6) for t in total)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("head", [0, 4, 100_000])
+def test_whole_predictions(spark, docs, head):
+    """Whatever is broadcast, every counted word and n-gram takes part."""
+    more = spark.createDataFrame([(1000 + i, f"gruft{i} kalx{i % 7}q éé zz̈z 中文{i}", None) for i in range(40)], "doc_id long, text string, lang string")
+    every = docs.select("doc_id", "text", "lang").unionByName(more)
+    rows = [tuple(r) for r in every.collect()]
+    training = [r for r in rows if r[0] is not None and r[2] is not None and zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    learn = F.col("doc_id").isNotNull() & ~li.held_out(F.col("doc_id"))
+    got = sorted((tuple(r) for r in li.identify(every, learn, head).collect()), key=repr)
+    want = brute(rows, training)
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=1e-4)
 
 
 def test_nothing_to_learn(docs):
