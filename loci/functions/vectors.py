@@ -12,6 +12,7 @@ from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,8 @@ from loci.functions import fixed
 
 # Largest matrix sent to the executors at a time; larger sides are cut in slices.
 BLOCK_BYTES = 32 * 1024 * 1024
+# Queries up to this size are sent to the items instead of shuffling the items to them.
+FEW_BYTES = 8 * 1024 * 1024
 # Scores held at once by a task.
 SCORE_CELLS = 4_000_000
 # Scores are compared after this rounding, so that equal vectors tie exactly
@@ -142,6 +145,46 @@ def _block_hits(qm, xm, k, floor):
         yield qi + lo, xi, s[qi, xi]
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of length one from an Arrow column of vectors."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    m = flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+
+def _best_of_few(asked: pa.Table, items: DataFrame, take: int, min_score: float | None, grouped: bool, schema: T.StructType) -> DataFrame:
+    """Best ``take`` items of a few queries in every partition of the items, which stay where they are."""
+    shared = items.sparkSession.sparkContext.broadcast(asked)
+    names = schema.names
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        qm = _matrix(asked.column("vector").combine_chunks())
+        groups: dict = {}
+        if grouped:
+            for i, g in enumerate(asked.column("_group").to_pylist()):
+                groups.setdefault(g, []).append(i)
+            groups = {g: np.array(at) for g, at in groups.items()}
+        kept = None
+        for batch in batches:
+            ids, xm = _ids(pd.Series(batch.column(0).to_pandas())), _matrix(batch.column(1))
+            parts = [(slice(None), np.arange(len(qm)))]
+            if grouped:
+                held = pd.Series(batch.column(2).to_pandas())
+                parts = [(np.asarray(at), groups[g]) for g, at in held.groupby(held).indices.items() if g in groups]
+            for at, rows in parts:
+                own, own_ids = xm[at], ids[at]
+                for qi, xi, s in _block_hits(qm[rows], own, take, min_score):
+                    found = (rows[qi], own_ids[xi], s)
+                    kept = _keep_best(found if kept is None else tuple(np.concatenate(c) for c in zip(kept, found)), take)
+        if kept is not None and len(kept[0]):
+            columns = [asked.column("_q").combine_chunks().take(pa.array(kept[0])), pa.array(kept[1].tolist(), batch.schema.types[0]), pa.array(kept[2])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return items.mapInArrow(best, schema)
+
+
 def top_k(
     queries: DataFrame,
     items: DataFrame,
@@ -156,10 +199,11 @@ def top_k(
 ) -> DataFrame:
     """Exact best-k items by cosine for every query: (query_id, item_id, score, rank).
 
-    Both sides stay distributed.  Each is cut by a hash of its ids into blocks
-    of at most BLOCK_BYTES; every query block meets every item block in one
+    Queries of at most FEW_BYTES in all are sent to the items, which are then not
+    shuffled.  Beyond that both sides stay distributed: each is cut by a hash of its ids
+    into blocks of at most BLOCK_BYTES; every query block meets every item block in one
     task, which multiplies them and keeps its own best k per query.  The best
-    of all blocks are ranked per query.  With ``group`` set, a query only sees
+    of all tasks are ranked per query.  With ``group`` set, a query only sees
     items with the same value in that column, and blocks are cut per group, so
     a large group is many tasks and a small one a single task.
     """
@@ -174,6 +218,18 @@ def top_k(
     # One more candidate per query where the query itself is among the items.
     take = k + 1 if skip_same_id else k
 
+    order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(item_id))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        if skip_same_id:
+            found = found.where(F.col(query_id) != F.col(item_id))
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    size = qcols.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    if size[0] * (size[1] or 0) * 8 <= FEW_BYTES:
+        found = _best_of_few(qcols.toArrow(), icols.select("_i", "vector", *keys), take, min_score, bool(group), schema)
+        return ranked(found)
+
     grid = _blocks(qcols, keys).withColumnRenamed("blocks", "_qs")
     other = _blocks(icols, keys).withColumnRenamed("blocks", "_is")
     # Without a group this is one row; with one, a row per group of both sides.
@@ -201,10 +257,7 @@ def top_k(
 
     on = [*keys, "_qb", "_ib"]
     merged = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(best, schema)
-    if skip_same_id:
-        merged = merged.where(F.col(query_id) != F.col(item_id))
-    order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(item_id))
-    return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(merged)
 
 
 # --- scores of a few candidates for every row of a big table ------------------------
