@@ -8,14 +8,22 @@ by (cap / weight) the level reached after clamping the first k is
 these, so no loop is needed.
 
 A source with target / size = 2.4 gives every document twice and some a third
-time: documents are put in a seeded order (a hash of the doc_id) and taken until
-the next would pass the fraction, and of the rest the one document whose size
-comes nearest to what is then lacking is added.  Running sums are taken over hash buckets
-of a source first and over documents only inside the one bucket where the
-fraction ends, so a source with a third of all rows is no large group.
+time.  Those are found first-fit: documents are put in a seeded order and each is
+taken if it fits into the words still wanted.  If more is still wanted than the smallest
+document left, as where one document holds most of a source, the walk starts again and others come
+once more, as long as none exceeds ``max_epochs``.  At the end the smallest document that may come again is added
+if that brings the sum nearer.
+First-fit is done in rounds for all sources at once: documents no larger than the
+gap are taken up to the first that does not fit, then the next round goes on behind it
+with the smaller gap.  Running sums are taken over hash buckets of a source first and
+over documents only inside the one bucket where a round ends, so a source with a third
+of all rows is no large group.  Once at most ``FOLD`` documents could still fit, one
+array walks through them.
 
 Null text: size 0.  The null source is one source, last in order.  Rows with the
-same doc_id and size share one decision.  An empty table gives an empty result.
+same doc_id and text share one decision, null doc_ids included.  Documents without words come as often as
+the source's whole repetitions, once at least.  Long texts count whole.  An empty
+table gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,11 +31,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loci.llm.common import WORD, fresh, written
+from loci.llm.common import WORD, written
+from loci.operators.skew import join_unique
 
 MAX_EPOCHS = 3
 SEED = 17
 BUCKET_DIGITS = 3  # hexadecimal digits: 4096 buckets for each source
+FOLD = 2000
 
 
 def cyclic_weight(rank: Column) -> Column:
@@ -40,7 +50,8 @@ def words_in(text: Column) -> Column:
 
 
 def _order(seed: int) -> Column:
-    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}|"), text).cast("binary"))
 
 
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -66,69 +77,138 @@ def fill(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, weight=cyclic_weight) -
     return levels.select("s", "none", "source_size", "weight", target.alias("target"))
 
 
-def plan(rows: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per source: source_size, target, whole repetitions, and the place up to which documents come once more."""
-    key = ["s", "none"]
+KEY = ["s", "none"]
+_AT = ["place", "size"]
+_NO_PICKS = "CAST(array() AS array<struct<place: string, size: bigint>>)"
+_NO_STEPS = "CAST(array() AS array<struct<most: bigint, cut: struct<place: string, size: bigint>>>)"
+
+
+def _walked(left: DataFrame) -> DataFrame:
+    """First-fit over the few documents left of a source: its gap afterwards, and what was taken."""
+    docs = F.sort_array(F.collect_list(F.struct("place", "size", "words")))
+    start = F.struct(F.col("gap"), F.expr(_NO_PICKS).alias("picks"))
+
+    def step(held: Column, d: Column) -> Column:
+        took = F.struct((held["gap"] - d["words"]).alias("gap"), F.array_append(held["picks"], F.struct(d["place"].alias("place"), d["size"].alias("size"))).alias("picks"))
+        return F.when(d["words"] <= held["gap"], took).otherwise(held)
+
+    walked = left.groupBy(*KEY, "gap").agg(docs.alias("docs")).select(*KEY, F.aggregate("docs", start, step).alias("w"))
+    return walked.select(*KEY, F.col("w.gap").alias("gap"), F.col("w.picks").alias("picks"))
+
+
+def _run_up(left: DataFrame) -> DataFrame:
+    """All documents of each source up to the first that does not fit: gap afterwards, and (place, size) of the last."""
     bucket = F.substring("place", 1, BUCKET_DIGITS)
-    pieces = written(rows.groupBy(*key, bucket.alias("bucket")).agg(F.sum("size").alias("words")), "pieces")
-    targets = fill(pieces.groupBy(*key).agg(F.sum("words").alias("source_size")), max_epochs)
-    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("whole", F.floor(share)).withColumn("wanted", (share - F.floor(share)) * F.col("source_size"))
-    targets = written(targets, "targets")
-    running = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).join(targets, key)
-    edge = starts.where("before <= wanted AND wanted < before + words").select(*key, "bucket", "before", "wanted")
-    edge = written(edge, "edge")
-    inside = Window.partitionBy(*key).orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
-    here = F.struct("place", "size")
+    left = left.withColumn("bucket", bucket)
+    pieces = written(left.groupBy(*KEY, "gap", "bucket").agg(F.sum("words").alias("words")), "pieces")
+    running = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pieces.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0)))
+    edge = written(starts.where("before <= gap AND gap < before + words").select(*KEY, "bucket", "before"), "edge")
+    inside = Window.partitionBy(*KEY).orderBy(*_AT).rowsBetween(Window.unboundedPreceding, 0)
     near = (
-        rows.withColumn("bucket", bucket).join(edge, [*key, "bucket"])
-        .withColumn("reached", F.col("before") + F.sum("size").over(inside))
-        .where("reached <= wanted").groupBy(*key).agg(F.max(here).alias("last"), F.max("reached").alias("reached"))
+        left.join(edge, [*KEY, "bucket"]).withColumn("reached", F.col("before") + F.sum("words").over(inside))
+        .where("reached <= gap").groupBy(*KEY).agg(F.max(F.struct(*_AT)).alias("last"), F.max("reached").alias("reached"))
     )
-    nothing_here = F.struct(F.col("bucket").alias("place"), F.lit(-1).cast("bigint").alias("size"))
-    cut = written(edge.join(near, key, "left").select(
-        *key, F.coalesce("last", nothing_here).alias("cut"), (F.col("wanted") - F.coalesce("reached", "before")).alias("gap"),
-    ), "cut")
-    off = F.abs(F.col("size") - F.col("gap"))
-    best = rows.join(cut, key).where((here > F.col("cut")) & (off < F.col("gap"))).groupBy(*key).agg(
-        F.min(F.struct(off.alias("off"), "place", "size")).alias("best"))
-    best = best.select(*key, F.struct("best.place", "best.size").alias("pick"))
-    return written(targets.join(cut, key, "left").join(best, key, "left").select(*key, "source_size", "weight", "target", "whole", "cut", "pick"), "mix")
-
-
-def _repeats(place: Column, size: Column, whole: str = "whole", cut: str = "cut", pick: str = "pick") -> Column:
+    everything = pieces.groupBy(*KEY, "gap").agg(F.sum("words").alias("all"))
+    nothing_there = F.struct(F.col("bucket").alias("place"), F.lit(-1).cast("bigint").alias("size"))
+    beyond = F.struct(F.lit("g").alias("place"), F.lit(0).cast("bigint").alias("size"))  # behind every hexadecimal place
+    cut = F.when(F.isnull("bucket"), beyond).otherwise(F.coalesce("last", nothing_there))
+    used = F.when(F.isnull("bucket"), F.col("all")).otherwise(F.coalesce("reached", "before"))
+    return everything.join(edge, KEY, "left").join(near, KEY, "left").select(*KEY, (F.col("gap") - used).alias("gap"), cut.alias("cut"), F.col("gap").alias("most"))
+
+
+def first_fit(units: DataFrame, wanted: DataFrame, fold: int = FOLD) -> DataFrame:
+    """For sources (s, none, gap): the rounds (steps) and single documents (picks) that fill the gap from units (s, none, place, size, words)."""
+    state = written(wanted.select(*KEY, "gap", F.expr(_NO_STEPS).alias("steps"), F.expr(_NO_PICKS).alias("picks")), "state")
+    left = units.join(state.select(*KEY, "gap"), KEY).where("words > 0 AND words <= gap")
+    while True:
+        left = written(left, "left")
+        counts = written(left.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")), "counts")
+        if counts.isEmpty():
+            break
+        sized_left = left.join(counts, KEY)
+        walked = _walked(sized_left.where(F.col("n") <= fold)).withColumns({"cut": F.lit(None).cast("struct<place: string, size: bigint>"), "most": F.lit(None).cast("bigint")})
+        ran = written(_run_up(sized_left.where(F.col("n") > fold).drop("n")), "ran")
+        news = ran.withColumn("picks", F.expr(_NO_PICKS)).unionByName(walked).select(*KEY, F.col("gap").alias("rest"), F.col("picks").alias("new"), "cut", "most")
+        step = F.array(F.struct("most", "cut"))
+        state = written(state.join(news, KEY, "left").select(
+            *KEY, F.coalesce("rest", "gap").alias("gap"), F.when(F.isnull("cut"), F.col("steps")).otherwise(F.concat("steps", step)).alias("steps"),
+            F.concat("picks", F.coalesce("new", F.expr(_NO_PICKS))).alias("picks")), "state")
+        ahead = left.drop("gap").join(ran.select(*KEY, "gap", "cut"), KEY)
+        left = ahead.where((F.struct(*_AT) > F.col("cut")) & (F.col("words") <= F.col("gap"))).drop("cut")
+    return state
+
+
+def _times(words: Column, place: Column, size: Column) -> Column:
+    """How often the walks took a document."""
     here = F.struct(place.alias("place"), size.alias("size"))
-    once_more = F.coalesce(here <= F.col(cut), F.lit(False)) | F.coalesce(here == F.col(pick), F.lit(False))
-    return F.col(whole) + once_more.cast("bigint")
+
+    def took(fill: Column) -> Column:
+        return F.exists(fill["steps"], lambda r: (words <= r["most"]) & (here <= r["cut"])) | F.array_contains(fill["picks"], here)
+
+    return F.size(F.filter("fills", took))
+
+
+def filled(units: DataFrame, targets: DataFrame, max_epochs: int, fold: int = FOLD) -> DataFrame:
+    """For sources (s, none, whole, gap): the walks (fills) that fill the gap from units."""
+    fills = F.expr("CAST(array() AS array<struct<steps: array<struct<most: bigint, cut: struct<place: string, size: bigint>>>, picks: array<struct<place: string, size: bigint>>>>)")
+    state = targets.select(*KEY, "whole", "gap", fills.alias("fills"))
+    for walk in range(1, max_epochs + 1):
+        again = first_fit(units, state.where(F.col("whole") + walk <= max_epochs), fold).select(*KEY, F.col("gap").alias("rest"), F.struct("steps", "picks").alias("fill"))
+        took = F.coalesce(F.size("fill.steps") + F.size("fill.picks") > 0, F.lit(False))
+        state = written(state.join(again, KEY, "left").select(
+            *KEY, "whole", F.coalesce("rest", "gap").alias("gap"), F.when(took, F.concat("fills", F.array("fill"))).otherwise(F.col("fills")).alias("fills"), took.alias("took")), "walks")
+        if state.where("took AND gap > 0").isEmpty():
+            break
+    may = units.where("words > 0").join(state.where("gap > 0"), KEY).where(F.col("whole") + _times(F.col("words"), F.col("place"), F.col("size")) < max_epochs)
+    least = may.groupBy(*KEY).agg(F.min(F.struct("words", *_AT)).alias("least"))
+    nearer = F.col("least.words") < 2 * F.col("gap")
+    pick = F.struct(F.expr(_NO_STEPS).alias("steps"), F.array(F.struct("least.place", "least.size")).alias("picks"))
+    return state.join(least, KEY, "left").select(*KEY, F.when(nearer, F.concat("fills", F.array(pick))).otherwise(F.col("fills")).alias("fills"))
+
+
+def plan(rows: DataFrame, max_epochs: int = MAX_EPOCHS, fold: int = FOLD) -> tuple[DataFrame, DataFrame]:
+    """Per source: source_size, target, whole repetitions and what comes once more; and the documents of several rows, decided as one."""
+    units = written(rows.groupBy(*KEY, *_AT).agg(F.count(F.lit(1)).alias("copies"), F.sum("size").alias("words")), "units")
+    targets = fill(units.groupBy(*KEY).agg(F.sum("words").alias("source_size")), max_epochs)
+    share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = targets.withColumn("whole", F.floor(share)).withColumn("gap", F.floor((share - F.floor(share)) * F.col("source_size")))
+    targets = written(targets, "targets")
+    mix = written(targets.drop("gap").join(filled(units, targets, max_epochs, fold), KEY, "left"), "mix")
+    several = units.where("copies > 1").join(mix, KEY).select(*KEY, *_AT, "copies", _times(F.col("words"), F.col("place"), F.col("size")).alias("again"))
+    return mix, written(several, "several")
 
 
-def taken(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def _repeated(rows: DataFrame, mix: DataFrame, several: DataFrame) -> DataFrame:
+    """Rows (s, none, place, size, ...) with the figures of their source and the times each is taken."""
+    joined = join_unique(rows, several, [*KEY, *_AT], "copies", "left").drop("copies").join(mix, KEY)
+    again = F.coalesce("again", _times(F.col("size"), F.col("place"), F.col("size")))
+    times = F.when(F.col("size") > 0, F.col("whole") + again).otherwise(F.greatest("whole", F.lit(1)))
+    return joined.withColumn("times", times.cast("bigint"))
+
+
+def taken(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED, fold: int = FOLD) -> DataFrame:
     """doc_id, size, source_size, target and the words taken of each document, repeats counted."""
     rows = written(sized(docs, seed), "sized")
-    joined = rows.join(plan(rows, max_epochs), ["s", "none"])
-    return joined.select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("size") * _repeats(F.col("place"), F.col("size"))).cast("bigint").alias("taken"),
-    )
+    return _repeated(rows, *plan(rows, max_epochs, fold)).select(
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).cast("bigint").alias("taken"))
 
 
-def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: int = SEED, fold: int = FOLD) -> DataFrame:
     """The documents themselves, each row as often as the mix takes it; documents taken no time are gone."""
     rows = written(sized(docs, seed), "sized")
-    s, none, whole, cut, pick, repeat = fresh(docs, "s", "none", "whole", "cut", "pick", "repeat")
-    shares = plan(rows, max_epochs).select("s", "none", "whole", "cut", "pick").toDF(s, none, whole, cut, pick)
-    keyed = docs.select("*", F.coalesce("source", F.lit("")).alias(s), F.isnull("source").alias(none))
-    times = _repeats(_order(seed), words_in(F.col("text")), whole, cut, pick)
-    copies = F.sequence(F.lit(1).cast("bigint"), times)
-    out = keyed.join(shares, [s, none]).where(times > 0)
-    return out.select(*docs.columns, F.explode(copies).alias(repeat)).select(*docs.columns)
+    mix, several = plan(rows, max_epochs, fold)
+    keyed = docs.select(
+        F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("s"), F.isnull("source").alias("none"), _order(seed).alias("place"),
+        words_in(F.col("text")).alias("size"))
+    copies = F.sequence(F.lit(1).cast("bigint"), F.col("times"))
+    return _repeated(keyed, mix, several).where("times > 0").select("row", F.explode(copies)).select("row.*")
 
 
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size,
-         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|{SEED}')) AS place
+         md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|{SEED}|', md5(coalesce(text, '')))) AS place
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source
@@ -141,15 +221,21 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), max(level) OVER () * weight) AS target FROM l
 ), x AS (
-  SELECT d.doc_id, d.source, d.size, d.place, t.source_size, t.target, floor(t.target / greatest(t.source_size, 1)) AS whole,
-         (t.target / greatest(t.source_size, 1) - floor(t.target / greatest(t.source_size, 1))) * t.source_size AS wanted,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS reached
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), g AS (
-  SELECT *, reached <= wanted AS within, wanted - coalesce(max(CASE WHEN reached <= wanted THEN reached END) OVER (PARTITION BY source), 0) AS gap FROM x
+  SELECT *, floor(target / greatest(source_size, 1)) AS whole,
+         CAST(floor((target / greatest(source_size, 1) - floor(target / greatest(source_size, 1))) * source_size) AS BIGINT) AS gap FROM t
+), u AS (
+  SELECT source, place, size, CAST(sum(size) AS BIGINT) AS words FROM d WHERE size > 0 GROUP BY ALL
+), f AS (
+  SELECT u.source, any_value(whole) AS whole,
+         list_reduce(list({{'pass': pass, 'place': place, 'size': size, 'words': words}} ORDER BY pass, place, size),
+           lambda a, b: CASE WHEN b.words <= a.gap THEN {{'gap': a.gap - b.words, 'took': list_append(a.took, b.place || b.size)}} ELSE a END,
+           {{'gap': any_value(gap), 'took': CAST([] AS VARCHAR[])}}) AS walk
+  FROM u JOIN x ON u.source IS NOT DISTINCT FROM x.source, (SELECT unnest(range(1, {MAX_EPOCHS} + 1)) AS pass) WHERE whole + pass <= {MAX_EPOCHS} GROUP BY u.source
 ), p AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY within, abs(size - gap), place, size) = 1 AND NOT within AND abs(size - gap) < gap AS picked FROM g
+  SELECT u.source, u.place, u.size, len(list_filter(walk.took, lambda y: y = u.place || u.size)) AS more,
+         whole + more < {MAX_EPOCHS} AS may, may AND row_number() OVER (PARTITION BY u.source, may ORDER BY words, u.place, u.size) = 1 AND words < 2 * walk.gap AS added
+  FROM u JOIN f ON u.source IS NOT DISTINCT FROM f.source
 )
-SELECT doc_id, source, size, source_size, target, CAST(size * (whole + CASE WHEN within OR picked THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM p
+SELECT d.doc_id, d.source, d.size, x.source_size, x.target, CAST(d.size * (whole + coalesce(more + CAST(added AS INT), 0)) AS BIGINT) AS taken
+FROM d JOIN x ON d.source IS NOT DISTINCT FROM x.source LEFT JOIN p ON p.source IS NOT DISTINCT FROM d.source AND p.place = d.place AND p.size = d.size
 """
