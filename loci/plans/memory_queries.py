@@ -8,6 +8,7 @@ from loci.functions import text as tx
 from loci.operators import filters, memory, routing, saving, store
 from loci.plans import workload as w
 from loci.plans.catalog import query
+from loci.plans.retrieval_queries import routed_sql
 
 _D = f"WITH {w.DRAWERS_SQL}\n"
 
@@ -311,7 +312,26 @@ def argument_coercion(t):
     return saving.coerce(asked, {"limit_n": "integer", "threshold": "number"})
 
 
-@query("save_batch")
+_SAVED_SQL = f"""
+WITH requests AS (
+  SELECT conv_id * 1000 + turn AS seq, text AS content, role AS wing, 'turn' || turn AS room, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM conversations),
+fresh AS (
+  SELECT * FROM requests r WHERE bare <> '' AND wing <> ''
+  AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.lang = 'en' AND trim(d.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = r.bare)
+  QUALIFY row_number() OVER (PARTITION BY bare ORDER BY seq) = 1),
+{routed_sql("SELECT seq AS id, concat_ws(chr(10), content, wing, 'talk', room, 'all') AS body FROM fresh",
+            "SELECT lang AS name, '' AS description, lang AS scope, '' AS l0_body, [lang] AS keys, count(*) AS usage_count FROM documents GROUP BY lang",
+            ("name", "description", "scope", "l0_body"))},
+best AS (SELECT id, max(name) FILTER (rank = 1) AS best, max(score) FILTER (rank = 1) AS best_score, max(score) FILTER (name = 'en') AS own FROM ranked GROUP BY id),
+judged AS (SELECT *, best <> 'en' AND best_score >= 0.05 AND best_score - own >= 0.02 AS review FROM best)
+SELECT seq, 'dra_' || left(md5(left(content, 100) || '2026-01-01T00:00:00Z' || '#' || seq), 12) AS original_id, wing AS wing_name, room AS room_name,
+       best AS routing_best_palace, review AS needs_review,
+       CASE WHEN review THEN 'explicit_palace_differs_from_semantic_best_match' ELSE 'explicit_palace_confirmed' END AS routing_reason
+FROM fresh JOIN judged ON id = seq
+"""
+
+
+@query("save_batch", _SAVED_SQL)
 def save_batch(t):
     """Messages filed as drawers: answers with routing, after duplicates and errors."""
     known = t.documents.groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("usage_count")).select(

@@ -440,7 +440,69 @@ def recall_by_text(t):
     return evaluate.recall_by_text(hits.withColumnRenamed("query_id", "question_id"), asked, asked)
 
 
-@query("search_routed")
+def routed_sql(contexts: str, palaces: str, fields: tuple[str, ...]) -> str:
+    """CTEs that rank palaces (name, scope, keywords, usage_count, ...) for texts (id, body): ``ranked`` (id, name, semantic, score, rank)."""
+    weights = dict(routing._FIELD_WEIGHTS)
+    overlap = "CASE WHEN len(toks) > 0 AND len({0}) > 0 THEN len(list_intersect(toks, {0})) / len(toks) ELSE 0 END"
+    scores = []
+    for f in fields:
+        text = f"n_{f}"
+        words = f"list_distinct(string_split({text}, ' '))"
+        phrase = f"CASE WHEN len(said) > 0 THEN len(list_filter(said, lambda x: contains({text}, x))) / len(said) ELSE 0 END"
+        w8 = f"{weights[f]}::DOUBLE"
+        scores.append(f"CASE WHEN length({text}) > 0 THEN least({w8}, ({overlap.format(words)}) * {w8} * 0.6::DOUBLE + ({phrase}) * {w8} * 0.4::DOUBLE) ELSE 0 END")
+    one = f"CASE WHEN list_contains(said, k) THEN 0.14::DOUBLE ELSE ({overlap.format("list_distinct(string_split(k, ' '))")}) * 0.08::DOUBLE END"
+    normalized = ", ".join(f"{_normalized_sql(f)} AS n_{f}" for f in fields)
+    return f"""
+ctx AS ({contexts}), pal AS (SELECT *, {normalized} FROM ({palaces})),
+{hashed_sql('rc', 'SELECT id, body FROM ctx')}, {hashed_sql('rp', 'SELECT name AS id, scope AS body FROM pal')},
+rdots AS (SELECT c.id, p.id AS name, round(sum(c.x * p.x), 9) AS dot FROM rc_vec c JOIN rp_vec p USING (b) GROUP BY 1, 2),
+worded AS (SELECT id, list_filter(string_split({_normalized_sql('body')}, ' '), lambda x: x <> '') AS ws FROM ctx),
+phrased AS (SELECT id, list_distinct(ws) AS toks, CASE WHEN len(ws) > 0 THEN list_distinct(list_concat([array_to_string(ws, ' ')],
+    list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) ELSE CAST([] AS VARCHAR[]) END AS said FROM worded),
+boosted AS (
+  SELECT f.id, p.name, coalesce(dot, 0) AS semantic, CASE WHEN usage_count > 0 THEN least(0.12, ln(1 + usage_count) * 0.02) ELSE 0 END AS usage,
+         CASE WHEN len(toks) > 0 THEN least(0.25, {' + '.join(scores)} + least(0.18, coalesce(list_sum(list_transform(keys, lambda k: {one})), 0))) ELSE 0 END AS field
+  FROM phrased f, pal p LEFT JOIN rdots ON rdots.id = f.id AND rdots.name = p.name),
+ranked AS (SELECT id, name, semantic, semantic + field + usage AS score,
+                  row_number() OVER (PARTITION BY id ORDER BY semantic + field + usage DESC, semantic DESC, name) AS rank FROM boosted)
+""".strip()
+
+
+def _routed_search_sql(memory: str) -> str:
+    """Routes of benchmark passages; ``memory`` gives (normalized_query, palace)."""
+    asp = f"list_filter(string_split({_normalized_sql('query')}, ' '), lambda x: length(x) >= 4)"
+    palaces = "SELECT lang AS name, count(*) AS usage_count, max_by(text, doc_id) AS scope, CAST([] AS VARCHAR[]) AS keys FROM documents GROUP BY lang"
+    return f"""
+WITH {routed_sql("SELECT item_id AS id, text AS body FROM benchmark", palaces, ("name", "scope"))},
+{hashed_sql('d', 'SELECT doc_id AS id, text AS body FROM documents')}, {hashed_sql('q', 'SELECT item_id AS id, text AS body FROM benchmark')},
+memory AS ({memory}),
+asked AS (SELECT item_id AS query_id, text AS query, coalesce(m.palace, r.name) AS palace FROM benchmark JOIN ranked r ON r.id = item_id AND rank = 1
+          LEFT JOIN memory m ON m.normalized_query = {_normalized_sql('text')}),
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.x * d.x), 9) AS dot FROM q_vec q JOIN d_vec d USING (b) GROUP BY 1, 2),
+every AS (SELECT item_id AS query_id, d.doc_id, lang AS palace, d.text, coalesce(dot, 0) AS score FROM benchmark, documents d LEFT JOIN dots ON dots.query_id = item_id AND dots.doc_id = d.doc_id),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, palace ORDER BY score DESC, doc_id) AS rank FROM every QUALIFY rank <= 5),
+top AS (SELECT query_id, palace, max({_R3.format('score')}) FILTER (rank = 1) AS best, avg({_R3.format('score')}) FILTER (rank <= 3) AS avg3, string_agg(text, ' ' ORDER BY rank) AS corpus
+        FROM hits GROUP BY query_id, palace),
+aspects AS (SELECT query_id, list_distinct(list_concat({asp}, CASE WHEN len({asp}) > 1 THEN [array_to_string({asp}, ' ')] ELSE [] END)) AS asp FROM asked),
+judged AS (SELECT t.*, CASE WHEN len(asp) = 0 THEN 1 ELSE len(list_filter(asp, lambda x: contains({_normalized_sql('corpus')}, x))) / len(asp) END AS cov FROM top t JOIN aspects USING (query_id)),
+scored AS (SELECT query_id, palace, cov, best * 0.55 + avg3 * 0.25 + cov * 0.2 AS quality FROM judged),
+own AS (SELECT a.query_id, a.palace, quality < 0.05 OR cov < 0.3 AS weak FROM asked a JOIN scored USING (query_id, palace)),
+options AS (
+  SELECT s.*, s.palace = o.palace AS is_current, o.palace AS home, weak, CASE WHEN s.palace <> o.palace THEN semantic END AS semantic
+  FROM scored s JOIN own o USING (query_id) LEFT JOIN ranked r ON r.id = s.query_id AND r.name = s.palace WHERE s.palace = o.palace OR weak)
+SELECT query_id, palace AS searched_palace, weak AS fallback_checked, palace <> home AS fallback_used, round(cov, 6) AS answer_coverage, round(quality, 6) AS quality_score,
+       quality >= 0.05 AS remember, CASE WHEN palace <> home THEN 'fallback_success' ELSE 'direct_hit' END AS source
+FROM options QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cov DESC, quality DESC, is_current DESC, semantic DESC NULLS LAST, palace) = 1
+"""
+
+
+_REMEMBERED_SQL = f"""
+SELECT {{0}} AS normalized_query, max_by(CASE item_id % 3 WHEN 0 THEN 'de' ELSE 'fr' END, item_id) AS palace FROM benchmark WHERE item_id % 3 <> 1 GROUP BY 1
+"""
+
+
+@query("search_routed", _routed_search_sql("SELECT CAST(NULL AS VARCHAR) AS normalized_query, CAST(NULL AS VARCHAR) AS palace WHERE false"))
 def search_routed(t):
     """Passages routed to a language, searched there, with a fall-back to the others."""
     known = t.documents.groupBy(F.col("lang").alias("name")).agg(
@@ -451,7 +513,25 @@ def search_routed(t):
     _, routes = search.search_routed(asked, known, items)
     return routes.select(
         "query_id", "searched_palace", "fallback_checked", "fallback_used", F.round("answer_coverage", 6).alias("answer_coverage"),
-        F.round("quality_score", 4).alias("quality_score"), "remember", "source",
+        F.round("quality_score", 6).alias("quality_score"), "remember", "source",
+    )
+
+
+@query("search_remembered", _routed_search_sql(_REMEMBERED_SQL.format(_normalized_sql("text"))))
+def search_remembered(t):
+    """The same passages, two thirds of which were asked before and go where the routing memory says first."""
+    known = t.documents.groupBy(F.col("lang").alias("name")).agg(
+        F.count("*").alias("usage_count"), F.max_by("text", "doc_id").alias("scope")
+    ).withColumn("vector", embed(F.col("scope")))
+    items = w.drawers(t).withColumn("vector", embed(F.col("document")))
+    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    log = asked.where(F.col("query_id") % 3 != 1).select(
+        "query", F.when(F.col("query_id") % 3 == 0, "de").otherwise("fr").alias("palace"), F.lit("direct_hit").alias("source"),
+        F.lit("2026-01-01").alias("ts"), F.col("query_id").alias("seq"))
+    _, routes = search.search_routed(asked, known, items, routing.remember(log))
+    return routes.select(
+        "query_id", "searched_palace", "fallback_checked", "fallback_used", F.round("answer_coverage", 6).alias("answer_coverage"),
+        F.round("quality_score", 6).alias("quality_score"), "remember", "source",
     )
 
 

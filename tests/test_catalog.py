@@ -9,7 +9,7 @@ import pytest
 
 from loci.plans.catalog import QUERIES, SQL, load_all
 
-WITHOUT_SQL = {"search_routed", "save_batch", "link_entities", "extract_facts"}
+WITHOUT_SQL: set[str] = set()
 FOLDER = "/root/testdata/sf0.001"
 load_all()
 
