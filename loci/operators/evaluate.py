@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loci.functions.vectors import embed, top_k
+
 
 def f1_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda w: w != "")
@@ -79,6 +81,62 @@ def first_ids(corpus: DataFrame) -> DataFrame:
     return usable.groupBy("content").agg(F.min_by("corpus_id", "ord").alias("corpus_id"))
 
 
+# --- whole evaluations -----------------------------------------------------------------------------
+
+
+def retrieved(corpus: DataFrame, questions: DataFrame, k: int = 10, *, own: bool = False) -> DataFrame:
+    """Best k corpus texts per question: (question_id, rank, corpus_id, text).
+
+    Equal texts are filed once, under their first id.  With ``own`` a question only searches texts of its own entry
+    (``owner``), and equal texts are filed once per entry; small entries then share tasks, and large ones are cut.
+    """
+    if own:
+        usable = corpus.where(F.trim("content") != "")
+        filed = usable.groupBy("owner", "content").agg(F.min_by("corpus_id", "ord").alias("corpus_id"))
+        filed = filed.withColumn("item_id", F.concat_ws("\x01", "corpus_id", "owner"))
+    else:
+        filed = first_ids(corpus).withColumn("item_id", F.col("corpus_id"))
+    items = filed.withColumn("vector", embed(F.col("content")))
+    asked = questions.withColumn("vector", embed(F.col("question")))
+    hits = top_k(asked, items, k, query_id="question_id", group="owner" if own else None)
+    return hits.join(filed.select("item_id", "corpus_id", F.col("content").alias("text")), "item_id").select("question_id", "rank", "corpus_id", "text")
+
+
+def recall_by_session(found: DataFrame, evidence: DataFrame, questions: DataFrame, key: str = "question_id") -> DataFrame:
+    """Like ``recall_by_id`` where an id may also begin with an evidence id, as a turn's with its session's."""
+    both = found.select(key, "corpus_id").join(evidence.select(key, F.col("corpus_id").alias("_ev")), key)
+    hit = both.where(F.col("corpus_id").startswith(F.col("_ev"))).select(key).distinct().withColumn("_hit", F.lit(True))
+    has = evidence.select(key).distinct().withColumn("_has", F.lit(True))
+    return questions.select(key).join(has, key, "left").join(hit, key, "left").select(
+        key, F.when(F.col("_has"), F.coalesce("_hit", F.lit(False))).alias("recall_hit"))
+
+
+def evaluate_set(data, k: int = 10, granularity: str | None = None, *, own: bool = False) -> DataFrame:
+    """(question_id, category, question, answer, recall_hit) of a question set (see ``sources.benchmarks``).
+
+    Answers of a language model, where there are any, are joined by the caller and scored by ``token_f1``.
+    """
+    from loci.sources import benchmarks as sets
+
+    questions = data.questions()
+    corpus = data.corpus(granularity, own=own) if granularity else data.corpus(own=own)
+    found = retrieved(corpus, questions, k, own=own)
+    if isinstance(data, sets.EvidenceTalk):
+        hits = recall_by_text(found, data.evidence(), questions)
+    elif isinstance(data, sets.LongMemory) and granularity == "turn":
+        hits = recall_by_session(found, data.evidence(), questions)
+    elif isinstance(data, sets.LongTalk):
+        hits = recall_by_id(found, data.evidence(granularity or "session"), questions)
+    else:
+        hits = recall_by_id(found, data.evidence(), questions)
+    return questions.select("question_id", "category", "question", "answer").join(hits, "question_id")
+
+
+def save_results(results: DataFrame, folder: str) -> None:
+    """Results as JSON lines, a file per partition."""
+    results.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
+
+
 def summarize(results: DataFrame, category: str = "category") -> DataFrame:
     """Recall and mean answer score, per category and overall (category null).
 

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from loci.plans import graph_queries, memory_queries, retrieval_queries, search_queries, text_queries  # noqa: F401
+    from loci.plans import evaluation_queries, graph_queries, memory_queries, retrieval_queries, search_queries, text_queries  # noqa: F401
