@@ -358,3 +358,15 @@ def user_message_counts(t):
     from loci.streaming.counters import saves_due
 
     return saves_due(t.conversations.select("conv_id", "role", F.col("text").alias("content")), "conv_id", every=2)
+
+
+@query("event_sessions", """
+WITH a AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+b AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM a)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS events FROM b GROUP BY user_id, n
+""")
+def event_sessions(t):
+    """Events of a user without a break of more than six hours."""
+    from loci.streaming.sessions import sessions
+
+    return sessions(t.events, "user_id", "ts", 6 * 3600)
