@@ -111,7 +111,7 @@ class Memory:
         gone = self._closets_gone.read().join(self._closets(palace), ["palace", "closet_id"]).where("last <= deleted_at")
         return taxonomy.delete_closets(taxonomy.edges(self._filed(palace)), gone)
 
-    def recall(self, wing=None, room=None, limit: int = 10, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
+    def recall(self, wing=None, room=None, limit: int | None = None, palace: str = fixed.DEFAULT_PALACE) -> DataFrame:
         return memory.recall(self.drawers(palace), wing, room, limit)
 
     def list_identities(self) -> DataFrame:
@@ -202,7 +202,7 @@ class Memory:
         self.table.upsert(filed)
         return filed.select("original_id", "agent", "topic", "filed_at")
 
-    def diary_read(self, agent_name: str = "agent", last_n: int = 10, session_id=None) -> DataFrame:
+    def diary_read(self, agent_name: str = "agent", last_n: int | None = None, session_id=None) -> DataFrame:
         return memory.diary_read(self.drawers(fixed.SESSIONS_PALACE), agent_name, last_n, session_id)
 
     def diary_search(self, query: str, agent_name: str = "agent", limit: int = 5, topic=None, session_id=None) -> DataFrame:

@@ -65,7 +65,7 @@ def main(argv=None, spark=None) -> int:
         parts = F.split("path", "/")
         dirs = dirs.select("project", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("path")).distinct()
         rooms = [r.asDict() for r in classify.detect_rooms(dirs, paths).drop("project", "source").orderBy("name").collect()]
-        found = entities.detect_entities(entities.corpus_text(files.load(files.scan_for_detection(tree))))
+        found = entities.detect_entities(entities.corpus_text(files.load(files.scan_for_detection(tree, 10))))
         people = [r["name"] for r in entities.best_entities(found).where("type = 'person'").collect()]
         with open(os.path.join(args.dir, "loci.json"), "w", encoding="utf-8") as out:
             json.dump({"wing": _wing(args.dir), "rooms": rooms, "people": people}, out, indent=2, ensure_ascii=False)

@@ -76,13 +76,13 @@ def diary_entries(drawers: DataFrame, agent: str | None = None, session_id=None,
     return found
 
 
-def diary_read(drawers: DataFrame, agent=None, last_n: int = 10, session_id=None, topic=None) -> DataFrame:
+def diary_read(drawers: DataFrame, agent=None, last_n: int | None = 10, session_id=None, topic=None) -> DataFrame:
     """The newest n entries of every agent (or of one)."""
     order = Window.partitionBy("wing").orderBy(F.desc_nulls_last("filed_at"), F.desc("original_id"))
     return (
         diary_entries(drawers, agent, session_id, topic)
         .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= last_n)
+        .where(F.col("position") <= last_n if last_n is not None else F.lit(True))
         .select(
             "wing", "position", "original_id",
             F.coalesce("date", F.lit("")).alias("date"),

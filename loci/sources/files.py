@@ -87,13 +87,15 @@ def scan_convos(tree: DataFrame) -> DataFrame:
     return found.where(~F.col("path").endswith(".meta.json"))
 
 
-def scan_for_detection(tree: DataFrame, max_files: int = 10) -> DataFrame:
-    """Up to ten prose files; other readable ones fill up when there are under three."""
+def scan_for_detection(tree: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Prose files; other readable ones fill up when there are under three.  All of them, or the first ``max_files``."""
     found = kept_files(tree, None, extensions=(*fixed.PROSE_EXTENSIONS, *fixed.DETECT_EXTENSIONS), skip_dirs=(*fixed.DETECT_SKIP_DIRS, ".loci"))
     prose = tx.extension(F.col("path")).isin(list(fixed.PROSE_EXTENSIONS))
     enough = found.agg(F.count_if(prose) >= 3).scalar()
     usable = found.withColumn("_prose", prose).where(F.col("_prose") | ~enough)
-    return usable.orderBy(F.desc("_prose"), "path").limit(max_files).drop("_prose")
+    if max_files is not None:
+        usable = usable.orderBy(F.desc("_prose"), "path").limit(max_files)
+    return usable.drop("_prose")
 
 
 def unfiled(files: DataFrame, drawers: DataFrame, path: str = "path") -> DataFrame:
