@@ -216,25 +216,82 @@ def quote_regex(c: Column) -> Column:
 _NAME = "{name}"
 
 
+def _needs(pattern: str) -> list[str]:
+    """Plain lower-case texts one of which every match of a pattern contains; [''] if there is none to tell."""
+    found = [required_text(p.replace(_NAME, "\x00").replace(r"\b", "\x00")).lower() for p in _alternatives(pattern)]
+    return found if all(found) else [""]
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The parts of a pattern between bars outside of brackets."""
+    parts, depth = [""], 0
+    for c in pattern:
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _name_pattern(pattern: str, flags: str) -> str:
+    # A boundary before the name stays general: the name may start with
+    # something that is no word character.
+    p = java_pattern(pattern.replace(_NAME, "\x00")).replace(r"(?<![A-Za-z0-9_])" + "\x00", _BOUNDARY + "\x00")
+    # Comparing the first letters is far cheaper than a boundary, so they are tried first.
+    heads = [re.match(r"\\b([a-z]+)([?*{]?)", part) for part in _alternatives(pattern)]
+    if p.startswith(_BOUNDARY + "\x00"):
+        p = "(?=\x00)" + p
+    elif all(heads):
+        p = "(?=" + "|".join(h[1][:-1] if h[2] else h[1] for h in heads) + f")(?:{p})"
+    return f"(?{flags})" + p.replace("\x00", _NAME)
+
+
 def name_patterns(patterns, flags: str = "i") -> Column:
     """Pattern texts, ready for Java, as one literal array; {name} still in them."""
-    ready = []
-    for p in patterns:
-        # A boundary before the name stays general: the name may start with
-        # something that is no word character.
-        p = java_pattern(p.replace(_NAME, "\x00")).replace(r"(?<![A-Za-z0-9_])" + "\x00", _BOUNDARY + "\x00")
-        ready.append(f"(?{flags})" + p.replace("\x00", _NAME))
-    return F.array(*[F.lit(p) for p in ready])
+    return F.array(*[F.lit(_name_pattern(p, flags)) for p in patterns])
+
+
+def needed_texts(patterns) -> Column:
+    """array<array<string>>: what a lower-cased text must contain one of, for each pattern to match it."""
+    return F.array(*[F.array(*[F.lit(n) for n in _needs(p)]) for p in patterns])
+
+
+def may_match(lowered: Column, patterns) -> Column:
+    """array<boolean>: which patterns can match a lower-cased text at all, whatever the name."""
+    return F.transform(needed_texts(patterns), lambda some: F.exists(some, lambda n: F.contains(lowered, n)))
 
 
-def count_named(text: Column, patterns: Column, name: Column) -> Column:
+def _beside(pattern: str) -> list[str]:
+    """What follows the name in every match of a pattern, as plain lower-case texts one of which is there; [''] if unknown."""
+    found = []
+    for part in _alternatives(pattern):
+        m = re.match(r"\\([.])|([-:])|\[([-:a-z]+)\]", part.partition(_NAME)[2])
+        found += list(next(g for g in m.groups() if g)) if m and part.count(_NAME) == 1 else [""]
+    return found if all(found) else [""]
+
+
+def beside_name(lowered: Column, patterns, name: Column) -> Column:
+    """array<boolean>: which patterns can match a lower-cased text by what follows a name there."""
+    low, plain = F.lower(name), F.rlike(name, F.lit(r"\A\p{ASCII}*\z"))
+    after = F.array(*[F.array(*[F.lit(x) for x in _beside(p)]) for p in patterns])
+    return F.transform(after, lambda some: ~plain | F.exists(some, lambda x: (x == "") | F.contains(lowered, F.concat(low, x))))
+
+
+def count_named(text: Column, patterns: Column, name: Column, possible: Column | None = None) -> Column:
     """array<int>: matches of each pattern with the name filled in.
 
     One short lambda instead of one expression per pattern keeps the generated
-    code small.
+    code small.  Patterns that ``possible`` (see ``may_match``) rules out are not run.
     """
     quoted = quote_regex(name)
-    return F.transform(patterns, lambda p: F.regexp_count(text, F.replace(p, F.lit(_NAME), quoted)))
+
+    def hits(p: Column) -> Column:
+        return F.regexp_count(text, F.replace(p, F.lit(_NAME), quoted))
+
+    if possible is None:
+        return F.transform(patterns, hits)
+    return F.zip_with(patterns, possible, lambda p, some: F.when(some, hits(p)).when(text.isNotNull(), F.lit(0)))
 
 
 def match_named(text: Column, patterns: Column, name: Column) -> Column:

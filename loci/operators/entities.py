@@ -19,13 +19,13 @@ def candidates(
 
     ``by`` is the scope of the count: a document, a palace, or nothing.
     """
-    stop = F.array(*[F.lit(w) for w in (fixed.STOPWORDS if stopwords is None else stopwords)])
+    stop = list(fixed.STOPWORDS if stopwords is None else stopwords)
     singles = F.filter(
-        F.regexp_extract_all(text, F.lit(_SINGLE), F.lit(1)), lambda w: ~F.array_contains(stop, F.lower(w))
+        F.regexp_extract_all(text, F.lit(_SINGLE), F.lit(1)), lambda w: ~F.lower(w).isin(stop)
     )
     sequences = F.filter(
         F.regexp_extract_all(text, F.lit(_MULTI), F.lit(1)),
-        lambda p: ~F.exists(F.split(p, r"\s+"), lambda w: F.array_contains(stop, F.lower(w))),
+        lambda p: ~F.exists(F.split(p, r"\s+"), lambda w: F.lower(w).isin(stop)),
     )
     seen = docs.select(*by, F.explode(F.concat(singles, sequences)).alias("name"))
     return seen.groupBy(*by, "name").agg(F.count("*").alias("frequency")).where(F.col("frequency") >= least)
@@ -51,23 +51,39 @@ def pronoun_hits(lines: Column, flags: Column, name: Column) -> Column:
     return F.size(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), near))
 
 
+_SETS = {
+    "_dialogue": (fixed.DIALOGUE_PATTERNS, "mi"), "_verbs": (fixed.PERSON_VERB_PATTERNS, "i"), "_project": (fixed.PROJECT_VERB_PATTERNS, "i"),
+    "_single": ((fixed.DIRECT_PATTERN, fixed.VERSIONED_PATTERN, fixed.CODE_REF_PATTERN), "i"),
+}
+_PARTS = ["_lines", "_low", "_flags", *[f"{c}_may" for c in _SETS]]
+
+
+def with_parts(docs: DataFrame, text: str = "document") -> DataFrame:
+    """Add what ``score_entities`` needs of a text whatever the name: its lines, their pronouns, patterns that may match."""
+    docs = tx.computed(docs, {"_lines": tx.lines_of(F.col(text)), "_low": F.lower(text)})
+    return tx.computed(docs, {
+        "_flags": pronoun_lines(F.col("_lines")), **{f"{c}_may": tx.may_match(F.col("_low"), patterns) for c, (patterns, _) in _SETS.items()},
+    })
+
+
 def score_entities(named: DataFrame, text: str = "document", name: str = "name", most: int | None = None) -> DataFrame:
     """Add person_score, project_score and the signals of each kind, all or the first ``most``.
 
-    ``named`` has one row per (text, name).  Patterns are built from the name
-    in the row and run in the JVM.
+    ``named`` has one row per (text, name), with the columns of ``with_parts`` or without.
+    Patterns are built from the name in the row and run in the JVM, where the
+    text has the plain words they need.
     """
     t, n = F.col(text), F.col(name)
-    lines = tx.lines_of(t)
+    named = named if set(_PARTS) <= set(named.columns) else with_parts(named, text)
 
-    def counts(patterns, flags="i"):
-        return tx.count_named(t, tx.name_patterns(patterns, flags), n)
+    def possible(c: str, patterns) -> Column:
+        return F.zip_with(F.col(f"{c}_may"), tx.beside_name(F.col("_low"), patterns, n), lambda a, b: a & b)
 
-    single = counts((fixed.DIRECT_PATTERN, fixed.VERSIONED_PATTERN, fixed.CODE_REF_PATTERN))
-    counted = tx.computed(tx.computed(named, {"_lines": lines, "_flags": pronoun_lines(lines)}), {
-        "_dialogue": counts(fixed.DIALOGUE_PATTERNS, "mi"), "_verbs": counts(fixed.PERSON_VERB_PATTERNS),
-        "_project": counts(fixed.PROJECT_VERB_PATTERNS), "_pronouns": pronoun_hits(F.col("_lines"), F.col("_flags"), n), "_single": single,
-    }).drop("_lines", "_flags")
+    counted = tx.computed(named, {f"{c}_may": possible(c, patterns) for c, (patterns, _) in _SETS.items()})
+    counted = tx.computed(counted, {
+        **{c: tx.count_named(t, tx.name_patterns(patterns, flags), n, F.col(f"{c}_may")) for c, (patterns, flags) in _SETS.items()},
+        "_pronouns": pronoun_hits(F.col("_lines"), F.col("_flags"), n),
+    }).drop(*_PARTS)
     counted = counted.withColumns({c: F.get("_single", F.lit(i)) for i, c in enumerate(("_direct", "_versioned", "_code"))}).drop("_single")
 
     def total(c):
@@ -134,7 +150,11 @@ def classify_entities(scored: DataFrame) -> DataFrame:
 def detect_entities(docs: DataFrame, text: str = "document", key: str = "original_id", stopwords=None) -> DataFrame:
     """Typed entities of every document, with all scores."""
     found = candidates(docs, text, (key,), stopwords)
-    named = found.join(docs.select(key, text), key)
+    names = found.groupBy(key).agg(F.collect_list(F.struct("name", "frequency")).alias("_names"))
+    # The patterns are the work, and the texts may lie in a few large files.
+    texts = docs.select(key, text).where(F.col(key).isNotNull()).repartition(key)
+    named = with_parts(names.join(texts, key), text)
+    named = named.select(key, F.inline("_names"), text, *_PARTS)
     return classify_entities(score_entities(named, text)).drop(text)
 
 
