@@ -66,6 +66,15 @@ def _names(people: DataFrame) -> DataFrame:
     return first
 
 
+# Registered keys that are sent to the words, which then stay where they are; a longer registry is joined by a shuffle.
+MAX_BROADCAST = 100_000
+
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """A registry's keys, marked to be sent whole where they are few; Spark cannot tell their number."""
+    return F.broadcast(keys) if keys.select("_key").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else keys
+
+
 def lookup(
     words: DataFrame, people: DataFrame, projects: DataFrame | None = None, wiki: DataFrame | None = None,
     word: str = "word", context: str = "context",
@@ -78,10 +87,10 @@ def lookup(
     """
     if context not in words.columns:
         words = words.withColumn(context, F.lit(""))
-    df = words.withColumn("_key", F.lower(word)).join(_names(people), "_key", "left")
+    df = words.withColumn("_key", F.lower(word)).join(_sent(_names(people)), "_key", "left")
     if projects is not None:
         df = df.join(
-            projects.groupBy(F.lower("name").alias("_key")).agg(F.min_by("name", "ord").alias("_project")), "_key", "left"
+            _sent(projects.groupBy(F.lower("name").alias("_key")).agg(F.min_by("name", "ord").alias("_project"))), "_key", "left"
         )
     else:
         df = df.withColumn("_project", F.lit(None).cast("string"))
@@ -89,7 +98,7 @@ def lookup(
         found = wiki.where("confirmed").groupBy(F.lower("word").alias("_key")).agg(
             F.min_by(F.struct("inferred_type", "confidence"), "word").alias("_wiki")
         )
-        df = df.join(found, "_key", "left")
+        df = df.join(_sent(found), "_key", "left")
     else:
         df = df.withColumn("_wiki", F.lit(None).cast("struct<inferred_type:string,confidence:double>"))
     # Flags are kept for registered names, aliases included.

@@ -196,3 +196,20 @@ def test_named_patterns_are_ruled_out_without_loss(spark):
         got = df.select(t, n, may.alias("may"), tx.count_named(t, ready, n, may).alias("got"), plain.alias("all")).collect()
         assert all(r["got"] == (r["all"] if r["t"] is not None else [None] * len(patterns)) for r in got)
         assert patterns is not fixed.PERSON_VERB_PATTERNS or not any(any(r["may"]) for r in got if r["t"] == "Ann")
+
+
+def test_lookup_sends_a_small_registry_and_leaves_the_words(spark, monkeypatch):
+    people = registry.seed_people(spark.createDataFrame([("Grace", None, None, 1)], "name string, relationship string, context string, ord bigint"))
+    words = spark.createDataFrame([(i, w) for i, w in enumerate(["grace", "Atlas", None, "x"] * 5)], "id int, word string")
+    projects = spark.createDataFrame([("Atlas", 1)], "name string, ord bigint")
+
+    def found():
+        df = registry.lookup(words, people, projects)
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        return plan, sorted(map(str, df.select("id", "type", "entity_name").collect()))
+
+    plan, sent = found()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan
+    monkeypatch.setattr(registry, "MAX_BROADCAST", 0)
+    plan, shuffled = found()
+    assert "BroadcastHashJoin" not in plan and sent == shuffled
