@@ -13,10 +13,11 @@ from hashlib import md5
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 from loci.functions import fixed
 
@@ -26,6 +27,8 @@ BLOCK_BYTES = 32 * 1024 * 1024
 FEW_BYTES = 8 * 1024 * 1024
 # Scores held at once by a task.
 SCORE_CELLS = 4_000_000
+# Texts whose words are spread out to vectors at a time.
+EMBED_ROWS = 512
 # Scores are compared after this rounding, so that equal vectors tie exactly
 # whatever the summation order was, and the id decides.
 SCORE_DIGITS = 9
@@ -60,12 +63,25 @@ class _Codes(dict):
         self.size = size
 
     def __missing__(self, token):
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         code = self[token] = token_code(token, self.size)
         return code
 
 
+def _scatter(words: pa.ListArray, codes: _Codes) -> np.ndarray:
+    """Vectors of a few lists of words; only distinct words become Python strings."""
+    m = np.zeros((len(words), codes.size))
+    flat = words.flatten().dictionary_encode()
+    if len(flat):
+        lengths = pc.list_value_length(words).fill_null(0).to_numpy()
+        known = np.fromiter((codes[w] for w in flat.dictionary.to_pylist()), np.int64, len(flat.dictionary))
+        flat = known[flat.indices.to_numpy()]
+        np.add.at(m, (np.repeat(np.arange(len(words)), lengths), np.abs(flat) - 1), np.sign(flat))
+    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0).astype(np.float32)
+
+
 def embed(text: Column, size: int = fixed.VECTOR_SIZE) -> Column:
     """Deterministic bag-of-words vector: signed token hashing, length one.
 
@@ -73,18 +89,14 @@ def embed(text: Column, size: int = fixed.VECTOR_SIZE) -> Column:
     ship; every operator takes any other vector column just as well.
     """
 
-    @pandas_udf("array<float>")
-    def scatter(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @arrow_udf("array<float>")
+    def scatter(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = _Codes(size)
         for words in batches:
-            lengths = [0 if w is None else len(w) for w in words]
-            m = np.zeros((len(lengths), size))
-            if sum(lengths):
-                flat = np.fromiter((codes[w] for ws in words if ws is not None for w in ws), np.int64, sum(lengths))
-                np.add.at(m, (np.repeat(np.arange(len(lengths)), lengths), np.abs(flat) - 1), np.sign(flat))
-            norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-            m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-            yield pd.Series(list(m.astype(np.float32)))
+            # Words stay in Arrow, and EMBED_ROWS texts at a time are spread out, so memory does not follow the texts' number or length.
+            made = [_scatter(words.slice(at, EMBED_ROWS), codes).ravel() for at in range(0, len(words), EMBED_ROWS)]
+            ends = np.arange(0, (len(words) + 1) * size, size, dtype=np.int32)
+            yield pa.ListArray.from_arrays(ends, np.concatenate(made) if made else np.zeros(0, np.float32))
 
     return scatter(embedding_tokens(text))
 

@@ -113,3 +113,29 @@ def test_few_queries_and_many_agree(spark, monkeypatch, group):
     few = sorted(map(tuple, vectors.top_k(queries, items, 6, group=group, min_score=0.1).collect()))
     monkeypatch.setattr(vectors, "FEW_BYTES", 0)
     assert few == sorted(map(tuple, vectors.top_k(queries, items, 6, group=group, min_score=0.1).collect()))
+
+
+def test_embed_takes_few_texts_at_a_time(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from loci.functions import vectors
+
+    seen, scatter = [], vectors._scatter
+    monkeypatch.setattr(vectors, "EMBED_ROWS", 3)
+    monkeypatch.setattr(vectors, "_scatter", lambda words, codes: (seen.append(len(words)), scatter(words, codes))[1])
+    texts = ["a b a", None, "", "é b", "c " * 50, "A", "x y z"]
+    rows = pa.array([None, *[None if t is None else t.lower().split() for t in texts]], pa.list_(pa.string())).slice(1)
+    codes = vectors._Codes(384)
+    got = np.concatenate([vectors._scatter(rows.slice(at, 3), codes) for at in (0, 3, 6)])
+    for t, v in zip(texts, got, strict=True):
+        want = np.zeros(384)
+        for w in (t or "").lower().split():
+            code = vectors.token_code(w, 384)
+            want[abs(code) - 1] += np.sign(code)
+        assert np.allclose(v, want / (np.linalg.norm(want) or 1), atol=1e-7)
+    assert seen == [3, 3, 1]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(vectors.embed(F.col("t")).alias("v"))
+    assert df.schema["v"].dataType.simpleString() == "array<float>"
+    assert np.array_equal(np.array([r["v"] for r in df.collect()], np.float32), got)
