@@ -25,6 +25,9 @@ from loci.functions import fixed
 BLOCK_BYTES = 32 * 1024 * 1024
 # Queries up to this size are sent to the items instead of shuffling the items to them.
 FEW_BYTES = 8 * 1024 * 1024
+# Rows of a block of items and of queries: they bound the work of a task, where narrow vectors leave a block many rows.
+BLOCK_ITEMS = 32_768
+BLOCK_QUERIES = 16_384
 # Scores held at once by a task.
 SCORE_CELLS = 4_000_000
 # Texts whose words are spread out to vectors at a time.
@@ -118,10 +121,10 @@ def cosine(a: Column, b: Column) -> Column:
 # --- top-k of many items for a batch of queries ----------------------------------
 
 
-def _blocks(df: DataFrame, keys: list[str]) -> DataFrame:
-    """How many blocks of at most BLOCK_BYTES a vector table makes, per group where there is one."""
+def _blocks(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """How many blocks of at most BLOCK_BYTES and about ``rows`` rows a vector table makes, per group where there is one."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("width"))
-    count = F.greatest(F.ceil(F.col("n") * F.col("width") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
+    count = F.greatest(F.ceil(F.col("n") * F.col("width") * 8 / BLOCK_BYTES), F.ceil(F.col("n") / rows), F.lit(1)).cast("int")
     return sizes.select(*keys, F.coalesce(count, F.lit(1)).alias("blocks"))
 
 
@@ -141,20 +144,34 @@ def _keep_best(rows, k):
     return q[keep], ids[keep], s[keep]
 
 
+def _least_needed(s, k):
+    """A lower bound of every row's k-th best score."""
+    wide = s.shape[1] // (4 * k)
+    if wide > 4:
+        # The k-th best of the bests of 4k stretches: k scores are at least that.
+        s = s[:, : 4 * k * wide].reshape(len(s), 4 * k, wide).max(axis=2)
+    return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+
+
 def _block_hits(qm, xm, k, floor):
     """(query, item, score) of everything that can be in a query's best k."""
-    for lo in range(0, len(qm), max(1, SCORE_CELLS // max(1, len(xm)))):
-        hi = lo + max(1, SCORE_CELLS // max(1, len(xm)))
-        s = np.round(qm[lo:hi] @ xm.T, SCORE_DIGITS)
-        if floor is not None:
-            s[s < floor] = -np.inf
+    usable = np.flatnonzero(np.isfinite(xm).all(axis=1))
+    if len(usable) < len(xm):
+        xm = xm[usable]
+    # Scores are rounded only where they can matter; rounding moves none by more than this.
+    slack = 10.0**-SCORE_DIGITS
+    step = max(1, SCORE_CELLS // max(1, len(xm)))
+    for lo in range(0, len(qm), step):
+        s = qm[lo:lo + step] @ xm.T
+        least = np.full(len(s), -np.inf if floor is None else floor)
         if s.shape[1] > k:
-            kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            mask = (s >= kth[:, None]) & np.isfinite(s)
-        else:
-            mask = np.isfinite(s)
-        qi, xi = np.nonzero(mask)
-        yield qi + lo, xi, s[qi, xi]
+            least = np.maximum(least, _least_needed(s, k))
+        qi, xi = np.nonzero(s >= least[:, None] - slack)
+        found = np.round(s[qi, xi], SCORE_DIGITS)
+        if floor is not None:
+            some = found >= floor
+            qi, xi, found = qi[some], xi[some], found[some]
+        yield qi + lo, usable[xi], found
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -187,9 +204,8 @@ def _best_of_few(asked: pa.Table, items: DataFrame, take: int, min_score: float
                 parts = [(np.asarray(at), groups[g]) for g, at in held.groupby(held).indices.items() if g in groups]
             for at, rows in parts:
                 own, own_ids = xm[at], ids[at]
-                for qi, xi, s in _block_hits(qm[rows], own, take, min_score):
-                    found = (rows[qi], own_ids[xi], s)
-                    kept = _keep_best(found if kept is None else tuple(np.concatenate(c) for c in zip(kept, found)), take)
+                hits = [_keep_best((rows[qi], own_ids[xi], s), take) for qi, xi, s in _block_hits(qm[rows], own, take, min_score)]
+                kept = _keep_best(tuple(np.concatenate(c) for c in zip(*([] if kept is None else [kept]), *hits)), take)
         if kept is not None and len(kept[0]):
             columns = [asked.column("_q").combine_chunks().take(pa.array(kept[0])), pa.array(kept[1].tolist(), batch.schema.types[0]), pa.array(kept[2])]
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -213,7 +229,7 @@ def top_k(
 
     Queries of at most FEW_BYTES in all are sent to the items, which are then not
     shuffled.  Beyond that both sides stay distributed: each is cut by a hash of its ids
-    into blocks of at most BLOCK_BYTES; every query block meets every item block in one
+    into blocks of at most BLOCK_BYTES (and of some BLOCK_QUERIES or BLOCK_ITEMS rows); every query block meets every item block in one
     task, which multiplies them and keeps its own best k per query.  The best
     of all tasks are ranked per query.  With ``group`` set, a query only sees
     items with the same value in that column, and blocks are cut per group, so
@@ -242,8 +258,8 @@ def top_k(
         found = _best_of_few(qcols.toArrow(), icols.select("_i", "vector", *keys), take, min_score, bool(group), schema)
         return ranked(found)
 
-    grid = _blocks(qcols, keys).withColumnRenamed("blocks", "_qs")
-    other = _blocks(icols, keys).withColumnRenamed("blocks", "_is")
+    grid = _blocks(qcols, keys, BLOCK_QUERIES).withColumnRenamed("blocks", "_qs")
+    other = _blocks(icols, keys, BLOCK_ITEMS).withColumnRenamed("blocks", "_is")
     # Without a group this is one row; with one, a row per group of both sides.
     grid = grid.join(other, keys) if keys else grid.withColumn("_is", other.select("_is").scalar())
 
@@ -257,18 +273,18 @@ def top_k(
     left = dealt(qcols, "_qs", "_is", "_q").withColumnsRenamed({"_own": "_qb", "_other": "_ib"})
     right = dealt(icols, "_is", "_qs", "_i").withColumnsRenamed({"_own": "_ib", "_other": "_qb"})
 
-    def best(qs: pd.DataFrame, xs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or xs.empty:
-            return pd.DataFrame({query_id: qs["_q"][:0], item_id: xs["_i"][:0], "score": np.zeros(0)})
-        qm, xm, qids, ids = unit_rows(qs["vector"]), unit_rows(xs["vector"]), qs["_q"].to_numpy(), _ids(xs["_i"])
-        kept = None
-        for qi, xi, s in _block_hits(qm, xm, take, min_score):
-            found = (qi, ids[xi], s)
-            kept = _keep_best(found if kept is None else tuple(np.concatenate(c) for c in zip(kept, found)), take)
-        return pd.DataFrame({query_id: qids[kept[0]], item_id: kept[1], "score": kept[2]})
+    def best(qs: pa.Table, xs: pa.Table) -> pa.Table:
+        # Vectors and ids stay in Arrow; items are put in order of their ids, so that places decide ties.
+        xs = xs.take(pc.sort_indices(xs, [("_i", "ascending")], null_placement="at_start"))
+        kept = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))
+        if len(qs) and len(xs):
+            qm, xm = (_matrix(side.column("vector").combine_chunks()) for side in (qs, xs))
+            hits = [_keep_best(found, take) for found in _block_hits(qm, xm, take, min_score)]
+            kept = tuple(np.concatenate(c) for c in zip(*hits))
+        return pa.Table.from_arrays([qs.column("_q").take(pa.array(kept[0])), xs.column("_i").take(pa.array(kept[1])), pa.array(kept[2])], schema.names)
 
     on = [*keys, "_qb", "_ib"]
-    merged = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(best, schema)
+    merged = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(best, schema)
     return ranked(merged)
 
 

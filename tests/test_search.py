@@ -36,6 +36,30 @@ def test_top_k_of_many_queries(spark):
     assert got == {(i, k + 1): int(order[i, k]) for i in range(len(x)) for k in range(2)}
 
 
+def test_block_hits_are_the_best_of_each_row():
+    """Bounds, ties and the floor against a full sort, with many items per query."""
+    rng = np.random.default_rng(8)
+    qm, xm = vec.unit_rows(rng.normal(size=(7, 4)).round(1)), vec.unit_rows(rng.normal(size=(900, 4)).round(1))
+    xm[5] = np.nan
+    s = np.round(qm @ xm.T, vec.SCORE_DIGITS)
+    for floor in (None, 0.9):
+        hits = [vec._keep_best(found, 10) for found in vec._block_hits(qm, xm, 10, floor)]
+        got = list(zip(*(c.tolist() for c in map(np.concatenate, zip(*hits)))))
+        want = []
+        for i, row in enumerate(s):
+            held = [j for j in range(900) if j != 5 and (floor is None or row[j] >= floor)]
+            want += [(i, j, row[j]) for j in sorted(held, key=lambda j: (-row[j], j))[:10]]
+        assert [(i, j) for i, j, _ in got] == [(i, j) for i, j, _ in want]
+        assert np.allclose([x for *_, x in got], [x for *_, x in want], atol=1e-9)
+
+
+def test_blocks_are_cut_by_rows(spark):
+    """Narrow vectors make several blocks, so that no task holds or multiplies all pairs."""
+    df = spark.range(100_000).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
+    assert vec._blocks(df, [], vec.BLOCK_QUERIES).first()["blocks"] == 7
+    assert vec._blocks(df, [], vec.BLOCK_ITEMS).first()["blocks"] == 4
+
+
 def _frame(spark, rows, name="original_id"):
     return spark.createDataFrame(rows, f"{name} long, palace string, vector array<float>")
 
