@@ -305,3 +305,19 @@ def candidate_scores(rows_vector: Column, matrix: np.ndarray, spark) -> Column:
         return pd.Series([None if e else r for e, r in zip(empty, out)])
 
     return score(rows_vector)
+
+
+def embedded_scores(text: Column, matrix: np.ndarray, spark) -> Column:
+    """``candidate_scores`` of the text's vector, which itself stays in the task."""
+    shared = spark.sparkContext.broadcast(matrix)
+
+    @arrow_udf("array<double>")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codes = _Codes(shared.value.shape[1])
+        for words in batches:
+            cut = (_scatter(words.slice(at, EMBED_ROWS), codes) for at in range(0, len(words), EMBED_ROWS))
+            made = [np.round(unit_rows(m) @ shared.value.T, SCORE_DIGITS).ravel() for m in cut]
+            ends = np.arange(0, (len(words) + 1) * len(shared.value), len(shared.value), dtype=np.int32)
+            yield pa.ListArray.from_arrays(ends, np.concatenate(made) if made else np.zeros(0))
+
+    return score(embedding_tokens(text))

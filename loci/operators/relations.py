@@ -11,6 +11,7 @@ from loci.functions import vectors as vec
 from loci.operators.registry import lookup
 
 _NO_STRINGS = "array<string>"
+_OPTIONS = "array<struct<order_score:double,i:int,j:int,n:int>>"
 
 
 # --- dates --------------------------------------------------------------------------------
@@ -126,7 +127,6 @@ def link_entities(
         *key, "context", "_at", "c.kind", "c.word"
     )
     known = lookup(rows, people, projects, wiki).withColumnRenamed("confidence", "_known")
-    kind = infer_type(F.col("entity_name"), F.col("type"))
     unknown = F.col("type") == "unknown"
     base = F.when(unknown, 0.35).otherwise(F.coalesce(F.nullif("_known", F.lit(0.0)), F.lit(0.8)))
     marked = F.rlike(F.left("word", F.lit(1)), F.lit(r"\p{Lu}")) | F.lower("word").isin(list(fixed.TOOL_HINTS))
@@ -134,14 +134,16 @@ def link_entities(
     confidence = F.when(
         quoted, F.greatest(F.coalesce(F.nullif("_known", F.lit(0.0)), F.lit(0.45)), F.lit(0.55))
     ).when(marked, F.greatest(base, F.lit(fixed.ENTITY_CONFIDENCE))).otherwise(base)
-    named = tx.computed(known, {
-        "_id": F.lower("entity_name"),
-        "e": F.struct(
-            F.when(~quoted & (kind == "person"), title_case(F.col("entity_name"))).otherwise(F.col("entity_name")).alias("name"),
-            kind.alias("type"), confidence.alias("confidence"),
+    # Most words are unknown; the patterns of types are only tried on the names that are sure enough.
+    sure = tx.computed(known, {"_sure": confidence}).where(F.col("_sure") >= fixed.ENTITY_CONFIDENCE)
+    named = tx.computed(sure, {"_kind": infer_type(F.col("entity_name"), F.col("type"))}).select(
+        *key, "_at", F.lower("entity_name").alias("_id"),
+        F.struct(
+            F.when(~quoted & (F.col("_kind") == "person"), title_case(F.col("entity_name"))).otherwise(F.col("entity_name")).alias("name"),
+            F.col("_kind").alias("type"), F.col("_sure").alias("confidence"),
             F.when(unknown, F.col("kind")).otherwise("registry").alias("source"),
-        ),
-    }).where(F.col("e.confidence") >= fixed.ENTITY_CONFIDENCE)
+        ).alias("e"),
+    )
     merged = named.groupBy(*key, "_id").agg(F.min("_at").alias("ord"), F.max_by("e", "_at").alias("e"))
     out = merged.select(*key, "ord", "e.*")
     if not places:
@@ -168,10 +170,12 @@ def prototypes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "predicate string, mode string, text string").withColumn("vector", vec.embed(F.col("text")))
 
 
-def with_predicate_scores(df: DataFrame, vector: str, protos: DataFrame, out: str) -> DataFrame:
-    """Add array<struct<active, ended>>: the best example per predicate and mode, at least 0."""
+def with_predicate_scores(df: DataFrame, vector: str | None, protos: DataFrame, out: str, text: str | None = None) -> DataFrame:
+    """Add array<struct<active, ended>>: the best example per predicate and mode, at least 0; of a vector, or of a text that is embedded."""
     rows = protos.orderBy("predicate", "mode", "text").collect()
-    scored = df.withColumn("_protos", vec.candidate_scores(F.col(vector), vec.unit_rows([r["vector"] for r in rows]), df.sparkSession))
+    matrix = vec.unit_rows([r["vector"] for r in rows])
+    scores = vec.embedded_scores(F.col(text), matrix, df.sparkSession) if text else vec.candidate_scores(F.col(vector), matrix, df.sparkSession)
+    scored = df.withColumn("_protos", scores)
 
     def best(predicate, mode):
         at = [i + 1 for i, r in enumerate(rows) if (r["predicate"], r["mode"]) == (predicate, mode)]
@@ -207,6 +211,8 @@ def extract_facts(
     fallback = F.left(F.col(filed_at).cast("string"), F.lit(10)) if filed_at else F.lit(None).cast("string")
     places = [c for c in ("room", "closet", "hall") if c in docs.columns]
     segs = docs.select(key, *places, fallback.alias("_day"), F.posexplode(segments(F.col(text))).alias("pos", "segment"))
+    # Dealt once by segment, so that no step below has to shuffle its rows again.  A segment without a key finds no entities in the end.
+    segs = segs.where(F.col(key).isNotNull()).repartition(key, "pos")
     linked = link_entities(segs, people, projects, wiki, key=(key, "pos"))
     if most_entities is not None:
         in_order = Window.partitionBy(key, "pos").orderBy("ord")
@@ -215,34 +221,37 @@ def extract_facts(
     linked = linked.withColumn("_place", F.row_number().over(surest)).where(F.col("_place") <= 2)
     ents = F.array_sort(F.collect_list(F.struct("ord", "name", "type", "confidence")))
     grouped = linked.groupBy(key, "pos").agg(ents.alias("_ents")).where(F.size("_ents") >= 2)
-    ready = segs.join(grouped, [key, "pos"]).withColumn("_vector", vec.embed(F.col("segment")))
-    ready = with_predicate_scores(ready, "_vector", protos, "_preds")
-    ready = with_temporal(ready, "segment", F.col("_day"), out="_time")
-
-    def options(i, j, s, o):
-        made = []
-        for n, p in enumerate(fixed.PREDICATES):
-            sem = F.get(F.col("_preds"), F.lit(n))
-            fit = type_score(p, s["type"], o["type"])
-            semantic = F.greatest(sem["active"], sem["ended"])
-            score = semantic * 0.7 + fit * 0.2 + (s["confidence"] + o["confidence"]) / 2 * 0.1
-            made.append(F.struct(
-                F.when(fit >= 0.5, -score).alias("order_score"), i.alias("i"), j.alias("j"), F.lit(n).alias("n"),
-                F.lit(p["id"]).alias("predicate"), s["name"].alias("subject"), s["type"].alias("subject_type"),
-                o["name"].alias("object"), o["type"].alias("object_type"), score.alias("confidence"),
-                semantic.alias("semantic_score"), fit.alias("type_score"), (sem["ended"] > sem["active"] + 0.03).alias("is_end"),
-            ))
-        return F.array(*made)
-
-    # flatten() of an array holding a null is null, so self-pairs are filtered out.
-    pairs = F.flatten(F.transform(
-        F.col("_ents"),
-        lambda s, i: F.flatten(F.filter(
-            F.transform(F.col("_ents"), lambda o, j: F.when(i != j, options(i, j, s, o))), lambda a: a.isNotNull()
-        )),
-    ))
-    best = F.array_min(F.filter(pairs, lambda p: p["order_score"].isNotNull()))
-    found = tx.computed(ready, {"_b": best}).where(F.col("_b.confidence") >= fixed.FACT_CONFIDENCE)
+    ready = with_predicate_scores(segs.join(grouped, [key, "pos"]), None, protos, "_preds", text="segment")
+
+    # Pairs are compared by numbers alone; names and figures are looked up for the best one only.
+    means = F.transform("_preds", lambda p: F.greatest(p["active"], p["ended"]) * 0.7)
+    ready = tx.computed(ready, {"_means": means})
+
+    def fits(s, o):
+        return F.array(*[type_score(p, s["type"], o["type"]) for p in fixed.PREDICATES])
+
+    def options(i, j, sure, fit):
+        scores = F.zip_with("_means", fit, lambda m, f: F.when(f >= 0.5, m + f * 0.2 + sure))
+        return F.transform(scores, lambda x, n: F.struct((-x).alias("order_score"), i.alias("i"), j.alias("j"), n.alias("n")))
+
+    def of_first(s, i):
+        return F.flatten(F.transform(
+            F.col("_ents"),
+            lambda o, j: F.when(i != j, options(i, j, (s["confidence"] + o["confidence"]) / 2 * 0.1, fits(s, o))).otherwise(F.array().cast(_OPTIONS)),
+        ))
+
+    pairs = F.flatten(F.transform(F.col("_ents"), of_first))
+    chosen = F.array_min(F.filter(pairs, lambda p: p["order_score"].isNotNull()))
+    ready = tx.computed(ready, {"_c": chosen}).where(-F.col("_c.order_score") >= fixed.FACT_CONFIDENCE)
+    s, o = (F.get("_ents", F.col(f"_c.{c}")) for c in "ij")
+    sem = F.get("_preds", F.col("_c.n"))
+    found = tx.computed(ready, {"_b": F.struct(
+        F.get(F.array(*[F.lit(p["id"]) for p in fixed.PREDICATES]), F.col("_c.n")).alias("predicate"),
+        s["name"].alias("subject"), s["type"].alias("subject_type"), o["name"].alias("object"), o["type"].alias("object_type"),
+        (-F.col("_c.order_score")).alias("confidence"), F.greatest(sem["active"], sem["ended"]).alias("semantic_score"),
+        F.get(fits(s, o), F.col("_c.n")).alias("type_score"), (sem["ended"] > sem["active"] + 0.03).alias("is_end"),
+    )})
+    found = with_temporal(found, "segment", F.col("_day"), out="_time")
     ended = F.when(F.col("_b.is_end"), F.coalesce("_time.ended", "_time.valid_from"))
     facts = found.select(
         key, "pos", "_b.subject", "_b.subject_type", "_b.predicate", "_b.object", "_b.object_type",

@@ -133,3 +133,16 @@ def test_namespace(spark, name, want):
     from loci.functions import text as tx
 
     assert spark.createDataFrame([(name,)], "n string").select(tx.namespace_id(F.col("n")).alias("n")).first().n == want
+
+
+def test_embedded_scores_are_those_of_the_vector(spark):
+    """Scores of a text against examples, without its vector leaving the task; long and empty texts, nulls."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from loci.functions import vectors as vec
+
+    df = spark.createDataFrame([(i, "word " * i + f"thing{i} Kim") for i in range(600)] + [(600, ""), (601, None)], "i int, text string")
+    matrix = vec.unit_rows(np.random.default_rng(2).normal(size=(5, 384)))
+    both = df.select(vec.embedded_scores(F.col("text"), matrix, spark).alias("a"), vec.candidate_scores(vec.embed(F.col("text")), matrix, spark).alias("b"))
+    assert all(np.allclose(r.a, r.b, atol=2e-9) and len(r.a) == 5 for r in both.collect())
