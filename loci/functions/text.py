@@ -150,18 +150,6 @@ def words(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda w: w != "")
 
 
-def phrases(tokens: Column) -> Column:
-    """The whole query and every pair of neighbours, distinct."""
-    pairs = F.transform(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda w, i: F.concat(w, F.lit(" "), F.element_at(tokens, i + 2)),
-    )
-    whole = F.when(F.size(tokens) > 0, F.array(F.array_join(tokens, " "))).otherwise(
-        F.array().cast("array<string>")
-    )
-    return F.array_distinct(F.concat(whole, pairs))
-
-
 def count_substring(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences of a non-empty needle."""
     return F.when(

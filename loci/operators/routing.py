@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections import defaultdict
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from loci.functions import fixed
 from loci.functions import text as tx
@@ -16,11 +21,7 @@ from loci.functions import vectors as vec
 REGISTRY_BYTES = 4 * 1024 * 1024
 
 _FIELD_WEIGHTS = (("name", 0.08), ("description", 0.12), ("scope", 0.16), ("l0_body", 0.12))
-_PACKED = (
-    "array<struct<name:string,usage_count:bigint,usage_boost:double,"
-    "fields:array<struct<text:string,tokens:array<string>,weight:double>>,"
-    "keywords:array<struct<text:string,tokens:array<string>>>>>"
-)
+_PACKED = "array<struct<name:string,usage_count:bigint,usage_boost:double>>"
 
 
 # --- score parts -----------------------------------------------------------------
@@ -31,52 +32,105 @@ def usage_boost(count: Column) -> Column:
     return F.when(n > 0, F.least(F.lit(0.12), F.log1p(n) * 0.02)).otherwise(F.lit(0.0))
 
 
-def token_overlap(query: Column, field: Column) -> Column:
-    """Share of the (distinct) query tokens that the field has."""
-    some = (F.size(query) > 0) & (F.size(field) > 0)
-    return F.when(some, F.size(F.array_intersect(query, field)) / F.size(query)).otherwise(F.lit(0.0))
+class Fields:
+    """Texts of the palaces of a registry, indexed by word, to be compared with many contexts.
 
-
-def phrase_match(phrases: Column, field_text: Column) -> Column:
-    """Share of the phrases found inside the field's text."""
-    some = (F.size(phrases) > 0) & (F.length(field_text) > 0)
-    hits = F.size(F.filter(phrases, lambda p: F.contains(field_text, p)))
-    return F.when(some, hits / F.size(phrases)).otherwise(F.lit(0.0))
-
-
-def weighted_field(tokens: Column, phrases: Column, field: Column) -> Column:
-    """Score of one struct<text, tokens, weight> field, at most its weight."""
-    weight = field["weight"]
-    score = (
-        token_overlap(tokens, field["tokens"]) * weight * 0.6
-        + phrase_match(phrases, field["text"]) * weight * 0.4
-    )
-    return F.when(F.length(field["text"]) > 0, F.least(weight, score)).otherwise(F.lit(0.0))
-
-
-def keyword_boost(tokens: Column, phrases: Column, keywords: Column) -> Column:
-    """0.14 for a keyword that is a phrase of the query, else 0.08 x overlap.
-
-    ``keywords`` is array<struct<text, tokens>>.
+    A palace has ``fields`` (dicts of text and weight) and ``keywords`` (texts), all normalised and none empty.
     """
 
-    def one(k: Column) -> Column:
-        return F.when(F.array_contains(phrases, k["text"]), F.lit(0.14)).otherwise(
-            token_overlap(tokens, k["tokens"]) * 0.08
-        )
-
-    return F.least(F.lit(0.18), F.aggregate(keywords, F.lit(0.0), lambda acc, k: acc + one(k)))
-
-
-def field_boost(tokens: Column, phrases: Column, fields: Column, keywords: Column) -> Column:
-    """Text agreement of a context with a palace, at most 0.25.
-
-    ``tokens`` (distinct) and ``phrases`` are columns of the context's row, so
-    they are worked out once and not for every palace.
-    """
-    total = F.aggregate(fields, F.lit(0.0), lambda acc, f: acc + weighted_field(tokens, phrases, f))
-    capped = F.least(F.lit(0.25), total + keyword_boost(tokens, phrases, keywords))
-    return F.when(F.size(tokens) > 0, capped).otherwise(F.lit(0.0))
+    def __init__(self, palaces: list[dict]):
+        self.palaces = len(palaces)
+        fields = [(i, n, f["text"], f["weight"]) for i, p in enumerate(palaces) for n, f in enumerate(p["fields"])]
+        keywords = [(i, n, k) for i, p in enumerate(palaces) for n, k in enumerate(p["keywords"])]
+        texts = [f[2] for f in fields]
+        self.fields, self.size = len(fields), len(fields) + len(keywords)
+        self.weights = np.array([f[3] for f in fields])
+        self.field_turns = self._turns([f[:2] for f in fields])
+        self.keyword_turns = self._turns([k[:2] for k in keywords])
+        self.holding, self.keywords = defaultdict(list), defaultdict(list)
+        for at, text in enumerate(texts + [k[2] for k in keywords]):
+            for word in set(text.split()):
+                self.holding[word].append(at)
+        for at, k in enumerate(keywords):
+            self.keywords[k[2]].append(at)
+        self.holding = {w: np.array(at) for w, at in self.holding.items()}
+        words = {w for t in texts for w in t.split()}
+        self.heads = {w[:n] for w in words for n in range(1, len(w) + 1)}
+        self.tails = {w[n:] for w in words for n in range(len(w))}
+        self.joined = "\n".join(texts)
+        self.starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
+        self.seen: dict[str, np.ndarray] = {}
+
+    @staticmethod
+    def _turns(owners: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(place, palace) of every first field, of every second and so on: sums are built up in that order."""
+        turns = defaultdict(list)
+        for at, (palace, n) in enumerate(owners):
+            turns[n].append((at, palace))
+        return [tuple(np.array(c) for c in zip(*turns[n])) for n in sorted(turns)]
+
+    def _containing(self, phrase: str) -> np.ndarray:
+        """Fields whose text contains a phrase, whose first and last word may be parts of words there."""
+        found, at = [], self.joined.find(phrase)
+        while at >= 0:
+            found.append(int(np.searchsorted(self.starts, at, side="right")) - 1)
+            # One hit per field is enough.
+            at = self.joined.find(phrase, int(self.starts[found[-1] + 1])) if found[-1] + 1 < self.fields else -1
+        return np.array(found, np.int64)
+
+    def _pair(self, first: str, second: str) -> np.ndarray | None:
+        if first not in self.tails or second not in self.heads:
+            return None
+        pair = f"{first} {second}"
+        if pair not in self.seen:
+            if len(self.seen) > 100_000:
+                self.seen.clear()
+            self.seen[pair] = self._containing(pair)
+        return self.seen[pair] if len(self.seen[pair]) else None
+
+    def boosts(self, normalized: str) -> np.ndarray:
+        """Text agreement of a context with every palace, at most 0.25.
+
+        Fields count the share of the context's distinct words that they have and of its phrases (all of it, and
+        every pair of neighbours) that they contain; a keyword gives 0.14 if it is such a phrase, else 0.08 x its share.
+        """
+        words = normalized.split()
+        if not words:
+            return np.zeros(self.palaces)
+        tokens, pairs = set(words), set(zip(words, words[1:]))
+        phrases = {f"{a} {b}" for a, b in pairs} | {normalized}
+        at = [self.holding[w] for w in tokens if w in self.holding]
+        overlap = (np.bincount(np.concatenate(at), minlength=self.size) if at else np.zeros(self.size)) / len(tokens)
+        hits = [self._pair(a, b) for a, b in pairs]
+        if len(words) != 2 and all(h is not None for h in hits):
+            # A text is only contained where each of its pairs is.
+            hits.append(self._containing(normalized))
+        hits = [h for h in hits if h is not None and len(h)]
+        inside = (np.bincount(np.concatenate(hits), minlength=self.fields) if hits else np.zeros(self.fields)) / len(phrases)
+        score = np.minimum(self.weights, overlap[:self.fields] * self.weights * 0.6 + inside * self.weights * 0.4)
+        share = overlap[self.fields:] * 0.08
+        for phrase in phrases:
+            if phrase in self.keywords:
+                share[self.keywords[phrase]] = 0.14
+        total, extra = np.zeros(self.palaces), np.zeros(self.palaces)
+        for places, palaces in self.field_turns:
+            total[palaces] += score[places]
+        for places, palaces in self.keyword_turns:
+            extra[palaces] += share[places]
+        return np.minimum(0.25, total + np.minimum(0.18, extra))
+
+
+def field_boosts(normalized: Column, palaces: list[dict], spark) -> Column:
+    """array<double> of the text agreement of a normalised context with every palace (see ``Fields``)."""
+    shared = spark.sparkContext.broadcast(palaces)
+
+    @pandas_udf("array<double>")
+    def boosts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        fields = Fields(shared.value)
+        for texts in batches:
+            yield pd.Series([fields.boosts(t) for t in texts])
+
+    return boosts(normalized)
 
 
 # --- ranking ----------------------------------------------------------------------
@@ -109,7 +163,7 @@ def _normalize_lines(c: Column) -> Column:
 
 
 def _registry_slices(palaces: DataFrame):
-    """The registry in driver-sized pieces: (packed JSON literal, unit matrix)."""
+    """The registry in driver-sized pieces: (packed JSON literal, texts, unit matrix)."""
     reg = _registry(palaces).withColumn(
         "_bytes", F.length(F.to_json(F.struct("name", "fields", "keywords"))) + F.size("vector") * 8
     )
@@ -120,18 +174,12 @@ def _registry_slices(palaces: DataFrame):
         rows = piece.orderBy("name").collect()
         if not rows:
             continue
-        packed = [
-            {
-                "name": r["name"], "usage_count": r["usage_count"], "usage_boost": r["usage_boost"],
-                "fields": [
-                    {"text": f["text"], "tokens": sorted(set(f["text"].split())), "weight": f["weight"]}
-                    for f in r["fields"] if f["text"]
-                ],
-                "keywords": [{"text": k, "tokens": sorted(set(k.split()))} for k in r["keywords"]],
-            }
+        packed = [{"name": r["name"], "usage_count": r["usage_count"], "usage_boost": r["usage_boost"]} for r in rows]
+        texts = [
+            {"fields": [{"text": f["text"], "weight": f["weight"]} for f in r["fields"] if f["text"]], "keywords": r["keywords"]}
             for r in rows
         ]
-        yield F.from_json(F.lit(json.dumps(packed)), _PACKED), vec.unit_rows([r["vector"] for r in rows])
+        yield F.from_json(F.lit(json.dumps(packed)), _PACKED), texts, vec.unit_rows([r["vector"] for r in rows])
 
 
 def rank_palaces(
@@ -151,17 +199,17 @@ def rank_palaces(
     df = contexts
     if text is not None:
         df = df.withColumn("_norm", tx.normalize_text(F.col(text)))
-        df = tx.computed(df, {"_words": tx.words(F.col("_norm"))})
-        df = tx.computed(df, {"_tokens": F.array_distinct("_words"), "_phrases": tx.phrases(F.col("_words"))})
     arrays = []
-    for i, (packed, matrix) in enumerate(_registry_slices(palaces)):
+    for i, (packed, texts, matrix) in enumerate(_registry_slices(palaces)):
         df = df.withColumn(f"_sem{i}", vec.candidate_scores(F.col(vector), matrix, spark))
+        boosts = F.transform(f"_sem{i}", lambda s: F.lit(0.0))
+        if text is not None:
+            df = df.withColumn(f"_boost{i}", field_boosts(F.col("_norm"), texts, spark))
+            boosts = F.col(f"_boost{i}")
+        parts = F.zip_with(f"_sem{i}", boosts, lambda s, f: F.struct(s.alias("s"), f.alias("f")))
 
-        def boosted(p, s):
-            boost = F.lit(0.0) if text is None else field_boost(
-                F.col("_tokens"), F.col("_phrases"), p["fields"], p["keywords"]
-            )
-            return F.struct(p["name"].alias("n"), p["usage_boost"].alias("u"), p["usage_count"].alias("c"), s.alias("s"), boost.alias("f"))
+        def boosted(p, x):
+            return F.struct(p["name"].alias("n"), p["usage_boost"].alias("u"), p["usage_count"].alias("c"), x["s"].alias("s"), x["f"].alias("f"))
 
         def scored(x):
             score = x["s"] + x["f"] + x["u"]
@@ -172,9 +220,7 @@ def rank_palaces(
                 x["u"].alias("usage_boost"), x["c"].alias("usage_count"),
             )
 
-        # Two steps, so that the text work is done once per palace: inside a
-        # lambda a repeated expression is evaluated every time.
-        arrays.append(F.transform(F.zip_with(packed, F.col(f"_sem{i}"), boosted), scored))
+        arrays.append(F.transform(F.zip_with(packed, parts, boosted), scored))
     if not arrays:
         empty = (
             "array<struct<order_score:double,order_semantic:double,name:string,score:double,"
@@ -193,7 +239,7 @@ def rank_palaces(
     if current is not None:
         own = F.filter(F.col("candidates"), lambda c: c["name"] == F.col(current))
         df = df.withColumn("current_score", F.get(own, F.lit(0))["score"])
-    return df.drop("_norm", "_words", "_tokens", "_phrases", *[f"_sem{i}" for i in range(len(arrays))])
+    return df.drop("_norm", *[f"{c}{i}" for c in ("_sem", "_boost") for i in range(len(arrays))])
 
 
 def best_palace(contexts: DataFrame, palaces: DataFrame, default: str = fixed.DEFAULT_PALACE, **kw) -> DataFrame:

@@ -165,3 +165,30 @@ def test_embed(spark):
     v = [r.v for r in df.select(vec.embed(F.col("t")).alias("v")).collect()]
     assert v[0] == v[1] and len(v[0]) == 384 and sum(x * x for x in v[0]) == pytest.approx(1)
     assert set(v[2]) == {0.0} and set(v[3]) == {0.0}
+
+
+def test_fields_are_compared_as_one_by_one():
+    """The index of a registry's texts against every context and palace alone."""
+    rng = np.random.default_rng(5)
+    words = ["he", "she", "is", "this", "a", "cat", "at", "cathedral", "dock", "docker"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    palaces = [
+        {"fields": [{"text": say(m), "weight": weight} for m, weight in ((3, 0.08), (9, 0.12))][: i % 3], "keywords": [say(1), say(2), say(1)][: i % 4]}
+        for i in range(60)
+    ]
+    index = routing.Fields(palaces)
+
+    def plain(text, palace):
+        seq = text.split()
+        tokens, phrases = set(seq), {text} | {f"{a} {b}" for a, b in zip(seq, seq[1:])}
+        total = extra = 0.0
+        for f in palace["fields"]:
+            has, inside = len(tokens & set(f["text"].split())) / len(tokens), sum(p in f["text"] for p in phrases) / len(phrases)
+            total += min(f["weight"], has * f["weight"] * 0.6 + inside * f["weight"] * 0.4)
+        for k in palace["keywords"]:
+            extra += 0.14 if k in phrases else len(tokens & set(k.split())) / len(tokens) * 0.08
+        return min(0.25, total + min(0.18, extra))
+
+    for text in [say(n) for n in (1, 1, 2, 2, 3, 5, 9, 9, 30)] + ["unknown words only", "s"]:
+        assert index.boosts(text).tolist() == [plain(text, p) for p in palaces]
+    assert not index.boosts("").any() and routing.Fields([]).boosts("a").tolist() == []
