@@ -19,6 +19,8 @@ from loci.operators.skew import neighbours, running_count, segment_bounds
 from loci.schemas import ENTITIES, TRIPLES, conform
 from loci.session import cut_lineage
 
+# Names of up to this many ids are sent to the facts.
+FEW_IDS = 50_000
 KEY = ["namespace", "subject_id", "predicate", "object_id"]
 
 
@@ -56,10 +58,16 @@ def add_entities(entities: DataFrame, rows: DataFrame) -> DataFrame:
 
 def entities_of(rows: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """Entities that facts mention and that are not known yet (first spelling wins)."""
-    sides = rows.select("namespace", "seq", F.col("subject_id").alias("id"), F.col("subject").alias("name"), F.lit(0).alias("side")).unionByName(
-        rows.select("namespace", "seq", F.col("object_id").alias("id"), F.col("object").alias("name"), F.lit(1).alias("side"))
-    )
-    first = sides.groupBy("namespace", "id").agg(F.min_by("name", F.struct("seq", "side")).alias("name"))
+    sides = F.array(*[F.struct(F.col(f"{c}_id").alias("id"), F.col(c).alias("name"), F.lit(n).alias("side")) for n, c in enumerate(("subject", "object"))])
+    named = rows.select("namespace", "seq", F.inline(sides))
+    # Numbers only are kept per spelling, which needs no sort; a row without seq comes first.
+    spelled = named.groupBy("namespace", "id", "name").agg(*[
+        c.alias(f"{n}{side}") for side in (0, 1) for n, c in (
+            ("seq", F.min(F.when(F.col("side") == side, F.col("seq")))), ("none", F.max((F.col("side") == side) & F.col("seq").isNull())))
+    ])
+    place = [F.when(F.col(f"none{n}") | F.col(f"seq{n}").isNotNull(), F.struct(
+        F.when(~F.col(f"none{n}"), F.col(f"seq{n}")).alias("seq"), F.lit(n).alias("side"))) for n in (0, 1)]
+    first = spelled.groupBy("namespace", "id").agg(F.min_by("name", F.least(*place)).alias("name"))
     if entities is not None:
         first = first.join(entities.select("namespace", "id"), ["namespace", "id"], "left_anti")
     return first.select("namespace", "id", "name", F.lit("unknown").alias("type"), F.lit("{}").alias("properties"))
@@ -112,12 +120,32 @@ def clear(table: DataFrame, namespace: str) -> DataFrame:
 # --- reading ------------------------------------------------------------------------------
 
 
+def _met(rows: DataFrame, triples: DataFrame, side: str, used: dict[str, int]) -> DataFrame:
+    """Look-up rows for one side of the facts, keyed like it; sent along where few of them are met.
+
+    Few ids may hold very many facts, which a shuffle by id would put in few tasks.  ``used`` is
+    about how many ids the facts have on each side; it is filled when first asked for.
+    """
+    if rows.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        return F.broadcast(rows)
+    if not used:
+        counted = [F.approx_count_distinct(F.struct("namespace", c)).alias(c) for c in ("subject_id", "object_id")]
+        used.update(triples.agg(*counted).first().asDict())
+    if used[side] > FEW_IDS:
+        return rows
+    met = cut_lineage(rows.join(triples.select("namespace", side).distinct(), ["namespace", side], "left_semi"))
+    return F.broadcast(met) if met.limit(2 * FEW_IDS + 1).count() <= 2 * FEW_IDS else met
+
+
+def _names(entities: DataFrame, side: str, name: str) -> DataFrame:
+    return entities.select("namespace", F.col("id").alias(side), F.col("name").alias(name))
+
+
 def _named(triples: DataFrame, entities: DataFrame) -> DataFrame:
-    names = entities.select("namespace", F.col("id"), "name")
-    return (
-        triples.join(names.select("namespace", F.col("id").alias("subject_id"), F.col("name").alias("subject")), ["namespace", "subject_id"])
-        .join(names.select("namespace", F.col("id").alias("object_id"), F.col("name").alias("object")), ["namespace", "object_id"])
-    )
+    used: dict[str, int] = {}
+    for side, name in (("subject_id", "subject"), ("object_id", "object")):
+        triples = triples.join(_met(_names(entities, side, name), triples, side, used), ["namespace", side])
+    return triples
 
 
 def _state(as_of: Column) -> list[Column]:
@@ -140,19 +168,23 @@ def query_entities(
     if "namespace" not in wanted.columns:
         wanted = wanted.withColumn("namespace", F.lit("default"))
     wanted = wanted.withColumn("_id", tx.entity_id(F.col("entity"))).distinct()
-    parts = []
-    for side, name in (("subject_id", "outgoing"), ("object_id", "incoming")):
+    parts: list[DataFrame] = []
+    used: dict[str, int] = {}
+    for side, name, far in (("subject_id", "outgoing", "object"), ("object_id", "incoming", "subject")):
         if direction not in (name, "both"):
             continue
-        keyed = wanted.withColumnRenamed("_id", side)
-        found = triples.join(keyed, ["namespace", side]).where(
+        # What is asked for meets its entity before it meets the facts.
+        keyed = wanted.withColumnRenamed("_id", side).join(entities.select("namespace", F.col("id").alias(side)), ["namespace", side])
+        found = triples.join(_met(keyed, triples, side, used), ["namespace", side]).where(
             valid_at(F.col("valid_from"), F.col("valid_to"), F.col("as_of"))
         )
-        full = _named(found, entities).select(
+        other = f"{far}_id"
+        found = found.join(_met(_names(entities, other, far), triples, other, used), ["namespace", other])
+        full = found.select(
             "entity", "as_of", F.lit(name).alias("direction"),
-            (F.col("entity") if name == "outgoing" else F.col("subject")).alias("subject"),
+            F.col("entity" if name == "outgoing" else "subject").alias("subject"),
             "predicate",
-            (F.col("entity") if name == "incoming" else F.col("object")).alias("object"),
+            F.col("entity" if name == "incoming" else "object").alias("object"),
             "valid_from", "valid_to", "confidence", "source_closet", *_state(F.col("as_of")),
         )
         parts.append(full)

@@ -11,6 +11,7 @@ from loci.plans import workload as w
 from loci.plans.catalog import query
 from loci.plans.workload import Tables
 from loci.schemas import TRIPLES, conform
+from loci.session import cut_lineage
 
 NOW = "2026-01-01"
 _F = f"WITH {w.FACTS_SQL}"
@@ -27,7 +28,8 @@ def _triples(t: Tables) -> DataFrame:
 
 
 def _entities(t: Tables) -> DataFrame:
-    return kg.entities_of(_rows(t))
+    """Entities of the facts, worked out once for all that look names up."""
+    return cut_lineage(kg.entities_of(_rows(t)))
 
 
 # --- writing -------------------------------------------------------------------------------
@@ -71,7 +73,7 @@ SELECT id, arg_min(name, (seq, side)) AS name, 'unknown' AS type FROM sides GROU
 """)
 def kg_entities(t):
     """Entities that facts bring along."""
-    return _entities(t).select("id", "name", "type")
+    return kg.entities_of(_rows(t)).select("id", "name", "type")
 
 
 @query("kg_entity_upsert", """

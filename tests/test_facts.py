@@ -146,3 +146,32 @@ def test_embedded_scores_are_those_of_the_vector(spark):
     matrix = vec.unit_rows(np.random.default_rng(2).normal(size=(5, 384)))
     both = df.select(vec.embedded_scores(F.col("text"), matrix, spark).alias("a"), vec.candidate_scores(vec.embed(F.col("text")), matrix, spark).alias("b"))
     assert all(np.allclose(r.a, r.b, atol=2e-9) and len(r.a) == 5 for r in both.collect())
+
+
+def test_few_names_are_sent_to_the_facts(spark):
+    """Two objects hold all facts: a shuffle by object would put them in two tasks."""
+    rows = [("default", f"s{i}", "p", f"o{i % 2}", "2020-01-01", None, i) for i in range(40)]
+    triples = spark.createDataFrame(rows, "namespace string, subject_id string, predicate string, object_id string, valid_from string, valid_to string, seq long")
+    triples = triples.selectExpr("*", "1D AS confidence", "'' AS source_closet", "string(seq) AS id")
+    known = [("default", x, x.upper()) for x in [*{r[1] for r in rows}, *{r[3] for r in rows}]]
+    entities = spark.createDataFrame(known, "namespace string, id string, name string")
+    limit, few = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), kg.FEW_IDS
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kg.FEW_IDS, merges in ((few, 0), (10, 1)):  # all names are few, or only those of the objects
+            line = kg.timeline(triples, entities)
+            assert line._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") == merges
+            assert [(r["subject"], r["object"]) for r in line.collect()] == [(x[1].upper(), x[3].upper()) for x in sorted(rows, key=lambda x: (x[1], x[3]))]
+            wanted = entities.select(F.col("name").alias("entity"))
+            both = kg.query_entities(triples, entities, wanted, "both").collect()
+            assert sorted((r["direction"], r["subject"], r["object"]) for r in both) == sorted(
+                (d, x[1].upper(), x[3].upper()) for x in rows for d in ("outgoing", "incoming"))
+    finally:
+        kg.FEW_IDS = few
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_first_spelling_in_one_pass(spark):
+    rows = [("n", "a", "A1", "b", "B1", 3), ("n", "b", "B2", "a", "A2", 2), ("n", "a", "A3", "a", "A4", 1), ("n", "b", "B3", "c", "C1", None), ("n", "c", "C2", "d", "D1", 1)]
+    facts = spark.createDataFrame(rows, "namespace string, subject_id string, subject string, object_id string, object string, seq long")
+    assert {r["id"]: r["name"] for r in kg.entities_of(facts).collect()} == {"a": "A3", "b": "B3", "c": "C1", "d": "D1"}
