@@ -1,9 +1,11 @@
 """Near copies: 5-word shingles, Jaccard 0.8 or more, checked on the whole shingle sets.
 
 A text is the set of its shingle hashes; equal sets count once.  Candidates come
-from MinHash: BANDS keys, each of ROWS minima, so a pair at Jaccard 0.8 shares no
-key with chance (1 - 0.8^5)^20 = 0.0004, a closer pair with less.  What shares
-a key is compared by sketch (one byte of each of the 100 minima) and by size.
+from two look-ups.  One is op9's multi-index of SimHash fingerprints, here of the set:
+what hangs together by three bits is one bucket.  At Jaccard 0.8 most pairs differ
+in more bits than that, so MinHash gives the others: BANDS keys, each of ROWS minima; a pair
+at 0.8 shares no key with chance (1 - 0.8^5)^20 = 0.0004, a closer pair with less.  What shares
+a bucket is compared by sketch (one byte of each of the 100 minima) and by size.
 The sketch only sorts out pairs: SCREEN lies four standard errors below 0.8.
 
 Links are found in two rounds, each checked on the whole sets.  In the first a
@@ -73,6 +75,11 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def print_of(found: np.ndarray) -> int:
+    """SimHash fingerprint of a set of shingles; zero for none."""
+    return simhash.majority(found) if len(found) else 0
+
+
 def band_keys(least: np.ndarray) -> list[int]:
     rows = least.reshape(BANDS, ROWS)
     return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(BANDS)]
@@ -95,7 +102,7 @@ def _longs(values: Iterable[int]) -> pa.Array:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-    """(doc_id, key, nokey, digest, fp, size, sketch, bands) for rows whose last column is the text."""
+    """(doc_id, key, nokey, digest, fp, size, print, sketch, bands) for rows whose last column is the text."""
     for batch in batches:
         sets = [shingles(t) for t in texts_of(batch.column(batch.num_columns - 1))]
         least = [minima(x) for x in sets]
@@ -103,8 +110,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         offsets = np.concatenate([[0], np.cumsum([BANDS if len(x) else 0 for x in sets])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], _longs(map(name_of, sets)), pa.array([len(x) for x in sets], pa.int64()),
-             pa.array([sketch_of(m) for m in least], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), bands)],
-            [*batch.schema.names[:-1], "fp", "size", "sketch", "bands"])
+             _longs(map(print_of, sets)), pa.array([sketch_of(m) for m in least], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), bands)],
+            [*batch.schema.names[:-1], "fp", "size", "print", "sketch", "bands"])
 
 
 def _alike(sketch: np.ndarray, size: np.ndarray, at: int, rest: np.ndarray, least: float) -> np.ndarray:
@@ -238,9 +245,17 @@ def _dealt(members: DataFrame, max_bucket: int) -> DataFrame:
     return rows.repartition("band", "block").sortWithinPartitions("band", "block")
 
 
+def _print_keys(own: DataFrame) -> DataFrame:
+    """(band, fp): a bucket for each group of sets whose fingerprints hang together by three bits."""
+    prints = own.where("size > 0").select("fp", "print")
+    distinct = written(prints.select(F.col("print").alias("fp")).distinct(), "prints")
+    roots = components(simhash.links(distinct)).toDF("print", "root")
+    return prints.join(roots, "print", "left").select(F.xxhash64(F.coalesce("root", "print"), F.lit("print")).alias("band"), "fp")
+
+
 def links(own: DataFrame, docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Near copies (a, b) that connect all found ones, from a table (fp, size, sketch, bands, digest) with one row per set."""
-    keyed = own.select(F.explode("bands").alias("band"), "fp")
+    """Near copies (a, b) that connect all found ones, from a table (fp, size, print, sketch, bands, digest) with one row per set."""
+    keyed = written(own.select(F.explode("bands").alias("band"), "fp").unionByName(_print_keys(own)), "keyed")
     shared = keyed.groupBy("band").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("band")
     rows = keyed.join(shared, "band", "left_semi")
     members = written(rows.join(own.select("fp", "size", "sketch"), "fp").select("band", "fp", "size", "sketch"), "members")
@@ -256,12 +271,12 @@ def links(own: DataFrame, docs: DataFrame, max_bucket: int = MAX_BUCKET) -> Data
 
 def keep_first(docs: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """One document of each group of near copies, as simhash.keep_first picks it; null and blank texts are one group."""
-    schema = "doc_id long, key long, nokey boolean, digest long, fp long, size long, sketch binary, bands array<long>"
+    schema = "doc_id long, key long, nokey boolean, digest long, fp long, size long, print long, sketch binary, bands array<long>"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *simhash.row_keys(["key", "nokey", "digest"]), "text")
     prints = written(rows.mapInArrow(_describe, schema), "sets_described")
 
     def linked(_: DataFrame) -> DataFrame:
-        own = prints.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "bands", "digest")])
+        own = prints.groupBy("fp").agg(*[F.first(c).alias(c) for c in ("size", "print", "sketch", "bands", "digest")])
         return links(written(own, "own"), docs, max_bucket)
 
     return simhash.first_of(docs, prints.select("doc_id", "key", "nokey", "digest", "fp"), linked)

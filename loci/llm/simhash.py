@@ -48,6 +48,11 @@ def fingerprint_of(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     stops = (ends[shingle - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter([digest(joined[a:b], HASH_SEED) for a, b in zip(starts, stops, strict=True)], np.uint64, len(starts))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65_536):
         block = hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8)

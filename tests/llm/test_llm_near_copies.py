@@ -57,3 +57,22 @@ def test_no_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, None), (4, "x"), (4, "x")], "doc_id long, text string")
     assert sorted((str(r["doc_id"]), r["text"]) for r in n.keep_first(docs).where("text IS NOT NULL").collect()) == [("4", "x"), ("None", "a b c d")]
     assert n.keep_first(docs).count() == 3 and n.keep_first(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_find_what_shares_no_minima(spark):
+    prepare(spark)
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(f"v{i}" for i in range(300))]
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    rows = []
+    for i, text in enumerate(texts):
+        found = n.shingles(text.encode())
+        sketch = n.sketch_of(n.minima(found))
+        # Keys that nothing shares: the pair can only meet by its fingerprints.
+        rows.append((signed(n.name_of(found)), len(found), signed(n.print_of(found)), bytearray(sketch), [100 * i + b for b in range(n.BANDS)], text))
+    assert (rows[0][2] ^ rows[1][2]).bit_count() <= 3
+    own = spark.createDataFrame(rows, "fp long, size long, print long, sketch binary, bands array<long>, text string")
+    own = own.selectExpr("* EXCEPT (text)", "xxhash64(text) AS digest")
+    found = n.links(own, spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert [{r["a"], r["b"]} for r in found.collect()] == [{rows[0][0], rows[1][0]}]
