@@ -97,6 +97,36 @@ def test_reconcile_equals_one_by_one(spark):
     assert key((r.object_id, r.valid_from, r.valid_to) for r in new.collect()) == key((f["key"], f["from"], f["to"]) for f in after)
 
 
+@pytest.mark.parametrize("hot_rows", [1, 100, 10**6])
+def test_reconcile_streams_facts_and_spreads_hot_ones(spark, monkeypatch, hot_rows):
+    """All, some or none of the facts are hot; a fact without a key is left out, ends alike in all have one outcome."""
+    monkeypatch.setattr(kg, "HOT_ROWS", hot_rows)
+    rng = random.Random(4)
+    days = [f"2025-0{m}-01" for m in range(1, 10)]
+    steps = [(seq, "hot" if rng.random() < 0.7 else f"k{rng.randrange(9)}", rng.choice([*days, None]), rng.choice(days) if rng.random() < 0.4 else None)
+             for seq in range(0, 900, 3)]
+    want, _ = _fold(steps, [{"key": "k1", "from": "2025-01-01", "to": "2025-04-01"}, {"key": "k2", "from": None, "to": None}])
+    old = kg.with_ids(spark.createDataFrame([("s", "p", "k1", "2025-01-01", "2025-04-01", "a"), ("s", "p", "k2", None, None, "b"), ("s", "p", "other", None, None, "c")],
+        "subject string, predicate string, object string, valid_from string, valid_to string, id string"))
+    rows = [("s", "p", k, a, b, 0.12345, q) for q, k, a, b in steps]
+    twice = [r for r in rows if want[r[6]] == "invalidate"]
+    df = spark.createDataFrame([*rows, *twice, (None, "p", "hot", None, None, 0.9, 10**6)],
+        "subject string, predicate string, object string, valid_from string, ended string, confidence double, seq long").repartition(3)
+    found = kg.reconcile(conform(old, TRIPLES), df).collect()
+    assert sorted((r.seq, r.reason or r.action) for r in found) == sorted([*want.items(), *[(r[6], "invalidate") for r in twice]])
+    assert {r.confidence for r in found} == {0.123}
+    assert all((r.active_valid_from is not None) == (r.reason == "temporal_conflict_end_before_start") for r in found)
+    assert all((r.previous_valid_to is not None) == (r.reason == "temporal_conflict_start_before_previous_end") for r in found)
+
+
+def test_reconcile_shuffles_the_rows_once(spark):
+    df = spark.createDataFrame([("s", "p", "o", "2025-01-01", None, 0.9, 1)],
+        "subject string, predicate string, object string, valid_from string, ended string, confidence double, seq long")
+    decided = kg.reconcile(spark.createDataFrame([], TRIPLES), df)
+    plan = decided._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan and "Join" not in plan
+
+
 def test_segmented_windows(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.6 else f"g{rng.randrange(5)}", o, rng.random() < 0.3) for o in rng.sample(range(10**9), 900)]
