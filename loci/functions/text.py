@@ -179,16 +179,37 @@ def required_text(pattern: str) -> str:
     return max(flat.split("\x00"), key=len)
 
 
+def _signs(pattern: str) -> list[list[str]]:
+    """Plain texts that go with every match of a lower-case pattern: one of each list."""
+    if len(_alternatives(pattern)) > 1:
+        return [[required_text(pattern)]] if len(required_text(pattern)) > 1 else []
+    flat = re.sub(r"\([^()]*\)[?*+]?", "\x00", pattern)
+    flat = re.sub(r"\[[^\]]*\][?*+]?|\\.[?*+]?|.[?*]|[.^$|+{}]", "\x00", flat)
+    signs = [[t] for t in flat.split("\x00") if len(t) > 1]
+    # A group of plain words, with the text right before and after it.
+    group = re.search(r"(?<![\\a-z' ])([a-z' ]*)\(([a-z' |]+)\)(?![?*+{])([a-z' ]*)([?*{]?)", pattern.replace(r"\b", "\x00"))
+    if group:
+        before, words, after, cut = group.groups()
+        signs.append([before + w + (after[:-1] if cut else after) for w in words.split("|")])
+    return [s for s in signs if all(len(t) > 1 for t in s)]
+
+
 def regexp_hits(text: Column, patterns) -> Column:
     """Total matches of all patterns in a text.
 
-    A pattern is only run where the text it cannot do without is there, which
-    is far cheaper to look for.
+    A pattern is only run where the texts it cannot do without are there, which
+    are far cheaper to look for.
     """
     total = F.lit(0)
     for p in patterns:
-        hits, need = F.regexp_count(text, F.lit(java_pattern(p))), required_text(p)
-        total = total + (F.when(F.contains(text, F.lit(need)), hits).otherwise(0) if len(need) > 1 else hits)
+        hits = F.regexp_count(text, F.lit(java_pattern(p)))
+        may = None
+        for texts in _signs(p):
+            found = F.contains(text, F.lit(texts[0]))
+            for t in texts[1:]:
+                found = found | F.contains(text, F.lit(t))
+            may = found if may is None else may & found
+        total = total + (hits if may is None else F.when(may, hits).otherwise(0))
     return total
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,46 +161,63 @@ def detect_rooms(dirs: DataFrame, files: DataFrame) -> DataFrame:
 
 def is_code_line(line: Column) -> Column:
     """Shell, code, table or mostly symbolic lines."""
-    trimmed = tx.strip(line)
-    letters = F.length(F.regexp_replace(trimmed, "[^a-zA-Z]", ""))
+    return _is_code(tx.strip(line))
+
+
+_LETTERS = string.ascii_letters
+
+
+def _is_code(trimmed: Column) -> Column:
+    # Letters are the characters that taking them out leaves less.
+    letters = F.length(trimmed) - F.length(F.translate(trimmed, _LETTERS, ""))
     mostly_symbols = (F.length(trimmed) > 10) & (letters < F.length(trimmed) * 0.4)
     return (trimmed != "") & (tx.matches_any(trimmed, fixed.CODE_LINE_PATTERNS) | mostly_symbols)
 
 
 def prose(text: Column) -> Column:
     """The text without fenced blocks and code lines; all of it if nothing is left."""
+
+    def without_code(lines: Column) -> Column:
+        # A line is trimmed once and looked at several times.
+        both = F.transform(lines, lambda x: F.struct(x.alias("line"), tx.strip(x).alias("trimmed")))
+        return F.array_join(F.transform(F.filter(both, lambda x: ~_is_code(x["trimmed"])), lambda x: x["line"]), "\n")
+
     # Pieces at odd positions between fence lines are code.
     blocks = F.split(F.concat(F.lit("\n"), text), r"\n[^\S\n]*```[^\n]*", -1)
     open_blocks = F.filter(blocks, lambda b, i: i % 2 == 0)
-    kept = F.transform(
-        open_blocks,
-        lambda b: F.array_join(F.filter(F.split(F.substring(b, 2, 1 << 30), "\n", -1), lambda x: ~is_code_line(x)), "\n"),
-    )
-    joined = tx.strip(F.array_join(F.filter(kept, lambda b: b != ""), "\n"))
-    return F.when(joined != "", joined).otherwise(text)
-
-
-def memory_segments(text: Column) -> Column:
-    """Speaker turns if there are three, else paragraphs, else 25-line groups."""
-    lines = tx.lines_of(text)
-
-    def is_turn(x: Column) -> Column:
-        return sum_or([F.rlike(tx.strip(x), F.lit(p)) for p in fixed.TURN_PATTERNS])
-
-    turns = F.size(F.filter(lines, is_turn))
+    kept = F.transform(open_blocks, lambda b: without_code(F.split(F.substring(b, 2, 1 << 30), "\n", -1)))
+    fenced = F.array_join(F.filter(kept, lambda b: b != ""), "\n")
+    left = F.when(F.contains(text, F.lit("```")), fenced).otherwise(without_code(F.split(text, "\n", -1)))
+    # Trimmed once, in a list of one.
+    joined = F.filter(F.array(tx.strip(left)), lambda x: x != "")
+    return F.coalesce(F.get(joined, F.lit(0)), text)
+
+
+def _is_turn(line: Column) -> Column:
+    return tx.matches_any(tx.strip(line), fixed.TURN_PATTERNS)
+
+
+def with_segments(docs: DataFrame, text: str) -> DataFrame:
+    """Rows with _segs: speaker turns if there are three, else paragraphs, else 25-line groups."""
+    # Each step is worked out once; a text without any sign of a turn is not looked at line by line.
+    signs = [tx.required_text(p) for p in fixed.TURN_PATTERNS]
+    may_turn = sum_or([F.contains(F.col(text), F.lit(s)) for s in signs]) if all(signs) else F.lit(True)
+    docs = tx.computed(docs, {"_lines": tx.lines_of(F.col(text)), "_paras": tx.paragraphs(F.col(text))})
+    lines = F.col("_lines")
+    flags = F.when(may_turn, F.transform(lines, _is_turn)).otherwise(F.array().cast("array<boolean>"))
+    docs = tx.computed(docs, {"_turns": flags})
     starts = F.filter(
-        F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | is_turn(F.element_at(lines, i + 1))
+        F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.element_at("_turns", i + 1)
     )
     by_turn = F.transform(
-        starts,
-        lambda s, j: F.array_join(
-            F.slice(lines, s + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - s), "\n"
-        ),
+        F.transform(starts, lambda s, j: F.struct(s.alias("at"), F.coalesce(F.get(starts, j + 1), F.size(lines)).alias("end"))),
+        lambda s: F.array_join(F.slice(lines, s["at"] + 1, s["end"] - s["at"]), "\n"),
     )
-    paras = tx.paragraphs(text)
     groups = F.filter(tx.line_groups(lines, fixed.LINE_GROUP), lambda g: g != "")
-    one_block = (F.size(paras) <= 1) & (F.size(lines) > fixed.LINE_GROUP_THRESHOLD)
-    return F.when(turns >= 3, by_turn).when(one_block, groups).otherwise(paras)
+    one_block = (F.size("_paras") <= 1) & (F.size(lines) > fixed.LINE_GROUP_THRESHOLD)
+    turns = F.size(F.filter("_turns", lambda t: t))
+    segs = F.when(turns >= 3, by_turn).when(one_block, groups).otherwise(F.col("_paras"))
+    return docs.withColumn("_segs", segs).drop("_lines", "_paras", "_turns")
 
 
 def marker_scores(text: Column, markers: dict | None = None) -> dict[str, Column]:
@@ -217,16 +236,14 @@ def has_resolution(text: Column) -> Column:
     return tx.matches_any(F.lower(text), fixed.RESOLUTION_PATTERNS)
 
 
-def memory_type(scores: dict[str, Column], mood: Column, resolved: Column) -> Column:
-    """Best scoring type; solved or happily told problems are something else."""
-    best = _first_best(list(scores.items()))
+def problem_type(scores: dict[str, Column], mood: Column, resolved: Column) -> Column:
+    """What a problem really is: solved or happily told ones are something else."""
     happy = mood == "positive"
     moving, done = scores["emotional"] > 0, scores["milestone"] > 0
-    problem = (
+    return (
         F.when(resolved & moving & happy, "emotional").when(resolved, "milestone")
         .when(happy & done, "milestone").when(happy & moving, "emotional").otherwise("problem")
     )
-    return F.when(best == "problem", problem).otherwise(best)
 
 
 def memory_confidence(best_score: Column, length: Column) -> Column:
@@ -241,15 +258,20 @@ def extract_memories(docs: DataFrame, text: str = "document", key: str = "origin
     looks at a document's rows together.
     """
     rest = [c for c in docs.columns if c != text]
-    segs = docs.select(*rest, F.posexplode(memory_segments(F.col(text))).alias("_pos", "_seg"))
+    segs = with_segments(docs, text).select(*rest, F.posexplode("_segs").alias("_pos", "_seg"))
     segs = tx.computed(segs.where(F.length(tx.strip(F.col("_seg"))) >= 20), {"_prose": prose(F.col("_seg"))})
-    scored = tx.computed(segs, {f"{k}_score": s for k, s in marker_scores(F.col("_prose")).items()})
+    segs = tx.computed(segs, {"_low": F.lower("_prose")})
+    scored = tx.computed(segs, {f"{k}_score": tx.regexp_hits(F.col("_low"), p) for k, p in fixed.MEMORY_MARKERS.items()})
     scores = {k: F.col(f"{k}_score") for k in fixed.MEMORY_MARKERS}
     top = F.greatest(*scores.values())
     hits = scored.where(top > 0).withColumn("confidence", memory_confidence(top, F.length("_seg"))).where(
         F.col("confidence") >= min_confidence
     )
-    typed = hits.withColumn("memory_type", memory_type(scores, sentiment(F.col("_prose")), has_resolution(F.col("_prose"))))
+    # Mood and solution are only asked of problems, and once.
+    hits = tx.computed(hits, {"_best": _first_best(list(scores.items()))})
+    asked = F.col("_best") == "problem"
+    hits = tx.computed(hits, {"_mood": F.when(asked, sentiment(F.col("_prose"))), "_solved": F.when(asked, has_resolution(F.col("_prose")))})
+    typed = hits.withColumn("memory_type", F.when(asked, problem_type(scores, F.col("_mood"), F.col("_solved"))).otherwise(F.col("_best")))
     # A document's segments come from one row, so this window is never larger than that row.
     order = Window.partitionBy(key).orderBy("_pos")
     return typed.select(

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 import uuid
 
 import pytest
@@ -213,3 +215,31 @@ def test_lookup_sends_a_small_registry_and_leaves_the_words(spark, monkeypatch):
     monkeypatch.setattr(registry, "MAX_BROADCAST", 0)
     plan, shuffled = found()
     assert "BroadcastHashJoin" not in plan and sent == shuffled
+
+
+def test_marker_hits_equal_plain_counts(spark):
+    """The cheap look before each pattern leaves no match out, and looks for more than one text of a pattern."""
+    rng = random.Random(8)
+    words = sorted({w for ps in fixed.MEMORY_MARKERS.values() for p in ps for w in re.findall("[a-z']+", p.replace(r"\b", " ").replace(r"\d", "7"))} | {"don't", "i'm", "7x", "40%", "v1.2"})
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(150)] + ["we decided it, i'm going to", "the bug was bad, keeps crashing", "let's go with it; lets use it", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    scores = classify.marker_scores(F.col("t"))
+    for r in df.select("t", *[s.alias(k) for k, s in scores.items()]).collect():
+        for kind, patterns in fixed.MEMORY_MARKERS.items():
+            assert r[kind] == sum(len(re.findall(p, r.t, re.ASCII)) for p in patterns), (kind, r.t)
+    assert ["we should", "we decided"] in [s[:2] for s in tx._signs(r"\bwe (should|decided|chose)\b")]
+    assert tx._signs(r"\bover\b.*\bbecause\b") == [["over"], ["because"]]
+
+
+def test_memories_of_turns_groups_and_code(spark):
+    """Speaker turns, line groups and fenced code; moods are asked of problems only."""
+    turns = "intro\nHuman: we decided to use it because of speed\nand more\n> why is the bug an error again\nAI: I love this, it is amazing"
+    long = "\n".join(f"line {i} we decided to use the better approach" for i in range(30))
+    code = "```\nimport os\n```\nthe bug was fixed and it works, so happy"
+    df = spark.createDataFrame([(1, turns), (2, long), (3, code), (4, None), (5, "")], "original_id long, document string")
+    got = {(r.original_id, r.chunk_index): (r.memory_type, r.content) for r in classify.extract_memories(df).collect()}
+    assert [got[1, i][1].split("\n")[0][:6] for i in range(3)] == ["Human:", "> why ", "AI: I "]
+    assert got[1, 0][1].endswith("and more") and len([k for k in got if k[0] == 2]) == 2
+    assert got[3, 0][0] == "milestone" and {k[0] for k in got} == {1, 2, 3}
+    plan = classify.extract_memories(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 4
