@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from loci.functions import fixed
 from loci.functions import text as tx
 from loci.functions import vectors as vec
+from loci.session import kept
 
 # Registry rows are put into the plan as one literal of at most this size; a
 # longer registry is cut into several.
@@ -167,6 +168,8 @@ def _registry_slices(palaces: DataFrame):
     reg = _registry(palaces).withColumn(
         "_bytes", F.length(F.to_json(F.struct("name", "fields", "keywords"))) + F.size("vector") * 8
     )
+    # Measured first and then fetched piece by piece.
+    reg = kept(reg)
     total = reg.agg(F.sum("_bytes")).first()[0] or 0
     parts = max(1, -(-int(total) // REGISTRY_BYTES))
     for i in range(parts):

@@ -12,8 +12,10 @@ from loci.operators import routing
 from loci.operators.filters import apply_where, path_match
 from loci.operators.memory import diary_entries
 from loci.operators.skew import join_unique
-from loci.session import cut_lineage
+from loci.session import cut_lineage, kept
 
+# Hits up to this many are sent to the texts, which are then not shuffled.
+FEW_HITS = 100_000
 _PATH = ("wing", "wing_name", "hall", "hall_name", "room", "room_name", "closet", "closet_name")
 
 
@@ -50,22 +52,26 @@ def drawer_key(df: DataFrame) -> DataFrame:
 def search(
     queries: DataFrame, drawers: DataFrame, k: int = fixed.SEARCH_K, *, where: dict | None = None,
     wing=None, hall=None, room=None, closet=None, by_palace: bool = False, skip_same_id: bool = False,
-    query_id: str = "query_id", query_text: str = "query",
+    query_id: str = "query_id", query_text: str = "query", vectors: DataFrame | None = None,
 ) -> DataFrame:
     """Best k drawers of every query, with the hit fields.
 
     Path filters and ``where`` run before the scoring and reach the scan.
-    ``by_palace`` restricts a query to its own palace.
+    ``by_palace`` restricts a query to its own palace.  ``vectors`` are those of
+    the drawers left, (palace, original_id, vector), where they are at hand.
     """
     queries = with_vector(queries, query_text)
     found = path_match(apply_where(drawers, where), wing, hall, room, closet)
     # Ids are unique within a palace only.  A query is left out of its own hits by id.
     found = found.withColumn("_key", F.col("original_id")) if skip_same_id else drawer_key(found)
+    scored = found if vectors is None else drawer_key(vectors)
     hits = top_k(
-        queries, found, k, query_id=query_id, item_id="_key",
+        queries, scored, k, query_id=query_id, item_id="_key",
         group="palace" if by_palace else None, skip_same_id=skip_same_id,
     )
     # Only k rows per query are left; they fetch their texts by key.
+    if queries.limit(FEW_HITS // k + 1).count() <= FEW_HITS // k:
+        hits = F.broadcast(hits)
     payload = [c for c in ("palace", "document", "source_file", *_PATH) if c in found.columns]
     full = hits.join(found.select("_key", "original_id", *payload), "_key")
     if by_palace:
@@ -190,7 +196,9 @@ def search_routed(
     )
 
     filtered = path_match(drawers, wing, hall, room, closet)
-    first = search(ranked.select("query_id", "query", "vector", "palace"), filtered, k, by_palace=True)
+    # Searched twice, and often worked out from the texts.
+    vectors = kept(filtered.select("palace", "original_id", "vector"))
+    first = search(ranked.select("query_id", "query", "vector", "palace"), filtered, k, by_palace=True, vectors=vectors)
     judged = routing.result_quality(first, ranked)
     tried = F.col("given").isNull() & (F.size("candidates") >= 2) & routing.weak(
         F.col("quality_score"), F.col("answer_coverage")
@@ -209,7 +217,7 @@ def search_routed(
             "query_id", "query", "vector", F.col("c.name").alias("palace"), F.col("c.semantic_score"), F.col("c.score").alias("routing_score"),
         )
     )
-    others = search(pairs, filtered, k, by_palace=True, query_id="pair_id")
+    others = search(pairs, filtered, k, by_palace=True, query_id="pair_id", vectors=vectors)
     other_quality = routing.result_quality(others, pairs, key="pair_id")
     cols = ["query_id", "palace", "is_current", "semantic_score", "answer_coverage", "quality_score", "routing_score"]
     options = judged.select(

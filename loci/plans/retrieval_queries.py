@@ -497,6 +497,17 @@ FROM options QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cov DESC,
 """
 
 
+def _languages(t):
+    """Languages as palaces, their last document being the scope."""
+    # Texts in the state of an aggregate would have every text sorted.
+    last = t.documents.groupBy("lang").agg(F.count("*").alias("usage_count"), F.max("doc_id").alias("last"))
+    texts = t.documents.join(
+        F.broadcast(last.select(F.col("lang").alias("name"), "last")), F.col("lang").eqNullSafe(F.col("name")) & (F.col("doc_id") == F.col("last"))
+    ).groupBy("name").agg(F.max("text").alias("scope"))
+    known = last.withColumnRenamed("lang", "name").alias("k").join(texts.alias("x"), F.col("k.name").eqNullSafe(F.col("x.name")), "left")
+    return known.select("k.name", "usage_count", "scope").withColumn("vector", embed(F.col("scope")))
+
+
 _REMEMBERED_SQL = f"""
 SELECT {{0}} AS normalized_query, max_by(CASE item_id % 3 WHEN 0 THEN 'de' ELSE 'fr' END, item_id) AS palace FROM benchmark WHERE item_id % 3 <> 1 GROUP BY 1
 """
@@ -505,9 +516,7 @@ SELECT {{0}} AS normalized_query, max_by(CASE item_id % 3 WHEN 0 THEN 'de' ELSE
 @query("search_routed", _routed_search_sql("SELECT CAST(NULL AS VARCHAR) AS normalized_query, CAST(NULL AS VARCHAR) AS palace WHERE false"))
 def search_routed(t):
     """Passages routed to a language, searched there, with a fall-back to the others."""
-    known = t.documents.groupBy(F.col("lang").alias("name")).agg(
-        F.count("*").alias("usage_count"), F.max_by("text", "doc_id").alias("scope")
-    ).withColumn("vector", embed(F.col("scope")))
+    known = _languages(t)
     items = w.drawers(t).withColumn("vector", embed(F.col("document")))
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     _, routes = search.search_routed(asked, known, items)
@@ -520,9 +529,7 @@ def search_routed(t):
 @query("search_remembered", _routed_search_sql(_REMEMBERED_SQL.format(_normalized_sql("text"))))
 def search_remembered(t):
     """The same passages, two thirds of which were asked before and go where the routing memory says first."""
-    known = t.documents.groupBy(F.col("lang").alias("name")).agg(
-        F.count("*").alias("usage_count"), F.max_by("text", "doc_id").alias("scope")
-    ).withColumn("vector", embed(F.col("scope")))
+    known = _languages(t)
     items = w.drawers(t).withColumn("vector", embed(F.col("document")))
     asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     log = asked.where(F.col("query_id") % 3 != 1).select(

@@ -192,3 +192,18 @@ def test_fields_are_compared_as_one_by_one():
     for text in [say(n) for n in (1, 1, 2, 2, 3, 5, 9, 9, 30)] + ["unknown words only", "s"]:
         assert index.boosts(text).tolist() == [plain(text, p) for p in palaces]
     assert not index.boosts("").any() and routing.Fields([]).boosts("a").tolist() == []
+
+
+def test_search_routed_works_vectors_out_once(spark, tmp_path):
+    """Vectors worked out from texts meet both searches from one copy, and few hits are sent to the texts."""
+    spark.createDataFrame([(f"d{i}", f"p{i % 3}", f"word{i} ships sail {i}") for i in range(30)], "original_id string, palace string, document string").write.parquet(f"{tmp_path}/d")
+    drawers = search.with_vector(spark.read.parquet(f"{tmp_path}/d"), "document")
+    palaces = search.with_vector(spark.createDataFrame([(f"p{i}", f"word{i} ships", 0) for i in range(3)], "name string, scope string, usage_count long"), "scope")
+    ask = spark.createDataFrame([(1, "word4 ships"), (2, "nothing known here")], "query_id int, query string")
+    hits, routes = search.search_routed(ask, palaces, drawers, None, 2)
+    assert {r.query_id for r in routes.collect()} == {1, 2}
+    assert {(r.query_id, r.rank) for r in hits.collect()} == {(q, k) for q in (1, 2) for k in (1, 2)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "loci-kept" in hits._jdf.queryExecution().executedPlan().toString() or "ArrowEvalPython" not in plan
+    found = search.search(ask.withColumn("palace", F.lit("p1")), drawers, 2, by_palace=True)
+    assert "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
