@@ -209,7 +209,10 @@ def regexp_hits(text: Column, patterns) -> Column:
             for t in texts[1:]:
                 found = found | F.contains(text, F.lit(t))
             may = found if may is None else may & found
-        total = total + (hits if may is None else F.when(may, hits).otherwise(0))
+        if may is not None:
+            # Without a text, only a pattern that has a longer text of its own says 0.
+            hits = F.when(may, hits).when(F.lit(len(required_text(p)) > 1) | text.isNotNull(), 0)
+        total = total + hits
     return total
 
 

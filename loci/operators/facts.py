@@ -420,9 +420,13 @@ def reconcile(triples: DataFrame, facts: DataFrame) -> DataFrame:
     if total >= HOT_ROWS:
         counted = facts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(HOT_ROWS, total / HEAVY_SHARE))
         hot = counted.select(*KEY).collect()
-    if hot:
-        keys = F.broadcast(facts.sparkSession.createDataFrame(hot, ", ".join(f"{c} string" for c in KEY)))
-        decided = _streamed(state, facts.join(keys, KEY, "left_anti")).unionByName(_spread(state, facts.join(keys, KEY, "left_semi")))
+    aside = F.broadcast(facts.sparkSession.createDataFrame(hot, ", ".join(f"{c} string" for c in KEY))) if hot else None
+    # Rows without a place have no order to stream in either.
+    lost = facts.where(F.col("seq").isNull()).select(*KEY)
+    if lost.limit(1).count():
+        aside = lost.distinct() if aside is None else lost.union(aside).distinct()
+    if aside is not None:
+        decided = _streamed(state, facts.join(aside, KEY, "left_anti")).unionByName(_spread(state, facts.join(aside, KEY, "left_semi")))
     else:
         decided = _streamed(state, facts)
     return decided.select(

@@ -227,6 +227,8 @@ def test_marker_hits_equal_plain_counts(spark):
     for r in df.select("t", *[s.alias(k) for k, s in scores.items()]).collect():
         for kind, patterns in fixed.MEMORY_MARKERS.items():
             assert r[kind] == sum(len(re.findall(p, r.t, re.ASCII)) for p in patterns), (kind, r.t)
+    none = spark.createDataFrame([(None,)], "t string").select(*[x.alias(k) for k, x in scores.items()]).first()
+    assert none.asDict() == {"decision": 0, "preference": 0, "milestone": None, "problem": None, "emotional": None}
     assert ["we should", "we decided"] in [s[:2] for s in tx._signs(r"\bwe (should|decided|chose)\b")]
     assert tx._signs(r"\bover\b.*\bbecause\b") == [["over"], ["because"]]
 
