@@ -75,6 +75,66 @@ def _sent(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.select("_key").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else keys
 
 
+def _known(people: DataFrame, projects: DataFrame | None, wiki: DataFrame | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """One row per registered key (_key) of people, projects and confirmed research."""
+    if projects is not None:
+        projects = projects.groupBy(F.lower("name").alias("_key")).agg(F.min_by("name", "ord").alias("_project"))
+    if wiki is not None:
+        wiki = wiki.where("confirmed").groupBy(F.lower("word").alias("_key")).agg(
+            F.min_by(F.struct("inferred_type", "confidence"), "word").alias("_wiki")
+        )
+    return _names(people), projects, wiki
+
+
+class Table:
+    """A registry short enough to be sent along: ``lookup`` for single words, in Python."""
+
+    def __init__(self, people: dict, projects: dict, wiki: dict):
+        self.people, self.projects, self.wiki = people, projects, wiki
+        # Words that ``lookup`` decides by their context.
+        self.ambiguous = sorted(set(people) & set(fixed.AMBIGUOUS_WORDS))
+
+    def find(self, word: str, person_hits: int = 0, concept_hits: int = 0) -> tuple:
+        """(type, confidence, entity_name) of a word, as ``lookup`` gives them; the hits are those of an ambiguous word."""
+        key = word.lower()
+        if key in self.people:
+            if concept_hits > person_hits:
+                return "concept", min(0.9, 0.7 + concept_hits * 0.1), word
+            if person_hits > concept_hits:
+                return "person", min(0.95, 0.7 + person_hits * 0.1), word
+            name, confidence = self.people[key]
+            return "person", confidence, name
+        if key in self.projects:
+            return "project", 1.0, self.projects[key]
+        return (*self.wiki.get(key, ("unknown", 0.0)), word)
+
+
+def table(people: DataFrame, projects: DataFrame | None = None, wiki: DataFrame | None = None) -> Table | None:
+    """The registry as a ``Table``, or nothing if any part has more than MAX_BROADCAST keys."""
+    found = []
+    parts = zip(_known(people, projects, wiki), ("_person", "_project", "_wiki"), (["_person.name", "_person.confidence"], ["_project"], ["_wiki.*"]))
+    for part, value, fields in parts:
+        # A key without a value is as good as none, as in a join.
+        rows = [] if part is None else part.where(F.col(value).isNotNull()).select("_key", *fields).limit(MAX_BROADCAST + 1).collect()
+        if len(rows) > MAX_BROADCAST:
+            return None
+        found.append({r[0]: r[1] if len(r) == 2 else tuple(r[1:]) for r in rows if r[0] is not None})
+    return Table(*found)
+
+
+def context_hits(words: Column, context: Column, ambiguous: list[str]) -> Column:
+    """JSON list of (word, person_hits, concept_hits) of the words of a row that are ambiguous (see ``disambiguate``), or null."""
+    low = F.lower(context)
+
+    def hits(w: Column) -> Column:
+        found = {n: tx.match_named(low, tx.name_patterns(p), F.lower(w)) for n, p in (("person_hits", fixed.PERSON_CONTEXTS), ("concept_hits", fixed.CONCEPT_CONTEXTS))}
+        return F.struct(w.alias("word"), *[c.cast("int").alias(n) for n, c in found.items()])
+
+    # Most texts have no such word at all.
+    some = F.rlike(low, F.lit("|".join(ambiguous)))
+    return F.when(some, F.to_json(F.transform(F.filter(words, lambda w: F.lower(w).isin(ambiguous)), hits)))
+
+
 def lookup(
     words: DataFrame, people: DataFrame, projects: DataFrame | None = None, wiki: DataFrame | None = None,
     word: str = "word", context: str = "context",
@@ -87,20 +147,10 @@ def lookup(
     """
     if context not in words.columns:
         words = words.withColumn(context, F.lit(""))
-    df = words.withColumn("_key", F.lower(word)).join(_sent(_names(people)), "_key", "left")
-    if projects is not None:
-        df = df.join(
-            _sent(projects.groupBy(F.lower("name").alias("_key")).agg(F.min_by("name", "ord").alias("_project"))), "_key", "left"
-        )
-    else:
-        df = df.withColumn("_project", F.lit(None).cast("string"))
-    if wiki is not None:
-        found = wiki.where("confirmed").groupBy(F.lower("word").alias("_key")).agg(
-            F.min_by(F.struct("inferred_type", "confidence"), "word").alias("_wiki")
-        )
-        df = df.join(_sent(found), "_key", "left")
-    else:
-        df = df.withColumn("_wiki", F.lit(None).cast("struct<inferred_type:string,confidence:double>"))
+    df = words.withColumn("_key", F.lower(word))
+    missing = ("_person", None), ("_project", "string"), ("_wiki", "struct<inferred_type:string,confidence:double>")
+    for known, (name, kind) in zip(_known(people, projects, wiki), missing):
+        df = df.withColumn(name, F.lit(None).cast(kind)) if known is None else df.join(_sent(known), "_key", "left")
     # Flags are kept for registered names, aliases included.
     flagged = F.col("_person").isNotNull() & is_ambiguous(F.col(word)) & (F.col(context) != "")
     df = disambiguate(df, word, context, flagged)

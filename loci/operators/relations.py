@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loci.functions import fixed
 from loci.functions import text as tx
 from loci.functions import vectors as vec
-from loci.operators.registry import lookup
+from loci.operators import linking, registry
 
 _NO_STRINGS = "array<string>"
 _OPTIONS = "array<struct<order_score:double,i:int,j:int,n:int>>"
@@ -19,9 +19,12 @@ _OPTIONS = "array<struct<order_score:double,i:int,j:int,n:int>>"
 
 def explicit_dates(text: Column) -> Column:
     """YYYY-MM-DD dates, then YYYY/MM/DD ones rewritten, distinct in that order."""
+    # Most texts have no date; the exact patterns are only tried on those that may.
+    some = text.isNull() | F.rlike(text, F.lit(r"\d{4}[-/]\d{2}[-/]\d{2}"))
     dashed = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])(\d{4}-\d{2}-\d{2})(?![A-Za-z0-9_])"), F.lit(1))
     slashed = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])(\d{4}/\d{2}/\d{2})(?![A-Za-z0-9_])"), F.lit(1))
-    return F.array_distinct(F.concat(dashed, F.transform(slashed, lambda d: F.replace(d, F.lit("/"), F.lit("-")))))
+    found = F.array_distinct(F.concat(dashed, F.transform(slashed, lambda d: F.replace(d, F.lit("/"), F.lit("-")))))
+    return F.when(some, found).otherwise(F.array().cast(_NO_STRINGS))
 
 
 def relative_dates(folded: Column, reference: Column) -> Column:
@@ -55,7 +58,9 @@ def with_temporal(df: DataFrame, text: str, fallback: Column, reference: Column
     """Add struct<dates, valid_from, ended, has_explicit_date, has_relative_date>."""
     reference = fallback if reference is None else F.coalesce(reference, fallback)
     clean = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"_folded": tx.fold_accents(clean), "_explicit": explicit_dates(clean), "_fallback": fallback, "_reference": reference})
+    # Plain ASCII has no accents, and need not go to Python.
+    accented = F.when(F.rlike(clean, F.lit(r"[^\x00-\x7F]")), clean)
+    df = df.withColumns({"_folded": F.coalesce(tx.fold_accents(accented), clean), "_explicit": explicit_dates(clean), "_fallback": fallback, "_reference": reference})
     df = df.withColumn("_dates", F.array_distinct(F.concat("_explicit", relative_dates(F.col("_folded"), F.col("_reference")))))
     dates = F.col("_dates")
     return df.withColumn(out, F.struct(
@@ -107,26 +112,36 @@ def infer_type(name: Column, known: Column) -> Column:
     )
 
 
-def link_entities(
-    segs: DataFrame, people: DataFrame, projects: DataFrame | None = None, wiki: DataFrame | None = None,
-    key=("segment_id",), text: str = "segment",
-) -> DataFrame:
-    """Entities of segments, in order: (*key, ord, name, type, confidence, source).
+def _with_pieces(segs: DataFrame, text: str, known: registry.Table, tokens: Column | None = None) -> DataFrame:
+    """Add what ``linking`` works on: _quotable, _pieces, _hits and _tokens."""
+    c = F.col(text)
+    # Few texts hold quotes or a word that its context decides; patterns are only tried on those.
+    cut = segs.withColumns({
+        "_quotable": F.when(F.rlike(c, F.lit("[\"“”'`]")), c), "_pieces": F.regexp_replace(c, F.lit(linking.BETWEEN), F.lit(linking.MARK)),
+    })
+    hits = F.lit(None).cast("string")
+    if known.ambiguous:
+        hits = registry.context_hits(F.concat(quoted_phrases(c), candidate_tokens(c)), c, known.ambiguous)
+    # Plain texts only: with a list among the columns, each row that is handed to Python costs as much as its batch has rows.
+    return cut.withColumns({"_hits": hits, "_tokens": F.lit(None).cast("string") if tokens is None else F.array_join(tokens, linking.MARK)})
 
-    Quoted phrases come before words; a later form of the same name replaces
-    the earlier one but keeps its place.  With fewer than two entities the
-    room, closet and hall of the segment (if columns) fill up.
-    """
+
+def _linked_rows(segs: DataFrame, known: registry.Table, key, text: str) -> DataFrame:
+    """Entities of each row by itself: (*key, ord, name, type, confidence, source, _id, _last)."""
+    return linking.entities(_with_pieces(segs.select(*key, F.col(text).alias("_text")), "_text", known).drop("_text"), known)
+
+
+def _looked_up(segs: DataFrame, people: DataFrame, projects: DataFrame | None, wiki: DataFrame | None, key, text: str) -> DataFrame:
+    """The same with ids, word by word, by joins with a registry of any length: (*key, _at, _last, _id, e)."""
     words = F.filter(candidate_tokens(F.col(text)), lambda w: ~F.lower(w).isin(list(fixed.PERSON_HINTS)))
     listed = F.concat(
         F.transform(quoted_phrases(F.col(text)), lambda p: F.struct(F.lit("quoted").alias("kind"), p.alias("word"))),
         F.transform(words, lambda w: F.struct(F.lit("candidate").alias("kind"), w.alias("word"))),
     )
-    places = [c for c in ("room", "closet", "hall") if c in segs.columns]
     rows = segs.select(*key, F.col(text).alias("context"), F.posexplode(listed).alias("_at", "c")).select(
         *key, "context", "_at", "c.kind", "c.word"
     )
-    known = lookup(rows, people, projects, wiki).withColumnRenamed("confidence", "_known")
+    known = registry.lookup(rows, people, projects, wiki).withColumnRenamed("confidence", "_known")
     unknown = F.col("type") == "unknown"
     base = F.when(unknown, 0.35).otherwise(F.coalesce(F.nullif("_known", F.lit(0.0)), F.lit(0.8)))
     marked = F.rlike(F.left("word", F.lit(1)), F.lit(r"\p{Lu}")) | F.lower("word").isin(list(fixed.TOOL_HINTS))
@@ -136,15 +151,56 @@ def link_entities(
     ).when(marked, F.greatest(base, F.lit(fixed.ENTITY_CONFIDENCE))).otherwise(base)
     # Most words are unknown; the patterns of types are only tried on the names that are sure enough.
     sure = tx.computed(known, {"_sure": confidence}).where(F.col("_sure") >= fixed.ENTITY_CONFIDENCE)
-    named = tx.computed(sure, {"_kind": infer_type(F.col("entity_name"), F.col("type"))}).select(
-        *key, "_at", F.lower("entity_name").alias("_id"),
+    return tx.computed(sure, {"_kind": infer_type(F.col("entity_name"), F.col("type"))}).select(
+        *key, "_at", F.col("_at").alias("_last"), F.lower("entity_name").alias("_id"),
         F.struct(
             F.when(~quoted & (F.col("_kind") == "person"), title_case(F.col("entity_name"))).otherwise(F.col("entity_name")).alias("name"),
             F.col("_kind").alias("type"), F.col("_sure").alias("confidence"),
             F.when(unknown, F.col("kind")).otherwise("registry").alias("source"),
         ).alias("e"),
     )
-    merged = named.groupBy(*key, "_id").agg(F.min("_at").alias("ord"), F.max_by("e", "_at").alias("e"))
+
+
+def with_alone(df: DataFrame, key) -> DataFrame:
+    """Add _alone: is this the only row with its key?  Rows without a key count as not alone, and are not brought together."""
+    missing = F.lit(False)
+    for c in key:
+        missing = missing | F.col(c).isNull()
+    spread = F.when(missing, F.xxhash64(*[c for c, kind in df.dtypes if c not in key and not kind.startswith("map")]))
+    # As one sum, no part of it is pushed below the shuffle, which both kinds of rows then share.
+    return df.withColumn("_alone", F.sum(F.when(missing, 2).otherwise(1)).over(Window.partitionBy(*key, spread)) == 1)
+
+
+def link_entities(
+    segs: DataFrame, people: DataFrame, projects: DataFrame | None = None, wiki: DataFrame | None = None,
+    key=("segment_id",), text: str = "segment",
+) -> DataFrame:
+    """Entities of segments, in order: (*key, ord, name, type, confidence, source).
+
+    Quoted phrases come before words; a later form of the same name replaces
+    the earlier one but keeps its place.  With fewer than two entities the
+    room, closet and hall of the segment (if columns) fill up.  Segments that share a key are one.
+    A registry short enough is sent along, and every segment is then worked out in its row.
+    Where texts are cut after ``with_alone``, their segments' keys are not looked at again.
+    """
+    places = [c for c in ("room", "closet", "hall") if c in segs.columns]
+    known = registry.table(people, projects, wiki)
+    if known is None or places:
+        return _linked_by_key(segs, known, people, projects, wiki, key, text)
+    told = segs.select(*key, text, "_alone") if "_alone" in segs.columns else with_alone(segs.select(*key, text), key)
+    shared = _linked_by_key(told.where(~F.col("_alone")), known, people, projects, wiki, key, text)
+    return _linked_rows(told.where("_alone"), known, key, text).drop("_id", "_last").unionByName(shared)
+
+
+def _linked_by_key(segs: DataFrame, known: registry.Table | None, people, projects, wiki, key, text: str) -> DataFrame:
+    """Entities of segments that may share a key, and of their places."""
+    places = [c for c in ("room", "closet", "hall") if c in segs.columns]
+    if known is None:
+        named = _looked_up(segs, people, projects, wiki, key, text)
+    else:
+        named = _linked_rows(segs, known, key, text).select(
+            *key, F.col("ord").alias("_at"), "_last", "_id", F.struct("name", "type", "confidence", "source").alias("e"))
+    merged = named.groupBy(*key, "_id").agg(F.min("_at").alias("ord"), F.max_by("e", "_last").alias("e"))
     out = merged.select(*key, "ord", "e.*")
     if not places:
         return out
@@ -204,16 +260,44 @@ def extract_facts(
     usual) are paired in both orders and scored against six predicates.  A
     score grows with the confidence of both and depends on nothing else but their
     types, so of each type only the two surest entities (the first ones, where equally
-    sure) can be in the best pair, and no more are paired.
+    sure) can be in the best pair, and no more are paired.  A registry short enough is sent along: segments are then
+    linked, embedded and paired in one step in their row, but for texts that share a key, whose entities are one set.
     """
     spark = docs.sparkSession
     protos = prototypes(spark) if protos is None else protos
     fallback = F.left(F.col(filed_at).cast("string"), F.lit(10)) if filed_at else F.lit(None).cast("string")
     places = [c for c in ("room", "closet", "hall") if c in docs.columns]
-    segs = docs.select(key, *places, fallback.alias("_day"), F.posexplode(segments(F.col(text))).alias("pos", "segment"))
-    # Dealt once by segment, so that no step below has to shuffle its rows again.  A segment without a key finds no entities in the end.
-    segs = segs.where(F.col(key).isNotNull()).repartition(key, "pos")
-    linked = link_entities(segs, people, projects, wiki, key=(key, "pos"))
+    # A segment without a key finds no entities in the end.
+    named = docs.where(F.col(key).isNotNull()).select(key, *places, fallback.alias("_day"), F.col(text).alias("_text"))
+    known = registry.table(people, projects, wiki)
+    if known is None or places:
+        return _first_facts(_facts_of_keys(named, key, known, people, projects, wiki, protos, most_entities), key)
+    told = with_alone(named, [key])
+    shared = _facts_of_keys(told.where(~F.col("_alone")).drop("_alone"), key, known, people, projects, wiki, protos, most_entities)
+    alone = _facts_of_rows(told.where("_alone").drop("_alone"), key, known, protos, most_entities)
+    # A text is on one side only, and each side lies by key already.
+    return _first_facts(alone, key).unionByName(_first_facts(shared, key))
+
+
+def _cut(named: DataFrame) -> DataFrame:
+    return named.select(*[c for c in named.columns if c != "_text"], F.posexplode(segments(F.col("_text"))).alias("pos", "segment"))
+
+
+def _facts_of_rows(named: DataFrame, key: str, known: registry.Table, protos: DataFrame, most_entities: int | None) -> DataFrame:
+    """Relations of texts that have their key for themselves."""
+    # A capital sigma's small letter depends on what follows the word.
+    tokens = F.when(F.contains("segment", F.lit("Σ")), vec.embedding_tokens(F.col("segment")))
+    segs = _with_pieces(_cut(named).select(key, "_day", "pos", "segment"), "segment", known, tokens)
+    found = linking.best_facts(segs, known, protos.collect(), most_entities)
+    found = found.select(key, "_day", "pos", "segment", F.struct(*found.columns[4:]).alias("_b"))
+    return _timed(found, key)
+
+
+def _facts_of_keys(named: DataFrame, key: str, known: registry.Table | None, people, projects, wiki, protos: DataFrame, most_entities: int | None) -> DataFrame:
+    """Relations of texts that may share a key, where equal places of equal keys are one segment."""
+    # Dealt once by segment, so that no step below has to shuffle its rows again.
+    segs = _cut(named).repartition(key, "pos")
+    linked = _linked_by_key(segs, known, people, projects, wiki, (key, "pos"), "segment")
     if most_entities is not None:
         in_order = Window.partitionBy(key, "pos").orderBy("ord")
         linked = linked.withColumn("_place", F.row_number().over(in_order)).where(F.col("_place") <= most_entities).drop("_place")
@@ -251,13 +335,22 @@ def extract_facts(
         (-F.col("_c.order_score")).alias("confidence"), F.greatest(sem["active"], sem["ended"]).alias("semantic_score"),
         F.get(fits(s, o), F.col("_c.n")).alias("type_score"), (sem["ended"] > sem["active"] + 0.03).alias("is_end"),
     )})
+    return _timed(found, key)
+
+
+def _timed(found: DataFrame, key: str) -> DataFrame:
+    """Facts with their dates from segments and their best relation (_b)."""
     found = with_temporal(found, "segment", F.col("_day"), out="_time")
     ended = F.when(F.col("_b.is_end"), F.coalesce("_time.ended", "_time.valid_from"))
-    facts = found.select(
+    return found.select(
         key, "pos", "_b.subject", "_b.subject_type", "_b.predicate", "_b.object", "_b.object_type",
         "_b.confidence", "_b.semantic_score", "_b.type_score",
         F.when(ended.isNull(), F.col("_time.valid_from")).alias("valid_from"), ended.alias("ended"), "segment",
     )
+
+
+def _first_facts(facts: DataFrame, key: str) -> DataFrame:
+    """Each fact of a text once, where it comes first."""
     same = [key, "subject", "predicate", "object", F.coalesce("ended", F.lit("")).alias("_e")]
     first = facts.groupBy(*same).agg(F.min_by(F.struct(*facts.columns), "pos").alias("f"))
     return first.select("f.*")

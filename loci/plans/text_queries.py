@@ -674,7 +674,8 @@ FROM facts WHERE valid_to IS NULL
 def link_entities(t):
     """Entities in sentences about orders."""
     people, projects = _people(t)
-    segs = _sentences(t).select("original_id", F.posexplode(relations.segments(F.col("document"))).alias("pos", "segment"))
+    docs = relations.with_alone(_sentences(t).select("original_id", "document"), ["original_id"])
+    segs = docs.select("original_id", "_alone", F.posexplode(relations.segments(F.col("document"))).alias("pos", "segment"))
     return relations.link_entities(segs, people, projects, key=("original_id", "pos"))
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from loci.functions import fixed
 from loci.functions import text as tx
-from loci.operators import chunking, classify, entities, evaluate, registry, relations, transcripts
+from loci.functions import vectors
+from loci.operators import chunking, classify, entities, evaluate, linking, registry, relations, transcripts
 
 
 def one(spark, expr, value, kind="string"):
@@ -245,3 +246,43 @@ def test_memories_of_turns_groups_and_code(spark):
     assert got[3, 0][0] == "milestone" and {k[0] for k in got} == {1, 2, 3}
     plan = classify.extract_memories(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_intersect") == 4
+
+
+ODD_SEGMENTS = [
+    "Alice uses Docker.", "Rose said that Max was here, and rose petals fell", "the rose of Max", "`big kit` and 'Alice' \"Alice\" alice ALICE", "", None,
+    "i we Team Redis redis REDIS co-op X-ray -dash well-known_thing", "naïve Éclair ÉCLAIR straße Straße ΟΔΟΣ'Α ΟΔΟΣ İstanbul", "a 1abc abc1 _x x_ x-1 é1a 1éb " + "L" * 70 + " " + "m" * 64,
+    "“Acme Inc” 'Acme  Inc' \"two\r\nlines\" `x` ``  `` 'A very long name of four words'", "Mary Ann works on Atlas App with React", "Alice no longer uses Docker.", "zebra ²x Ⅷx x² Ⅷ",
+]
+
+
+def _odd(spark, monkeypatch, made):
+    """What a function makes with the registry sent along, and word by word by joins."""
+    people = registry.seed_people(
+        spark.createDataFrame([("Alice", "", "work", 1), ("Rose", "", "", 2), ("Maxwell", "", "", 3), ("Mary", "", "", 4)], "name string, relationship string, context string, ord long"),
+        spark.createDataFrame([("Max", "Maxwell"), ("Éclair", "Mary")], "alias string, canonical string"))
+    projects = spark.createDataFrame([("Atlas", 1), ("rose", 2)], "name string, ord long")
+    wiki = spark.createDataFrame([("zebra", "animal", 0.9, True), ("co-op", None, None, True), ("petals", "x", 0.2, True), ("fell", "x", 0.9, False)], "word string, inferred_type string, confidence double, confirmed boolean")
+    out = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(registry, "MAX_BROADCAST", most)
+        assert (registry.table(people, projects, wiki) is None) == (most == 0)
+        out.append(sorted((tuple(r) for r in made(people, projects, wiki).collect()), key=repr))
+    return out
+
+
+def test_entities_of_rows_are_those_of_joined_words(spark, monkeypatch):
+    rows = [(i, s) for i, s in enumerate(ODD_SEGMENTS)] + [(0, "Alice uses Docker."), (1, "Docker and `Rose` by Max"), (None, "Alice is here"), (None, "Bob and alice")]
+    segs = spark.createDataFrame(rows, "segment_id int, segment string").repartition(3)
+    got, want = _odd(spark, monkeypatch, lambda *known: relations.link_entities(segs, *known))
+    assert got == want and len(got) > 25
+
+
+def test_words_of_pieces(spark):
+    rows = [(s,) for s in ODD_SEGMENTS if s]
+    df = spark.createDataFrame(rows, "s string").select(
+        relations.candidate_tokens(F.col("s")).alias("w"), relations.quoted_phrases(F.col("s")).alias("q"), vectors.embedding_tokens(F.col("s")).alias("e"), "s",
+        F.split("s", linking.BETWEEN).alias("p"))
+    for r in df.collect():
+        assert list(dict.fromkeys(w for p in r.p for w in linking.piece_words(p))) == r.w
+        assert linking.phrases(r.s) == r.q
+        assert "Σ" in r.s or [w for p in r.p for w in linking.spoken(p) if w] == r.e
