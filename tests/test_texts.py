@@ -286,3 +286,17 @@ def test_words_of_pieces(spark):
         assert list(dict.fromkeys(w for p in r.p for w in linking.piece_words(p))) == r.w
         assert linking.phrases(r.s) == r.q
         assert "Σ" in r.s or [w for p in r.p for w in linking.spoken(p) if w] == r.e
+
+
+@pytest.mark.parametrize("most", [None, 2])
+def test_facts_of_rows_are_those_of_joined_words(spark, monkeypatch, most):
+    texts = ["\n".join(s for s in ODD_SEGMENTS if s), "Alice uses Docker.\nAlice no longer uses Docker.", "Alice depends on Redis. The `Brand kit` is part of the stack Alice. Started 2026-01-02.", "nothing"]
+    rows = [*enumerate(texts), (1, "Rose uses Docker.\nRose and Max work on Atlas."), (None, texts[1])]
+    docs = spark.createDataFrame([(*r, "2026-04-08") for r in rows], "original_id int, document string, filed_at string").repartition(3)
+
+    def made(*known):
+        found = relations.extract_facts(docs, *known, most_entities=most)
+        return found.withColumns({c: F.round(c, 8) for c in ("confidence", "semantic_score")})
+
+    got, want = _odd(spark, monkeypatch, made)
+    assert got == want and len(got) >= 2
