@@ -147,10 +147,37 @@ def _names(entities: DataFrame, side: str, name: str) -> DataFrame:
     return entities.select("namespace", F.col("id").alias(side), F.col("name").alias(name))
 
 
+def _odd_names(triples: DataFrame, entities: DataFrame, side: str) -> DataFrame | None:
+    """(namespace, side, _known, _name) of the ids of a side of the facts whose entity is not one named like its id, if they are few."""
+    used = triples.select("namespace", side).distinct()
+    named = entities.groupBy("namespace", F.col("id").alias(side)).agg(F.count("*").alias("_n"), F.max("name").alias("_only"))
+    odd = used.join(named, ["namespace", side], "left").where(
+        F.col(side).isNotNull() & (F.col("_n").isNull() | (F.col("_n") > 1) | ~F.col("_only").eqNullSafe(F.col(side)))
+    ).select("namespace", side)
+    odd = kept(odd.limit(FEW_IDS + 1))
+    if odd.count() > FEW_IDS:
+        return None
+    own = entities.select("namespace", F.col("id").alias(side), F.lit(True).alias("_known"), F.col("name").alias("_name"))
+    found = kept(own.join(F.broadcast(odd), ["namespace", side], "left_semi"))
+    missing = odd.join(F.broadcast(found.select("namespace", side).distinct()), ["namespace", side], "left_anti")
+    return found.unionByName(missing.select("*", F.lit(False).alias("_known"), F.lit(None).cast("string").alias("_name")))
+
+
 def _named(triples: DataFrame, entities: DataFrame) -> DataFrame:
-    used: dict[str, int] = {}
+    """Facts with the names of both sides; a fact whose entity is not known falls out.
+
+    Where entities are many, but few of those met are named other than their id, only these are sent to the facts,
+    which then stay where they are.
+    """
+    few = entities.limit(FEW_IDS + 1).count() <= FEW_IDS
     for side, name in (("subject_id", "subject"), ("object_id", "object")):
-        triples = triples.join(_met(_names(entities, side, name), triples, side, used), ["namespace", side])
+        odd = None if few else _odd_names(triples, entities, side)
+        if odd is None:
+            triples = triples.join(_met(_names(entities, side, name), triples, side, {}), ["namespace", side])
+            continue
+        met = triples.where(F.col("namespace").isNotNull() & F.col(side).isNotNull()).join(F.broadcast(odd), ["namespace", side], "left")
+        triples = met.where(F.coalesce("_known", F.lit(True))).withColumn(
+            name, F.when(F.col("_known"), F.col("_name")).otherwise(F.col(side))).drop("_known", "_name")
     return triples
 
 
@@ -215,18 +242,30 @@ def query_relationship(triples: DataFrame, entities: DataFrame, predicate: str,
     )
 
 
-def timeline(triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int | None = None) -> DataFrame:
-    """Facts in time order, all or the first ``limit``."""
+def timeline(
+    triples: DataFrame, entities: DataFrame, entity: str | None = None, limit: int | None = None, ident: Column | None = None,
+) -> DataFrame:
+    """Facts in time order, all or the first ``limit``.
+
+    ``ident`` stands for the column id, where that follows from a fact's other columns: it is then only worked out
+    to compare facts that are alike in time and names, and not shuffled.
+    """
     found = triples
     if entity is not None:
         eid = tx.entity_id(F.lit(entity))
         found = triples.where((F.col("subject_id") == eid) | (F.col("object_id") == eid))
-    key = [F.asc_nulls_last("valid_from"), F.asc("predicate"), F.asc("subject_id"), F.asc("object_id"), F.asc("id")]
+    last = F.col("id") if ident is None else ident
+    key = [F.asc_nulls_last("valid_from"), F.asc("predicate"), F.asc("subject_id"), F.asc("object_id"), last.asc()]
     if limit is not None:
         # The first rows are picked before names are fetched.
         found = found.orderBy(*key).limit(limit)
-    return _named(found, entities).orderBy(*key).select(
-        "valid_from", "valid_to", "subject", "predicate", "object", F.col("valid_to").isNull().alias("active_now")
+    named = _named(found, entities)
+    # A name that is its id is not shuffled a second time.
+    both = {name: F.when(~F.col(name).eqNullSafe(F.col(f"{name}_id")), F.struct(name)) for name in ("subject", "object")}
+    listed = named.withColumns(both).select(*KEY, "valid_from", "valid_to", *both, *(["id"] if ident is None else [])).orderBy(*key)
+    own = {name: F.when(F.col(name).isNull(), F.col(f"{name}_id")).otherwise(F.col(name)[name]) for name in both}
+    return listed.select(
+        "valid_from", "valid_to", own["subject"].alias("subject"), "predicate", own["object"].alias("object"), F.col("valid_to").isNull().alias("active_now")
     )
 
 

@@ -11,7 +11,7 @@ from loci.plans import workload as w
 from loci.plans.catalog import query
 from loci.plans.workload import Tables
 from loci.schemas import TRIPLES, conform
-from loci.session import cut_lineage
+from loci.session import cut_lineage, kept
 
 NOW = "2026-01-01"
 _F = f"WITH {w.FACTS_SQL}"
@@ -203,7 +203,10 @@ FROM facts ORDER BY valid_from, pred, subject_id, object_id, {_TID}
 """)
 def kg_timeline(t):
     """All facts in time."""
-    return kg.timeline(_triples(t), _entities(t))
+    # The facts are put together once, for the entities, the names and the listing.
+    rows = kg.with_ids(kept(w.facts(t)))
+    triples = rows.select(*kg.KEY, "valid_from", "valid_to")
+    return kg.timeline(triples, kept(kg.entities_of(rows)), ident=kg.triple_id(F.lit(NOW)))
 
 
 @query("kg_timeline_entity", _F + f"""

@@ -108,7 +108,8 @@ def facts(t: Tables) -> DataFrame:
     line = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_shipdate")
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     part = t.part.select("p_partkey", "p_brand")
-    joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, line.l_partkey == part.p_partkey)
+    # Parts first: a brand is all they add to a line, an order adds more, and where both are shuffled the second join carries it.
+    joined = line.join(part, line.l_partkey == part.p_partkey).join(orders, line.l_orderkey == orders.o_orderkey)
     return joined.select(
         F.concat(F.lit("customer#"), F.col("o_custkey").cast("string")).alias("subject"),
         F.col("o_orderpriority").alias("predicate"), F.col("p_brand").alias("object"),

@@ -67,7 +67,14 @@ def kept(df):
     """The rows as Parquet in the shared folder, far smaller than a checkpoint's rows; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loci-kept/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Nobody reads the shuffles of this job again; else they lie there until the driver collects its garbage.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(cleanup, None)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(cleanup) if was is None else spark.conf.set(cleanup, was)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

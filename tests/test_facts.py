@@ -205,3 +205,35 @@ def test_first_spelling_in_one_pass(spark):
     rows = [("n", "a", "A1", "b", "B1", 3), ("n", "b", "B2", "a", "A2", 2), ("n", "a", "A3", "a", "A4", 1), ("n", "b", "B3", "c", "C1", None), ("n", "c", "C2", "d", "D1", 1)]
     facts = spark.createDataFrame(rows, "namespace string, subject_id string, subject string, object_id string, object string, seq long")
     assert {r["id"]: r["name"] for r in kg.entities_of(facts).collect()} == {"a": "A3", "b": "B3", "c": "C1", "d": "D1"}
+
+
+def test_timeline_sends_odd_names_only(spark, monkeypatch):
+    rows = [(n, f"s{i % 7}" if i % 9 else None, f"p{i % 2}", f"o{i % 3}", f"2024-0{1 + i % 4}-01" if i % 5 else None, "2024-09-01" if i % 3 else None, f"t{i}")
+            for i, n in enumerate(["default"] * 30 + ["other"] * 6)]
+    triples = spark.createDataFrame(rows, "namespace string, subject_id string, predicate string, object_id string, valid_from string, valid_to string, id string").repartition(3)
+    # s1 is spelled otherwise, s2 unknown, s3 known twice, s4 nameless; all others are named like their ids.
+    names = [("s0", "s0"), ("s1", "S 1"), ("s3", "s3"), ("s3", "S3"), ("s4", None), ("s5", "s5"), ("s6", "s6"), ("o0", "o0"), ("o1", "O1"), ("o2", "o2"), ("x", "X"), ("y", "Y")]
+    entities = spark.createDataFrame([("default", *n) for n in names], "namespace string, id string, name string")
+
+    def listed():
+        out = kg.timeline(triples, entities)
+        return out._jdf.queryExecution().executedPlan().toString(), [tuple(r) for r in out.collect()]
+
+    _, want = listed()
+    known = {}
+    for i, name in names:
+        known.setdefault(i, []).append(name)
+    brute = [(f, t, s, p, o, t is None) for n, si, p, oi, f, t, _ in rows if n == "default" for s in known.get(si, []) for o in known.get(oi, [])]
+    assert sorted(map(str, want)) == sorted(map(str, brute))
+    monkeypatch.setattr(kg, "FEW_IDS", 11)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, got = listed()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(str, got)) == sorted(map(str, want)) and [r[0] for r in got] == [r[0] for r in want]
+    assert "SortMergeJoin" not in plan and plan.count("rangepartitioning") == 1
+    # Without a column id, the order is the same by what it is made of.
+    by = [c for c in triples.columns if c != "id"]
+    again = kg.timeline(triples.select(*by), entities, ident=F.concat_ws("_", "namespace", "subject_id")).collect()
+    assert sorted(map(str, map(tuple, again))) == sorted(map(str, want))
