@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loci.operators import evaluate
+from loci.operators.skew import running_count
 from loci.plans.catalog import query
 from loci.plans.retrieval_queries import hashed_sql
 from loci.plans.workload import Tables
+from loci.session import kept
 from loci.sources import benchmarks
 
 # --- the conversations as entries of each set -------------------------------------------------------------
@@ -84,11 +86,14 @@ def step_talk(t: Tables) -> benchmarks.StepTalk:
     qa = F.struct(F.col("turns")[0]["content"].alias("question"), F.lit("b").alias("ground_truth"), F.array(F.size("turns") - 1).alias("target_step_id"))
     head = F.concat(F.lit('{"tid":'), F.col("conv_id").cast("string"), F.lit(',"message_list":'), F.when(F.col("conv_id") % 5 == 0, F.to_json(F.array(steps))).otherwise(F.to_json(steps)))
     item = F.concat(head, F.when(F.col("conv_id") % 11 != 10, F.concat(F.lit(',"QA":'), F.to_json(qa))).otherwise(""), F.lit("}"))
-    rows = _talks(t).select((F.col("conv_id") % 3).alias("f"), F.when(F.col("conv_id") % 2 == 0, "movie").otherwise("roles").alias("topic"), F.struct("conv_id", item.alias("j")).alias("i"))
-    topics = rows.groupBy("f", "topic").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["j"]), ","), F.lit("]")).alias("l"))
-    files = topics.groupBy("f").agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), "topic", F.lit('":'), "l")), ","), F.lit("}")).alias("json"))
+    rows = _talks(t).where(F.col("conv_id").isNotNull()).select(
+        "conv_id", (F.col("conv_id") % 3).alias("f"), F.when(F.col("conv_id") % 2 == 0, "movie").otherwise("roles").alias("topic"), item.alias("item"))
+    # A file is as long as a third of the table, so it comes in pieces of an item each, which know their place in its topic.
+    places = running_count(rows.select("conv_id", "f", "topic"), ["f", "topic"], "conv_id", F.lit(True), "no").select("conv_id", (F.col("no") - 1).cast("int").alias("first"))
+    text = F.concat(F.lit('{"'), F.col("topic"), F.lit('":['), F.col("item"), F.lit("]}"))
     path = F.concat(F.lit("x/c"), F.col("f").cast("string"), F.lit(".json"))
-    return benchmarks.StepTalk(files.select(*_entry(path, F.lit(0), F.col("json"))), "movie")
+    # Kept like the files they stand for: they are read for the texts, the questions and the evidence.
+    return benchmarks.StepTalk(kept(rows.join(places, "conv_id").select(*_entry(path, F.lit(0), text), "first")), "movie")
 
 
 # --- the same in SQL ---------------------------------------------------------------------------------------

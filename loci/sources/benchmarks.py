@@ -177,14 +177,21 @@ class EvidenceTalk:
 
 
 class StepTalk:
-    """Multiple-choice questions over numbered steps (a file per category, topics as keys)."""
+    """Multiple-choice questions over numbered steps (a file per category, topics as keys).
+
+    A long file may come in pieces, which are files of the same path and entry with some of the items: ``first``, if
+    there is such a column, says how many items of its topics stand in the pieces before.
+    """
 
     def __init__(self, rows: DataFrame, topic: str | None = None):
         category = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.json$", "")
-        topics = rows.select(category.alias("category"), "path", "at", F.explode(F.from_json("json", STEPS)).alias("topic", "items"))
+        self.entries = rows
+        first = F.col("first") if "first" in rows.columns else F.lit(0)
+        topics = rows.select(category.alias("category"), "path", "at", first.alias("first"), F.explode(F.from_json("json", STEPS)).alias("topic", "items"))
         if topic:
             topics = topics.where(F.col("topic").isin(topic, "roles", "events"))
-        each = topics.select("category", "path", "at", "topic", F.posexplode("items").alias("no", "i"))
+        each = topics.select("category", "path", "at", "topic", "first", F.posexplode("items").alias("no", "i"))
+        each = each.withColumn("no", F.col("no") + F.col("first")).drop("first")
         usable = each.where((F.size("i.message_list") > 0) & F.col("i.QA").isNotNull())
         self.items = usable.withColumn("item", F.concat_ws("_", "category", F.coalesce("i.tid", F.lit("0"))))
 

@@ -95,3 +95,30 @@ def test_broken_and_empty_files(spark, folder, tmp_path):
     evaluate.save_results(evaluate.evaluate_set(data, 1, "session"), str(tmp_path / "out"))
     lines = [json.loads(x) for f in (tmp_path / "out").glob("part-*") for x in f.read_text().splitlines()]
     assert {x["question_id"]: x["recall_hit"] for x in lines} == {"a": True, "b": None, "c": True}
+
+
+def test_step_files_in_pieces(spark, tmp_path):
+    item = lambda n: {"tid": n, "message_list": [{"user": f"word{n}", "time": "t"}], "QA": {"question": f"word{n}", "target_step_id": [0]}}
+    pieces = [({"movie": [item(1), item(2)], "roles": [item(3)]}, 0), ({"movie": [item(4)]}, 2), ({"roles": [item(5), item(6)]}, 1)]
+    whole = {"movie": [item(1), item(2), item(4)], "roles": [item(3), item(5), item(6)]}
+    one = benchmarks.StepTalk(spark.createDataFrame([("x/c.json", 0, json.dumps(whole))], "path string, at int, json string"), "movie")
+    cut = benchmarks.StepTalk(spark.createDataFrame([("x/c.json", 0, json.dumps(p), n) for p, n in pieces], "path string, at int, json string, first int"), "movie")
+    for part in ("corpus", "questions", "evidence"):
+        got, want = (sorted(map(str, getattr(x, part)().collect())) for x in (cut, one))
+        assert got == want and len(got) == 6
+
+
+def test_step_talk_has_no_row_of_many_conversations(spark, tmp_path):
+    from loci.plans import evaluation_queries, workload
+
+    rows = [(c, n, ("user", "assistant")[n % 2], f"said {c} {n}") for c in [*range(40), None] for n in range(3)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    made = evaluation_queries.step_talk(workload.Tables(spark, str(tmp_path)))
+    placed = [r.question_id.split("/") for r in made.questions().collect()]
+    want = {}
+    for c in range(40):
+        want.setdefault((c % 3, c % 2), []).append(c)
+    named = {f"c{f}_{c}/{('movie', 'roles')[o]}/{n}" for (f, o), cs in want.items() for n, c in enumerate(cs) if c % 11 != 10}
+    assert {"/".join(p) for p in placed} == named and len(placed) == len(named)
+    longest = made.items.select("path", "at", "item").groupBy("path").count().count()
+    assert longest == 3 and made.entries.count() == 40
